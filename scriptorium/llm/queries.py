@@ -5,8 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .minhash import near_duplicates
+from .packing import pack
+from .quality import quality
+from .resharding import read_back, reshard
+from .secrets import KINDS, LIVE, WIDELY, secrets
+from .tokenfiles import read_tokens, write_tokens
+from .tokens import tokenizer_path
+
+#: The layout that the resharding query starts from: six shards by source.
+OLD_SHARDS = 6
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +27,39 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), tokenizer_path(), end_id=2)
+
+
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = write_tokens(documents(spark, sf_dir), tokenizer_path(), end_id=1)
+    return read_tokens(spark, folder)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir))
+
+
+def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(OLD_SHARDS))
+    placed = read_back(reshard(documents(spark, sf_dir), old))
+    own = F.col("text").cast("binary")
+    return placed.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(own).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets(documents(spark, sf_dir), repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda kind: F.size(F.filter("verdicts", lambda s: s["kind"] == kind)).cast("long")
+    having = lambda verdict: F.size(F.filter("verdicts", lambda s: s["verdict"] == verdict)).cast("long")
+    base = F.filter("verdicts", lambda s: s["kind"].isin(KINDS[:3]))
+    return found.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("verdicts")).alias("spans"),
+        having(LIVE).alias("n_live"), having(WIDELY).alias("n_copied"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
