@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language import languages
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import quality
@@ -14,6 +15,7 @@ from .resharding import read_back, reshard
 from .secrets import KINDS, LIVE, WIDELY, secrets
 from .tokenfiles import read_tokens, write_tokens
 from .tokens import tokenizer_path
+from .toxicity import toxicity
 
 #: The layout that the resharding query starts from: six shards by source.
 OLD_SHARDS = 6
@@ -60,6 +62,14 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
