@@ -45,8 +45,8 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def plain_documents(docs: DataFrame, *extra: str) -> DataFrame:
-    """doc_id and text (null: empty) and the named columns; other columns are left behind."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra)
+    """doc_id (null: -1) and text (null: empty) and the named columns; other columns are left behind."""
+    return docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:

@@ -98,7 +98,7 @@ def secrets(docs: DataFrame, *, repo=None, owner=None) -> DataFrame:
     repo = F.col("source") if repo is None else repo
     owner = F.col("source") if owner is None else owner
     unknown = F.lit("unknown")
-    named = docs.select("doc_id", "text", F.coalesce(repo.cast("string"), unknown).alias("repo"), F.coalesce(owner.cast("string"), unknown).alias("owner"))
+    named = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text", F.coalesce(repo.cast("string"), unknown).alias("repo"), F.coalesce(owner.cast("string"), unknown).alias("owner"))
     found = staged(scan(named, "repo", "owner"), "spans")
     has = found.where(F.size("spans") > 0)
     carriers = ownership(has)
@@ -121,7 +121,7 @@ def redacted(docs: DataFrame, *, repo=None, owner=None) -> DataFrame:
     found = secrets(docs, repo=repo, owner=owner)
     bad = found.select("doc_id", F.filter("verdicts", lambda s: s["verdict"] != WIDELY).alias("bad")).where(F.size("bad") > 0)
     values = staged(bad.select("doc_id", F.explode("bad.value").alias("value")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("value")).alias("_values")), "redactions")
-    joined = docs.join(values, "doc_id", "left")
+    joined = docs.join(values.withColumnRenamed("doc_id", "_id"), F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("_id"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in steps(batches):
