@@ -14,6 +14,7 @@ from .packing import pack
 from .quality import quality
 from .resharding import read_back, reshard
 from .secrets import KINDS, LIVE, WIDELY, secrets
+from .suffixes import repeated_passages
 from .tokenfiles import read_tokens, write_tokens
 from .tokens import tokenizer_path
 from .toxicity import toxicity
@@ -50,6 +51,10 @@ def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(own).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets(documents(spark, sf_dir), repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
