@@ -90,7 +90,7 @@ class Model:
         self.languages = languages
         grams = counts[:, : len(ORDERS) * SIZE].reshape(len(languages), len(ORDERS), SIZE)
         smooth = grams + 0.1
-        self.table = np.log(smooth / smooth.sum(axis=2, keepdims=True)).reshape(len(languages), -1).T.astype(np.float32).copy()
+        self.table = np.log(smooth / smooth.sum(axis=2, keepdims=True)).reshape(len(languages), len(ORDERS) * SIZE).T.astype(np.float32).copy()
         script = counts[:, len(ORDERS) * SIZE :]
         share = script / np.maximum(script.sum(axis=1, keepdims=True), 1)
         allowed = (share >= 0.01).T

@@ -209,9 +209,23 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
 
     Equal texts are always of one class, so null and empty texts are one class, as are texts without a
     word that are equal. Texts of one to four words are one shingle: they are similar if their words are
-    the same. Repeated rows and equal doc_ids with different texts keep a row each. Extra columns are
-    ignored. No rows: no rows.
+    the same. Repeated rows and equal doc_ids with different texts keep a row each. A null doc_id is -1.
+    Extra columns are ignored. No rows: no rows.
     """
+    sketches, found = _classes(docs, threshold)
+    return sketches.select("doc_id", "key").join(found.select("key", "class_id"), "key").select("doc_id", "class_id")
+
+
+def deduplicated(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
+    """One row of docs for each class, with all columns: that of the least doc_id, and of the least text hash among those."""
+    _, found = _classes(docs, threshold)
+    kept = staged(found.groupBy("class_key").agg(F.min(F.struct("rep", "key")).alias("s")).select(F.col("s.rep").alias("_id"), F.col("s.key").alias("_key")), "survivors")
+    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1)).cast("long"), "_key": F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))})
+    return keyed.join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+
+
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Each row's doc_id, text key and bands; and for each text its key, least doc_id, class_key and class_id."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = plain_documents(docs)
@@ -275,6 +289,5 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     classes = connected_components(star_links.union(block_links))
     named = classes.withColumnRenamed("node", "key").join(texts, "key")
     heads = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    final = named.join(heads, "component").select("key", "class_id")
-    found = texts.join(final, "key", "left").select("key", F.coalesce("class_id", "rep").alias("class_id"))
-    return sketches.select("doc_id", "key").join(found, "key").select("doc_id", "class_id")
+    final = named.join(heads, "component").select("key", F.col("component").alias("class_key"), "class_id")
+    return sketches, texts.join(final, "key", "left").select("key", "rep", F.coalesce("class_key", "key").alias("class_key"), F.coalesce("class_id", "rep").alias("class_id"))
