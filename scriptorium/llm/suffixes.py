@@ -162,7 +162,7 @@ def repeated_passages(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"seed": h.view(np.int64), "uid": piece.column("uid").to_numpy()[doc], "doc_id": piece.column("doc_id").to_numpy()[doc], "pos": (at - w.first[doc]).astype(np.int32)})
 
     kept_rows = staged(named.mapInArrow(kept, "seed long, uid long, doc_id long, pos int"), "seeds")
-    often = kept_rows.groupBy("seed").agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.min("doc_id").alias("first_doc_id")).where("n > 1 and lo != hi").select("seed", "first_doc_id")
+    often = staged(kept_rows.groupBy("seed").agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.min("doc_id").alias("first_doc_id")).where("n > 1 and lo != hi").select("seed", "first_doc_id"), "often")
     positions = kept_rows.drop("doc_id").join(often, "seed").groupBy("uid").agg(F.collect_set(F.struct("pos", "first_doc_id")).alias("at"))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
