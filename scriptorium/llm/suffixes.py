@@ -180,8 +180,8 @@ def repeated_passages(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
                 {"seed": mix(h).view(np.int64), "uid": piece.column("uid").to_numpy()[doc], "doc_id": piece.column("doc_id").to_numpy()[doc], "pos": pos.astype(np.int32), "first_doc_id": np.array([x["first_doc_id"] for row in own for x in row], np.int64), "left": pa.array([x.tobytes() for x in left], pa.binary()), "right": pa.array([x.tobytes() for x in right], pa.binary())},
             )
 
-    held = named.join(positions, "uid").select("uid", "doc_id", "text", "at")
-    suffixes = staged(held.mapInArrow(around, "seed long, uid long, doc_id long, pos int, first_doc_id long, left binary, right binary").dropDuplicates(["uid", "pos"]), "suffixes")
+    held = named.join(positions, "uid").dropDuplicates(["uid"]).select("uid", "doc_id", "text", "at")
+    suffixes = staged(held.mapInArrow(around, "seed long, uid long, doc_id long, pos int, first_doc_id long, left binary, right binary"), "suffixes")
     right = _reaches(suffixes, "right").withColumn("l", F.lit(0)).withColumnRenamed("reach", "r")
     left = _reaches(suffixes, "left").withColumn("r", F.lit(0)).withColumnRenamed("reach", "l")
     reach = right.unionByName(left).groupBy("uid", "pos").agg(F.max("r").alias("r"), F.max("l").alias("l"))
