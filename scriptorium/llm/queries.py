@@ -73,7 +73,28 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")
+
+
+#: All windows of an item's length that share a shingle with one, by exact similarity; no fingerprints.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}\p{M}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}\p{M}]+'), lambda x: x <> '') AS w FROM benchmark),
+i AS (SELECT item_id, w, len(w) AS m, least(5, len(w)) AS k FROM b WHERE len(w) > 0),
+ix AS (SELECT item_id, w, m, k, unnest(range(1, m - k + 2)) AS j FROM i),
+ishingle AS (SELECT item_id, m, k, j, array_to_string(w[j:j + k - 1], ' ') AS s FROM ix),
+dx AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i)),
+dshingle AS (SELECT doc_id, len(w) AS n, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM dx),
+win AS (SELECT DISTINCT doc_id, m, k, greatest(0, least(p - j, n - m)) AS start FROM dshingle JOIN ishingle USING (k, s)),
+wx AS (SELECT doc_id, m, k, start, array_to_string(w[start + x:start + x + k - 1], ' ') AS s FROM (SELECT win.*, d.w, unnest(range(1, least(m, len(w)) - k + 2)) AS x FROM win JOIN d USING (doc_id))),
+wf AS (SELECT doc_id, m, start, list(DISTINCT s) AS f FROM wx GROUP BY ALL),
+itf AS (SELECT item_id, m, list(DISTINCT s) AS g FROM ishingle GROUP BY ALL),
+pairs AS (SELECT doc_id, item_id, m, start, f, g, list_intersect(f, g) AS common FROM wf JOIN itf USING (m)),
+weighed AS (SELECT doc_id, item_id, m, start, list_sum(list_transform(common, lambda x: length(x))) AS b, list_sum(list_transform(f, lambda x: length(x))) AS x, list_sum(list_transform(g, lambda x: length(x))) AS y FROM pairs WHERE len(common) > 0),
+alike AS (SELECT doc_id, item_id, m, start, CAST(b AS DOUBLE) / (x + y - b) AS similarity FROM weighed WHERE CAST(b AS DOUBLE) / (x + y - b) >= 0.8),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r, count(*) OVER (PARTITION BY doc_id, item_id) AS windows FROM alike)
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(m AS INTEGER) AS length, similarity, windows FROM ranked WHERE r = 1
+"""
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are tested against brute force in tests/llm."""
-    return {}
+    return {"op9_decontamination": OP9_SQL}
