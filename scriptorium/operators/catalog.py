@@ -82,8 +82,9 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     return old.unionByName(new.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti"))
 
 
-def with_new_ids(old: DataFrame, new: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
+def with_new_ids(old: DataFrame, new: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
     """Dense ids after the largest old one, by place in parts and prefix sums over the parts' sizes."""
+    parts = parts or 4 * int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     dealt = new.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

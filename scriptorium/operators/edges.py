@@ -9,18 +9,19 @@ from ..functions import text as T
 
 
 def citation_edges(mentions: DataFrame, src: str, tgt: str, in_bib: Column, *, example: Column | None = None, order: list[str] | None = None) -> DataFrame:
-    """total, bib_hits, text_hits, weighted (bibliography counts twice) and, if asked for, the first three examples.
+    """total, bib_hits, text_hits, weighted (bibliography counts twice) and, if asked for, the first three examples by order.
 
-    Examples are the least three by order, kept as a bounded list while rows are reduced.
+    Counts are reduced before the shuffle, and so are the examples: each task passes on its first three
+    of a pair at most.
     """
-    aggs = [F.count("*").alias("total"), F.sum(in_bib.cast("int")).cast("long").alias("bib_hits")]
-    rows = mentions
-    if example is not None:
-        by = Window.partitionBy(src, tgt).orderBy(*order)
-        rows = mentions.withColumn("_example", example).withColumn("_nth", F.row_number().over(by))
-        aggs.append(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_nth") <= 3, F.struct("_nth", "_example")))), lambda s: s["_example"]), " | ").alias("examples"))
-    out = rows.groupBy(src, tgt).agg(*aggs)
-    return out.withColumn("text_hits", F.col("total") - F.col("bib_hits")).withColumn("weighted", F.col("total") + F.col("bib_hits"))
+    out = mentions.groupBy(src, tgt).agg(F.count("*").alias("total"), F.sum(in_bib.cast("int")).cast("long").alias("bib_hits"))
+    out = out.withColumn("text_hits", F.col("total") - F.col("bib_hits")).withColumn("weighted", F.col("total") + F.col("bib_hits"))
+    if example is None:
+        return out
+    nth = F.row_number().over(Window.partitionBy(src, tgt).orderBy(*order))
+    first = mentions.select(src, tgt, *order, example.alias("_example")).withColumn("_nth", nth).where("_nth <= 3")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_nth", "_example"))), lambda s: s["_example"]), " | ")
+    return out.join(first.groupBy(src, tgt).agg(joined.alias("examples")), [src, tgt])
 
 
 def counted_edges(df: DataFrame, *keys: str, pattern: str | None = None, order: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions import patterns
 from scriptorium.functions import text as T
 from scriptorium.operators import catalog, citations, cleaning, edges, keywords, mentions, network, report, resolve, sections
 from scriptorium.sinks import reports
@@ -169,3 +170,14 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.mention_stream(stream.document_stream(spark, f"{tmp_path}/in", docs.schema, files_per_batch=1), canon, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     got = {(r["label"], r["mentions"], r["docs"]) for r in stream.label_totals(spark, f"{tmp_path}/out").collect()}
     assert got == {("the", 20, 10), ("und", 10, 10)}
+
+
+def test_patterns(spark):
+    p = patterns.surname_patterns("Müller-Meyer")
+    assert re.search(p[0], "Müller Meyer, Karl") and re.search(p[1], "Karl Müller-Meyer") and re.search(p[2], "Müller-Meyer: Geschichte 1901")
+    assert re.search(patterns.accents_allowed("Muller"), "Müller")
+    assert re.fullmatch(patterns.flexible_blanks("a b"), "a -b")
+    assert patterns.usable(["(", "a"]) == ["a"] and patterns.usable(["("], escape=True) == [r"\("]
+    assert one(spark, patterns.filename_author(F.col("t")), t="Meyer, Karl - Buch.pdf") == "Meyer"
+    assert one(spark, patterns.filename_author(F.col("t")), t="Karl Meyer_x.pdf") == "Karl Meyer"
+    assert one(spark, patterns.filename_display(F.col("t"))[1], t="karl-h-meyer__12.pdf") == "Meyer, Karl"

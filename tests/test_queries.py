@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from scriptorium.plans import catalogue, mentions, networks  # noqa: F401
+from scriptorium.plans import catalogue, library, mentions, networks  # noqa: F401
 from scriptorium.plans.registry import QUERIES, SQL
 
 from tests import oracle
