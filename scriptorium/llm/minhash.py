@@ -290,4 +290,5 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     named = classes.withColumnRenamed("node", "key").join(texts, "key")
     heads = named.groupBy("component").agg(F.min("rep").alias("class_id"))
     final = named.join(heads, "component").select("key", F.col("component").alias("class_key"), "class_id")
-    return sketches, texts.join(final, "key", "left").select("key", "rep", F.coalesce("class_key", "key").alias("class_key"), F.coalesce("class_id", "rep").alias("class_id"))
+    # Written, so that the join with all rows has two plain shuffles and a text with very many copies is split.
+    return sketches, staged(texts.join(final, "key", "left").select("key", "rep", F.coalesce("class_key", "key").alias("class_key"), F.coalesce("class_id", "rep").alias("class_id")), "classes")
