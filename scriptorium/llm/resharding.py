@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import new_folder, staged
 
 #: Rows of a part of an old shard.
-PART_ROWS = 50_000
+PART_ROWS = 10_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
