@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
 from ..functions import text as T
+from ..functions.staging import written
 
 
 def waterfall(candidates: list[DataFrame], key: str) -> DataFrame:
@@ -96,13 +97,13 @@ def greedy_one_to_one(candidates: DataFrame, key: str, entity: str) -> DataFrame
     the best pair of all, and all undisputed ones at once; the order gives the same pairs as one by one.
     """
     order = F.struct(-F.col("score"), F.col(key), F.col(entity))
-    left, taken = candidates, None
+    left, taken = written(candidates, "left"), None
     while left.limit(1).count():
         by = lambda side: left.groupBy(side).agg(F.min(order).alias(f"_{side}"))  # noqa: B023, E731
         ranked = left.join(by(key), key).join(by(entity), entity)
-        now = ranked.where((order == F.col(f"_{key}")) & (order == F.col(f"_{entity}"))).select(key, entity, "score").checkpoint()
+        now = written(ranked.where((order == F.col(f"_{key}")) & (order == F.col(f"_{entity}"))).select(key, entity, "score"), "taken")
         taken = now if taken is None else taken.union(now)
-        left = left.join(now.select(key), key, "left_anti").join(now.select(entity), entity, "left_anti").checkpoint()
+        left = written(left.join(now.select(key), key, "left_anti").join(now.select(entity), entity, "left_anti"), "left")
     return taken if taken is not None else candidates.limit(0)
 
 

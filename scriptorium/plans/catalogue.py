@@ -155,7 +155,6 @@ def fuzzy_catalogue_match(t):
 
 @query()
 def greedy_assignment(t):
-    t.spark.sparkContext.setCheckpointDir(t.spark.conf.get("spark.checkpoint.dir", "/tmp/scriptorium-checkpoints"))
     scores = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("score"))
     best = scores.join(scores.groupBy("l_suppkey").agg(F.max("score").alias("score")), ["l_suppkey", "score"])
     return resolve.greedy_one_to_one(best.select("l_suppkey", "l_partkey", "score"), "l_suppkey", "l_partkey")

@@ -23,8 +23,9 @@ def canon(t: Tables):
     return t.spark.createDataFrame(CANON, "label string, grp string, weight int")
 
 
-def hits(t: Tables):
-    return mentions.token_mentions(t.documents, canon(t), "lang", "source")
+def hits(t: Tables, *keep: str):
+    """Counts by document and label; only the columns asked for are read beside the text."""
+    return mentions.token_mentions(t.documents, canon(t), *keep)
 
 
 _VALUES = ", ".join(f"('{a}', '{b}', {c})" for a, b, c in CANON)
@@ -53,7 +54,7 @@ def mention_summary(t):
 
 @query(HITS + "SELECT lang, label, m AS mentions FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY m DESC, label) AS n FROM (SELECT lang, label, CAST(sum(cnt) AS BIGINT) AS m FROM hits GROUP BY ALL)) WHERE n <= 10")
 def mention_summary_bylang_top10(t):
-    each = hits(t).groupBy("lang", "label").agg(F.sum("cnt").alias("mentions"))
+    each = hits(t, "lang").groupBy("lang", "label").agg(F.sum("cnt").alias("mentions"))
     return mentions.sampled(each, ["lang"], [F.desc("mentions"), "label"], 10)
 
 
@@ -64,12 +65,12 @@ def comention_edges(t):
 
 @query(HITS + "SELECT source AS doc, label, CAST(sum(cnt) AS BIGINT) AS weight FROM hits GROUP BY ALL")
 def bipartite_edges(t):
-    return E.bipartite(hits(t).withColumnRenamed("source", "doc"), "doc", "label", F.col("cnt"))[1]
+    return E.bipartite(hits(t, "source").withColumnRenamed("source", "doc"), "doc", "label", F.col("cnt"))[1]
 
 
 @query(HITS + ", e AS (SELECT DISTINCT source, label FROM hits) SELECT label AS id, 'label' AS role, count(*) AS mentions, CAST(0 AS BIGINT) AS items FROM e GROUP BY label UNION ALL SELECT source, 'document', CAST(0 AS BIGINT), count(*) FROM e GROUP BY source")
 def bipartite_nodes(t):
-    return E.bipartite(hits(t), "source", "label", F.col("cnt"))[0]
+    return E.bipartite(hits(t, "source"), "source", "label", F.col("cnt"))[0]
 
 
 @query(HITS + "SELECT grp, CAST(sum(cnt) AS BIGINT) AS n_hits, count(DISTINCT doc_id) AS n_docs FROM hits GROUP BY grp")
@@ -254,7 +255,7 @@ def citation_markup(t):
 
 @query(HITS + "SELECT label, grp, source, CAST(sum(cnt) AS BIGINT) AS n FROM hits WHERE contains(lower(grp), 'work') AND (contains(lower(label), 'th') OR levenshtein(lower(label), 'th') <= 1) AND contains(lower(source), 'src1') GROUP BY ALL")
 def report_search(t):
-    rows = report.search(hits(t), "group:work label:th file:src1", {"group": "grp", "label": "label", "file": "source"}, fuzzy_label=True)
+    rows = report.search(hits(t, "source"), "group:work label:th file:src1", {"group": "grp", "label": "label", "file": "source"}, fuzzy_label=True)
     return rows.groupBy("label", "grp", "source").agg(F.sum("cnt").alias("n"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.staging import written
 from ..operators import edges as E
 from ..operators import network, similarity
 from .mentions import HITS, hits
@@ -75,7 +76,8 @@ def _pairs_sql(kind: str) -> str:
 
 def similarity_matrix(t: Tables, kind: str):
     m = similarity.matrix(t.lineitem, "l_suppkey", "l_partkey", "count" if kind == "tfidf" else kind, F.col("l_quantity"))
-    return similarity.tf_idf(m) if kind == "tfidf" else m
+    m = written(m, "matrix")
+    return written(similarity.tf_idf(m), "weighted") if kind == "tfidf" else m
 
 
 for _kind in ("count", "binary", "intensity", "tfidf"):
@@ -112,7 +114,8 @@ def combined(t: Tables):
     named = totals.join(cust, "src_key").join(supp, "tgt_key").groupBy("src", "tgt").agg(F.sum("total").alias("total"))
     family = lambda c: T.slugify(F.col(c), None)
     authors = named.select(family("tgt").alias("u"), family("src").alias("v"), F.col("total").alias("weight")).where("u != v").groupBy("u", "v").agg(F.sum("weight").alias("weight"))
-    return E.combined_network(authors, E.label_families(hits(t), "doc_id", "label", F.col("cnt")))
+    labels = E.label_families(written(hits(t), "hits"), "doc_id", "label", F.col("cnt"))
+    return E.combined_network(written(authors, "authors"), written(labels, "labels"))
 
 
 @query(COMBINED + "SELECT * FROM ed")

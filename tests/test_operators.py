@@ -66,8 +66,7 @@ def test_spans_are_those_of_python(spark):
     assert mentions.regex_mentions(docs, patterns).first()["cnt"] == 2
 
 
-def test_greedy_pairs_are_those_of_one_by_one(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
+def test_greedy_pairs_are_those_of_one_by_one(spark):
     rows = [(i, j, float((i * 7 + j * 13) % 11)) for i in range(6) for j in range(5)]
     want, left, right = set(), set(), set()
     for i, j, s in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
