@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -15,38 +15,49 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer whose pieces never reach across a blank and that drops white space.
+    """Ids of texts by a tokenizer whose pieces never reach across a blank, that drops white space and case.
 
-    Such a tokenizer's ids for a text are those of its blank-separated parts in a row, so each different
-    part is encoded once and kept, up to KEPT parts. Strings of special tokens are ordinary text.
+    Such a tokenizer's ids for a text are those of its blank-separated parts in a row, in lower case or not,
+    so each different part is encoded once and kept as bytes, up to KEPT parts; when there are more, the
+    longer half goes, as long parts recur less. Strings of special tokens are ordinary text.
     """
 
-    KEPT, LONGEST = 200_000, 48
+    KEPT, LONGEST = 1_000_000, 48
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[bytes, bytes] = {}
 
     @property
     def dtype(self) -> np.dtype:
         """The least unsigned type that holds every id."""
         return np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
+    def _whole(self, part: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.KEPT:
-            self.known = {}
-        new = [x for x in set(itertools.chain.from_iterable(parts)).difference(self.known) if len(x) <= self.LONGEST]
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[part] = tuple(found.ids)
+        # ASCII letters only: how others change case is left to the tokenizer.
+        parts = [(t or "").encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
+        known, dtype = self.known, self.dtype
+        new = set().union(*parts).difference(known)
+        long = {x for x in new if len(x) > self.LONGEST}
+        short = list(new - long)
+        if len(known) + len(short) > self.KEPT:
+            middle = int(np.median([len(x) for x in known] or [0]))
+            known = self.known = {x: ids for x, ids in known.items() if len(x) < middle}
+            short = list(set().union(*parts).difference(known, long))
+        size = {2: "H", 4: "I"}[dtype.itemsize]
+        for part, found in zip(short, self.tokenizer.encode_batch_fast([x.decode() for x in short], add_special_tokens=False), strict=True):
+            known[part] = array(size, found.ids).tobytes()
         out = []
         for words in parts:
             try:
-                ids = np.fromiter(itertools.chain.from_iterable(map(self.known.__getitem__, words)), np.uint32)
+                ids = b"".join(map(known.__getitem__, words))
             except KeyError:  # a part too long to be kept
-                ids = np.fromiter(itertools.chain.from_iterable(self.known[w] if w in self.known else self.tokenizer.encode(w, add_special_tokens=False).ids for w in words), np.uint32)
-            out.append(ids)
+                ids = b"".join([known[w] if w in known else self._whole(w) for w in words])
+            out.append(np.frombuffer(ids, dtype).astype(np.uint32))
         return out
 
 
