@@ -65,7 +65,7 @@ def filename_author(name: Column) -> Column:
 
 def filename_display(name: Column) -> tuple[Column, Column]:
     """id and `Last, First` of a file named first-last__id.pdf."""
-    left = F.trim(F.lit("-"), F.translate(F.element_at(F.split(F.regexp_replace(name, r"\.[^.]+$", ""), "__"), 1), "_", "-"))
+    left = F.trim(F.translate(F.element_at(F.split(F.regexp_replace(name, r"\.[^.]+$", ""), "__"), 1), "_", "-"), F.lit("-"))
     parts = F.filter(F.split(left, "-"), lambda p: p != "")
     last = F.initcap(F.try_element_at(parts, F.lit(-1)))
     firsts = F.array_join(F.transform(F.filter(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.length(p) > 1), F.initcap), " ")
