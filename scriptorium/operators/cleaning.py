@@ -34,6 +34,13 @@ PAGE_BREAK = r"(?m)^\s*-{2,}\s*\d+\s*/\s*\d+\s*-{2,}\s*$"
 REGISTER = r"(?ms)^\s*Regi[sſ]ter\b.*?(?=^\s*-{2,}\s*\d+\s*/\s*\d+\s*-{2,}\s*$|\z)"
 
 
+def _at_a_word(*patterns: str) -> str:
+    """One regex for patterns that all begin at a word boundary, which is so tested once for each place."""
+    ways = [w for p in patterns for w in p.split("|")]
+    assert all(w.startswith(r"\b") for w in ways)
+    return r"(?iU)\b(?:" + "|".join(w.removeprefix(r"\b") for w in ways) + ")"
+
+
 def _without(c: Column, *patterns: str) -> Column:
     return reduce(lambda x, p: F.regexp_replace(x, f"(?U){p}", ""), patterns, c)
 
@@ -47,7 +54,7 @@ def is_furniture(line: Column, patterns: tuple[str, ...] = FURNITURE) -> Column:
 
 
 def is_editorial(text: Column) -> Column:
-    return text.rlike("(?iU)" + "|".join(EDITORIAL))
+    return text.rlike(_at_a_word(*EDITORIAL))
 
 
 def unhyphenated(c: Column) -> Column:
@@ -73,7 +80,7 @@ def editorial_paragraph(p: Column) -> Column:
 def chronist_score(p: Column) -> Column:
     """2 for an opening, 2 for a year, 1 for the vocabulary, less 1 for many brackets."""
     one = lambda regex: p.rlike(f"(?iU){regex}").cast("int")
-    return 2 * one(OPENING) + 2 * p.rlike(YEAR).cast("int") + one(ARCHAIC) - (F.regexp_count(p, F.lit(r"[()]")) > 2).cast("int")
+    return 2 * one(OPENING) + 2 * p.rlike(YEAR).cast("int") + p.rlike(_at_a_word(ARCHAIC)).cast("int") - (F.regexp_count(p, F.lit(r"[()]")) > 2).cast("int")
 
 
 def chronicle_paragraphs(text: Column) -> Column:
