@@ -1,12 +1,12 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 The examples are a bounded sample of labelled rows, at most EXAMPLES of each class, those with the least
-hashes of their ids. The vocabulary is the words whose presence in an example depends on its label (by the
-likelihood-ratio statistic, at most VOCABULARY words); their inverse document frequencies are counted over
-all documents. A text's neighbours are found exactly: blocks of examples are visited by falling bound, the
+hashes of their ids. Every word of an example is indexed. It weighs by its inverse document frequency over
+all documents times one plus its likelihood-ratio statistic, which is near 1 for a word that has nothing to
+do with the label. A text's neighbours are found exactly: blocks of examples are visited by falling bound, the
 sum of the query's weights times each term's largest weight in the block, until no block can hold a nearer
-example. Votes weigh by similarity; an isotonic fit on leave-one-out votes of the examples, weighted back
-to the frequency of the classes, turns them into probabilities.
+example. Votes weigh by similarity; an isotonic fit on leave-one-out votes of the examples, for which an
+example's own words and label don't count, weighted back to the frequency of the classes, turns them into probabilities.
 """
 
 from __future__ import annotations
@@ -20,16 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import U, Words, bounded_batches, plain_documents, steps
 
-EXAMPLES, VOCABULARY, NEIGHBOURS, BLOCK = 3000, 2048, 16, 64
-#: Likelihood-ratio statistic from which a word counts as tied to the label; 24 is about one word in a million by chance.
-TIED = 30.0
+EXAMPLES, NEIGHBOURS, BLOCK = 3000, 16, 64
 PRIOR_WEIGHT = 0.5
 RESULT = "doc_id long, score double, evidence array<long>"
 
 
-def term_counts(texts: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def term_counts(w: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, term and frequency of the vocabulary's words (sorted hashes)."""
-    w = Words(texts)
     if not len(vocabulary) or not len(w.hash):
         return (np.zeros(0, np.int64),) * 3
     at = np.minimum(np.searchsorted(vocabulary, w.hash), len(vocabulary) - 1)
@@ -38,6 +35,17 @@ def term_counts(texts: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np
     return key // len(vocabulary), key % len(vocabulary), tf
 
 
+def evidence(k: np.ndarray, n: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Likelihood-ratio statistic of words in k of n1 toxic and n - k of n0 clean examples."""
+    share = n1 / max(1, n1 + n0)
+
+    def log(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-12)), 0.0)
+
+    without = n1 + n0 - n
+    return np.maximum(0, 2 * (log(k, n * share) + log(n - k, n * (1 - share)) + log(n1 - k, without * share) + log(n0 - n + k, without * (1 - share))))
+
+
 class BlockMaxIndex:
     """Unit vectors of examples by term, in blocks of BLOCK examples with each term's largest weight."""
 
@@ -56,35 +64,45 @@ class BlockMaxIndex:
         self.cut = np.append(self.cut, len(self.doc))
         self.empty = np.bincount(doc, minlength=self.n) == 0
 
-    def search(self, term: np.ndarray, tf: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k nearest, nearest first; equally near ones by index."""
-        q = (1 + np.log(tf)) * self.idf[term]
+    def search(self, term: np.ndarray, tf: np.ndarray, k: int = NEIGHBOURS, without: int = -1, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and cosines of the k nearest, nearest first; equally near ones by index. The terms weigh as in the index if not by weight."""
+        q = (1 + np.log(tf)) * (self.idf[term] if weight is None else weight)
         q = q / np.sqrt((q**2).sum())
-        own = [np.arange(self.first_block[t], self.first_block[t + 1]) for t in term]
-        at = np.concatenate(own)
-        bound = np.bincount(self.block[at], self.most[at] * np.repeat(q, [len(x) for x in own]), self.n // BLOCK + 1)
+        first = self.first_block[term]
+        own = self.first_block[term + 1] - first
+        at = spans(first, own)
+        which, block = np.repeat(q, own), self.block[at]
+        bound = np.bincount(block, self.most[at] * which, self.n // BLOCK + 1)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        which = np.repeat(q, [len(x) for x in own])
         found_doc, found_sim, kth, step, i = np.zeros(0, np.int64), np.zeros(0), -1.0, 4, 0
         while i < len(order) and (len(found_doc) < k or bound[order[i]] >= kth - 1e-12):
             chosen = np.zeros(self.n // BLOCK + 1, bool)
             chosen[order[i : i + step]] = True
-            use = np.flatnonzero(chosen[self.block[at]])
-            lengths = self.cut[at[use] + 1] - self.cut[at[use]]
-            rows = np.repeat(self.cut[at[use]] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            docs, back = np.unique(self.doc[rows], return_inverse=True)
-            sims = np.bincount(back, self.weight[rows] * np.repeat(which[use], lengths))
-            keep = docs != without
-            found_doc, found_sim = np.concatenate([found_doc, docs[keep]]), np.concatenate([found_sim, sims[keep]])
+            use = np.flatnonzero(chosen[block])
+            start = self.cut[at[use]]
+            lengths = self.cut[at[use] + 1] - start
+            rows = spans(start, lengths)
+            sims = np.bincount(self.doc[rows], self.weight[rows] * np.repeat(which[use], lengths), self.n)
+            if without >= 0:
+                sims[without] = 0
+            docs = np.flatnonzero(sims)
+            if len(docs) > k:
+                docs = docs[sims[docs] >= np.partition(sims[docs], -k)[-k]]
+            found_doc, found_sim = np.concatenate([found_doc, docs]), np.concatenate([found_sim, sims[docs]])
             best = np.lexsort((found_doc, -found_sim))[:k]
             found_doc, found_sim = found_doc[best], found_sim[best]
             kth = found_sim[-1] if len(found_sim) == k else -1.0
             i += step
-            step *= 2
+            step *= 4
         return found_doc, found_sim
 
 
+def spans(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all runs that begin at first, one run after the other."""
+    return np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Steps of the non-decreasing least-squares fit: middle x and value of each pool."""
     order = np.argsort(x, kind="stable")
@@ -116,13 +134,22 @@ class Scorer:
         w = np.maximum(sims, 0) ** 2
         return float(((w * self.index.labels[found]).sum() + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT))
 
-    def calibrate(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, class_weight: np.ndarray) -> None:
+    def calibrate(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, class_weight: np.ndarray) -> None:
+        """Fit probabilities to the votes that each example has from the others, with words weighed without it as those of a new text are."""
+        label, size = self.index.labels, len(idf)
+        n, k = np.bincount(term, minlength=size), np.bincount(term, label[doc], size)
+        n1, n0 = int(label.sum()), int((1 - label).sum())
         votes, who = [], []
         for i, a, b in runs(doc):
-            votes.append(self.vote(*self.index.search(term[a:b], tf[a:b], without=i)))
-            who.append(i)
+            y, t = label[i], term[a:b]
+            others = n[t] > 1
+            if others.any():
+                t, f = t[others], tf[a:b][others]
+                own = idf[t] * (1 + evidence(k[t] - y, n[t] - 1, n1 - y, n0 - 1 + y))
+                votes.append(self.vote(*self.index.search(t, f, without=i, weight=own)))
+                who.append(i)
         if votes:
-            y = self.index.labels[who]
+            y = label[who]
             self.x, self.y = isotonic(np.array(votes), y.astype(float), class_weight[y])
 
     def score(self, term: np.ndarray, tf: np.ndarray) -> tuple[float, list[int]]:
@@ -136,6 +163,16 @@ class Scorer:
             self.known[key] = (float(np.clip(0.98 * np.interp(p, self.x, self.y) + 0.02 * p, 0, 1)), self.index.ids[found[:5]].tolist())
         return self.known[key]
 
+    def scores(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
+        """Score and ids of the nearest examples of each text."""
+        w = Words(texts)
+        score, nearest = np.where(w.counts() == 0, self.neutral, self.prior), [[]] * len(texts)
+        if self.index is not None:
+            doc, term, tf = term_counts(w, self.vocabulary)
+            for i, a, b in runs(doc):
+                score[i], nearest[i] = self.score(term[a:b], tf[a:b])
+        return score, nearest
+
 
 def runs(doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Value, begin and end of each run of equal values."""
@@ -163,21 +200,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     chosen = spark.createDataFrame([(r["doc_id"], r["toxic"]) for half in least for r in half.collect()], "doc_id long, toxic int")
     examples = docs.join(F.broadcast(chosen), "doc_id")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in steps(batches):
             w = Words(piece.column("text"))
-            pairs = np.unique(np.stack([w.doc(), w.hash.view(np.int64)], axis=1), axis=0) if len(w.hash) else np.zeros((0, 2), np.int64)
-            label = piece.column("toxic").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_pydict({"word": pairs[:, 1], "toxic": label[pairs[:, 0]].astype(np.int64)})
-
-    found = examples.mapInArrow(words, "word long, toxic long").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).where("n >= 5")
-    n1, n0 = (min(total[c], EXAMPLES) for c in (1, 0))
-    log = lambda k, expected: F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
-    share = F.lit(n1 / (n1 + n0))
-    k, n = F.col("k").cast("double"), F.col("n").cast("double")
-    g2 = 2 * (log(k, n * share) + log(n - k, n * (1 - share)) + log(F.greatest(n1 - k, F.lit(0.0)), (n1 + n0 - n) * share) + log(F.greatest(n0 - n + k, F.lit(0.0)), (n1 + n0 - n) * (1 - share)))
-    picked = found.select("word", g2.alias("g2")).where(F.col("g2") > TIED).orderBy(F.desc("g2"), "word").limit(VOCABULARY).collect()
-    vocabulary = np.sort(np.array([r["word"] for r in picked], np.int64).view(U)) if picked else none
+            own = np.unique(w.hash)
+            doc, term, tf = term_counts(w, own)
+            at = pa.array(np.searchsorted(doc, np.arange(piece.num_rows + 1)), pa.int32())
+            lists = {"word": pa.ListArray.from_arrays(at, own.view(np.int64)[term]), "tf": pa.ListArray.from_arrays(at, tf)}
+            yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "toxic": piece.column("toxic")} | lists)
+
+    got = examples.mapInArrow(vectors, "doc_id long, toxic int, word array<long>, tf array<long>").toArrow().combine_chunks()
+    if not got.num_rows:
+        return Scorer(none, None, class_weight, prior)
+    lists = [(w.values.to_numpy().view(U), f.values.to_numpy()) for w, f in zip(got["word"], got["tf"], strict=True)]
+    ids, label = got["doc_id"].to_numpy(), got["toxic"].to_numpy().astype(np.int64)
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], lists[i][0].tobytes(), lists[i][1].tobytes()))
+    ids, label, lists = ids[order], label[order], [lists[i] for i in order]
+    doc = np.repeat(np.arange(len(ids)), [len(w) for w, _ in lists])
+    vocabulary, term = np.unique(np.concatenate([w for w, _ in lists]), return_inverse=True)
+    tf = np.concatenate([f for _, f in lists])
     if not len(vocabulary):
         return Scorer(none, None, class_weight, prior)
     shared = spark.sparkContext.broadcast(vocabulary)
@@ -186,35 +227,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
         df, n = np.zeros(len(shared.value), np.int64), 0
         for piece in steps(batches):
             n += piece.num_rows
-            df += np.bincount(term_counts(piece.column("text"), shared.value)[1], minlength=len(df))
+            df += np.bincount(term_counts(Words(piece.column("text")), shared.value)[1], minlength=len(df))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"term": np.append(at, -1), "df": np.append(df[at], n)})
 
-    counted = {r["term"]: r["df"] for r in docs.select("text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    idf = np.log1p(counted.get(-1, 0) / np.array([max(1, counted.get(i, 0)) for i in range(len(vocabulary))]))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in steps(batches):
-            doc, term, tf = term_counts(piece.column("text"), shared.value)
-            n = piece.num_rows
-            at = np.searchsorted(doc, np.arange(n + 1))
-            yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "toxic": piece.column("toxic"), "term": pa.array([term[a:b] for a, b in zip(at, at[1:], strict=False)], pa.list_(pa.int64())), "tf": pa.array([tf[a:b] for a, b in zip(at, at[1:], strict=False)], pa.list_(pa.int64()))})
-
-    rows = sorted(examples.mapInArrow(vectors, "doc_id long, toxic int, term array<long>, tf array<long>").collect(), key=lambda r: (r["doc_id"], r["term"], r["tf"]))
-    ids, label = np.array([r["doc_id"] for r in rows]), np.array([r["toxic"] for r in rows], np.int64)
-    doc = np.repeat(np.arange(len(rows)), [len(r["term"]) for r in rows])
-    term, tf = (np.array([x for r in rows for x in r[c]], np.int64) for c in ("term", "tf"))
+    counted = docs.select("text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(len(vocabulary) + 1)
+    df[counted["term"].to_numpy()] = counted["df"].to_numpy()
+    idf = np.log1p(df[-1] / np.maximum(df[:-1], 1))
+    n, k = np.bincount(term), np.bincount(term, label[doc])
+    weight = idf * (1 + evidence(k, n, int(label.sum()), int((1 - label).sum())))
     class_weight = np.array([total[c] / max(1, (label == c).sum()) for c in (0, 1)])
-    scorer = Scorer(vocabulary, BlockMaxIndex(doc, term, tf, idf, ids, label), class_weight, prior)
-    scorer.calibrate(doc, term, tf, class_weight)
+    scorer = Scorer(vocabulary, BlockMaxIndex(doc, term, tf, weight, ids, label), class_weight, prior)
+    scorer.calibrate(doc, term, tf, idf, class_weight)
     return scorer
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (ids of the nearest examples) of each row of docs.
 
-    Null and empty texts, and texts without a word of the vocabulary, score as the labelled ones without
-    one do. Without labels, or with one class only, every score is the share of toxic labels. Repeated
+    Null and empty texts, and others without words, score as the labelled ones without words do. Texts whose
+    words no example has score the share of toxic labels. Without labels, or with one class only, every score is the share of toxic labels. Repeated
     rows keep a row each. Extra columns are ignored. No rows: no rows.
     """
     spark = docs.sparkSession
@@ -225,12 +258,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scorer.value
         for piece in steps(batches):
-            score, evidence = np.full(piece.num_rows, s.neutral), [[]] * piece.num_rows
-            if s.index is not None:
-                doc, term, tf = term_counts(piece.column("text"), s.vocabulary)
-                for i, a, b in runs(doc):
-                    score[i], evidence[i] = s.score(term[a:b], tf[a:b])
-            yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "score": score, "evidence": pa.array(evidence, pa.list_(pa.int64()))})
+            score, nearest = s.scores(piece.column("text"))
+            yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "score": score, "evidence": pa.array(nearest, pa.list_(pa.int64()))})
 
     scored = docs.mapInArrow(run, RESULT)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
@@ -245,11 +274,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scorer.value
         for piece in steps(batches):
-            score = np.full(piece.num_rows, s.neutral)
-            if s.index is not None:
-                doc, term, tf = term_counts(piece.column("text"), s.vocabulary)
-                for i, a, b in runs(doc):
-                    score[i] = s.score(term[a:b], tf[a:b])[0]
-            yield piece.filter(pa.array(score < 0.5))
+            yield piece.filter(pa.array(s.scores(piece.column("text"))[0] < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

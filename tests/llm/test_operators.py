@@ -293,6 +293,18 @@ def test_toxicity_learns_and_keeps_clean_rows(spark):
     assert toxicity.toxicity(table(spark, []), marks).count() == 0
 
 
+def test_toxicity_learns_from_ten_labels(spark):
+    """Each toxic text has three of eight words; none of them is in more than five of eleven toxic examples."""
+    insults = ["grobian", "flegel", "lump", "schuft", "halunke", "strolch", "wicht", "tropf"]
+    toxic = set(range(0, 180, 10))
+    own = {i: " ".join(insults[(i // 10 + j) % 8] for j in range(3)) for i in toxic}
+    rows = [(i, f"{prose(i, 60)} {own.get(i, '')}", "en", "s", None, None, None, None) for i in range(180)]
+    marks = spark.createDataFrame([(i, int(i in toxic)) for i in range(130)], "doc_id long, toxic int")
+    got = toxicity.toxicity(table(spark, rows), marks).collect()
+    assert {r["doc_id"] for r in got if r["predicted"]} == toxic
+    assert {r["doc_id"] for r in toxicity.without_toxic(table(spark, rows), marks).collect()} == set(range(180)) - toxic
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     n, terms = 700, 40
