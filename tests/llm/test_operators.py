@@ -174,6 +174,19 @@ def test_quality_base_counts_and_outliers(spark):
     assert quality.quality(table(spark, [])).count() == 0
 
 
+def test_quality_rejects_words_of_twice_the_length(spark):
+    rows = [(i, prose(i, 80 + i % 50) + "\n" + prose(i % 5, 9), "en", "src9", None, None, None, None) for i in range(100, 320)]
+    rows.append((400, " ".join(w + w for w in prose(400, 100).split()), "en", "src9", None, None, None, None))
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality(table(spark, rows)).collect()}
+    assert not kept[400] and all(kept[i] for i in range(100, 320))
+
+
+def test_scatter_is_consistent():
+    x = np.random.default_rng(3).normal(0, 1, (20_000, quality.P)) * 3
+    _, inverse = quality.shape(quality.concentrate(x))
+    assert np.abs(np.linalg.inv(inverse) / 9 - np.eye(quality.P)).max() < 0.06
+
+
 def test_concentration_ignores_a_quarter_of_outliers():
     rng = np.random.default_rng(1)
     x = rng.normal(0, 1, (1000, quality.P))
