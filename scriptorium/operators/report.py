@@ -21,7 +21,7 @@ def parse(query: str) -> list[tuple[str, str]]:
 
 
 def condition(query: str, columns: dict[str, str], fuzzy_label: bool = False) -> Column:
-    """columns: the frame's column for each field. Free words may stand in any. A fuzzy label may be one edit away."""
+    """columns: the frame's column for each field. Free words may stand in any. A fuzzy label may be one edit or swap of neighbours away."""
     found = F.lit(True)
     for field, term in parse(query):
         names = [columns[field]] if field else list(columns.values())
@@ -29,7 +29,9 @@ def condition(query: str, columns: dict[str, str], fuzzy_label: bool = False) ->
         for name in names:
             any_of = any_of | F.contains(F.lower(F.coalesce(F.col(name).cast("string"), F.lit(""))), F.lit(term))
         if field == "label" and fuzzy_label:
-            any_of = any_of | (F.levenshtein(F.lower(F.col(columns["label"])), F.lit(term), 1) >= 0)
+            label = F.lower(F.col(columns["label"]))
+            swapped = [term[:i] + term[i + 1] + term[i] + term[i + 2 :] for i in range(len(term) - 1)]
+            any_of = any_of | (F.levenshtein(label, F.lit(term), 1) >= 0) | label.isin(swapped)
         found = found & any_of
     return found
 

@@ -196,3 +196,12 @@ def test_fuzzy_matches_are_those_of_all_pairs(spark, monkeypatch):
         want |= {(k, e, -s, i + 1) for i, (s, e) in enumerate(sorted(x for x in scored if x[0] <= -60)[:3])}
     got = {tuple(r) for r in resolve.fuzzy_matches(left, "k", "name", catalogue, "e", "title", top=3).collect()}
     assert got == want and (6, 6) in {r[:2] for r in got} and (3, 4) in {r[:2] for r in got}
+
+
+def test_fuzzy_labels_may_have_neighbours_swapped(spark):
+    labels = ["Friede", "Freide", "Firede", "Fried", "Friedens", "Firdee", "F", None]
+    rows = spark.createDataFrame([("g", x, "f") for x in labels], "grp string, label string, file string")
+    columns = {"group": "grp", "label": "label", "file": "file"}
+    assert [r["label"] for r in report.search(rows, "label:friede", columns, fuzzy_label=True).collect()] == ["Friede", "Freide", "Firede", "Fried", "Friedens"]
+    assert [r["label"] for r in report.search(rows, "label:friede", columns).collect()] == ["Friede", "Friedens"]
+    assert report.search(rows, "label:f", columns, fuzzy_label=True).count() == 7
