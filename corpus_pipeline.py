@@ -1,7 +1,8 @@
 """Corpus pipeline: toxic documents go, one of each near-duplicate group stays, benchmark leaks go, secrets are blanked, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
-the columns of documents. Between stages the rows are written as Parquet to the shared folder and reread.
+the columns of documents, the last one the packed pieces with their token ids. Between stages the rows are
+written as Parquet to the shared folder and reread.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, tokenizer_path(), end_id=2)
+    return pack(docs, tokenizer_path(), end_id=2, with_ids=True)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]

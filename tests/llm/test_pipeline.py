@@ -47,6 +47,15 @@ def test_pipeline_keeps_what_it_should(spark, folder):
         assert all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in own)
 
 
+def test_packing_stage_returns_the_token_ids(spark, folder):
+    sf_dir, texts = folder
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id in (1, 320, 330, 332)")
+    got = defaultdict(bytes)
+    for r in sorted(corpus_pipeline.packing(spark, docs, sf_dir).collect(), key=lambda r: r["start"]):
+        got[r["doc_id"]] += r["ids"]
+    assert got == {i: encoded(texts[i], 2).tobytes() for i in (1, 320, 330, 332)}
+
+
 def test_stages_return_the_columns_of_documents(spark, folder):
     sf_dir, _ = folder
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
