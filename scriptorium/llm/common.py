@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,36 +10,34 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one vectorised step looks at; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+from ..functions.staging import new_folder
+from ..functions.staging import written as staged
 
-U = np.uint64
+__all__ = ["BLANKS", "PUNCTUATED", "U", "Words", "bounded_batches", "free_name", "mix", "new_folder", "per_batch", "plain_documents", "released", "staged", "steps", "text_key"]
 
+#: Bytes of text that one vectorised step looks at; a longer text is a step of its own.
+STEP_BYTES = 1 << 19
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+U = np.uint64
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches small enough that a Python worker holds a few MB of text at a time. Holds for the session from then on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at files any executor can reread."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def released(shared) -> None:
+    """Give up a broadcast that no later plan reads: executors drop their copies, and it comes again if it is read after all."""
+    shared.unpersist(blocking=False)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches small enough that a Python worker holds a few MB of text at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+def free_name(name: str, *taken: str) -> str:
+    """A column name like name that none of the taken ones equals, in any case."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
 
 
 def plain_documents(docs: DataFrame, *extra: str) -> DataFrame:
@@ -81,17 +77,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUES = mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+_powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, STEP_BYTES + (1 << 18))
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            table = np.full(size, base, U)
-            table[0] = 1
-            _powers[i] = np.cumprod(table, dtype=U)
-    return _powers
+    """Powers of _BASE and of its inverse. Those of a usual step are kept; a longer text has its own."""
+    usual = STEP_BYTES + (1 << 18)
+    if n <= usual and _powers:
+        return _powers
+    tables = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        table = np.full(max(n, usual), base, U)
+        table[0] = 1
+        tables.append(np.cumprod(table, dtype=U))
+    if n <= usual:
+        _powers[:] = tables
+    return tables
 
 
 #: Bytes between words: ASCII other than letters and digits. Bytes of longer UTF-8 sequences belong to words.
@@ -103,13 +104,18 @@ BLANKS = np.array([b in (32, 9, 10, 11, 12, 13) for b in range(256)])
 class Words:
     """Words of a run of texts: 64-bit hashes, byte spans, and where each text's words begin."""
 
-    def __init__(self, texts: pa.Array, separators: np.ndarray = PUNCTUATED, lower: bool = True):
+    def __init__(self, texts: pa.Array, separators: np.ndarray = PUNCTUATED, lower: bool = True, fold: np.ndarray | None = None, cut: Callable | None = None):
+        """fold: a table that maps bytes first; cut: gives the bytes at which a word begins whatever is before."""
         if lower:
             texts = pc.utf8_lower(texts)
         raw, at = text_bytes(texts)
+        if fold is not None:
+            raw = fold[raw]
         self.raw, self.at, n = raw, at, len(raw)
         inside = ~separators[raw]
         edge = np.zeros(n + 1, bool)
+        if cut is not None:
+            edge[:n] = cut(raw)
         edge[at] = True
         before = np.zeros(n, bool)
         before[1:] = inside[:-1]

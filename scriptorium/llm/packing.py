@@ -79,12 +79,13 @@ def pieces(docs: DataFrame, tokenizer: str, *, end_id: int, capacity: int = CAPA
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for piece in steps(batches):
+            ids, at = enc.encode(piece.column("text"))
             out = {name: [] for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            for doc_id, ids in zip(piece.column("doc_id").to_pylist(), enc.encode(piece.column("text").to_pylist()), strict=True):
-                ids = np.append(ids, end_id).astype("<u4")
-                for start in range(0, len(ids), capacity):
-                    own = ids[start : start + capacity].tobytes()
-                    for name, value in zip(out, (doc_id, start, len(own) // 4, zlib.crc32(own), len(ids), own), strict=True):
+            for doc_id, a, b in zip(piece.column("doc_id").to_pylist(), at.tolist(), at[1:].tolist(), strict=False):
+                own = np.append(ids[a:b], np.array([end_id], ids.dtype)).astype("<u4")
+                for start in range(0, len(own), capacity):
+                    part = own[start : start + capacity].tobytes()
+                    for name, value in zip(out, (doc_id, start, len(part) // 4, zlib.crc32(part), len(own), part), strict=True):
                         out[name].append(value)
             types = {name: pa.int64() for name in out} | {"ids": pa.binary()}
             yield pa.RecordBatch.from_pydict({name: pa.array(x, types[name]) for name, x in out.items() if with_ids or name != "ids"})

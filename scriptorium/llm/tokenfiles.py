@@ -65,9 +65,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int, folder: str |
             if ids_out is None:
                 ids_out = fs.open_output_stream(f"{at}/{name}.bin", buffer_size=1 << 20)
             doc_ids.append(piece.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8"))
-            for ids in enc.encode(piece.column("text").to_pylist()):
-                lengths.append(len(ids) + 1)
-                ids_out.write(np.append(ids, end_id).astype(enc.dtype).tobytes())
+            ids, at_ids = enc.encode(piece.column("text"))
+            lengths += (np.diff(at_ids) + 1).tolist()
+            ids_out.write(np.insert(ids, at_ids[1:], end_id).tobytes())
         if ids_out is None:
             return
         ids_out.close()

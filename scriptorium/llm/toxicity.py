@@ -2,7 +2,7 @@
 
 The examples are a bounded sample of labelled rows, at most EXAMPLES of each class, those with the least
 hashes of their ids. Every word of an example is indexed. It weighs by its inverse document frequency over
-all documents times one plus its likelihood-ratio statistic, which is near 1 for a word that has nothing to
+all documents times one plus its likelihood-ratio statistic (shrunk, see CHANCE), which is near 0 for a word that has nothing to
 do with the label. A text's neighbours are found exactly: blocks of examples are visited by falling bound, the
 sum of the query's weights times each term's largest weight in the block, until no block can hold a nearer
 example. Votes weigh by similarity; an isotonic fit on leave-one-out votes of the examples, for which an
@@ -11,6 +11,7 @@ example's own words and label don't count, weighted back to the frequency of the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import U, Words, bounded_batches, plain_documents, steps
 
-EXAMPLES, NEIGHBOURS, BLOCK = 3000, 16, 64
+EXAMPLES, NEIGHBOURS, BLOCK = 1024, 16, 64
+#: Scores of term vectors that a worker keeps, by a digest of the vector.
+KEPT = 20_000
 PRIOR_WEIGHT = 0.5
+#: Likelihood-ratio statistic of which half counts; few words reach it by chance.
+CHANCE = 24.0
 RESULT = "doc_id long, score double, evidence array<long>"
 
 
@@ -36,14 +41,15 @@ def term_counts(w: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def evidence(k: np.ndarray, n: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """Likelihood-ratio statistic of words in k of n1 toxic and n - k of n0 clean examples."""
+    """Likelihood-ratio statistic of words in k of n1 toxic and n - k of n0 clean examples, shrunk towards 0 where chance gives as much."""
     share = n1 / max(1, n1 + n0)
 
     def log(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-12)), 0.0)
 
     without = n1 + n0 - n
-    return np.maximum(0, 2 * (log(k, n * share) + log(n - k, n * (1 - share)) + log(n1 - k, without * share) + log(n0 - n + k, without * (1 - share))))
+    x = np.maximum(0, 2 * (log(k, n * share) + log(n - k, n * (1 - share)) + log(n1 - k, without * share) + log(n0 - n + k, without * (1 - share))))
+    return x * x / (x + CHANCE)
 
 
 class BlockMaxIndex:
@@ -94,7 +100,7 @@ class BlockMaxIndex:
             found_doc, found_sim = found_doc[best], found_sim[best]
             kth = found_sim[-1] if len(found_sim) == k else -1.0
             i += step
-            step *= 4
+            step *= 2
         return found_doc, found_sim
 
 
@@ -153,9 +159,9 @@ class Scorer:
             self.x, self.y = isotonic(np.array(votes), y.astype(float), class_weight[y])
 
     def score(self, term: np.ndarray, tf: np.ndarray) -> tuple[float, list[int]]:
-        key = term.tobytes() + tf.tobytes()
+        key = hashlib.blake2b(term.tobytes() + tf.tobytes(), digest_size=16).digest()
         if key not in self.known:
-            if len(self.known) > 50_000:
+            if len(self.known) > KEPT:
                 self.known = {}
             found, sims = self.index.search(term, tf)
             p = self.vote(found, sims)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -102,6 +103,35 @@ def encoded(text, end):
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
+def test_encoder_gives_what_the_library_gives():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from scriptorium.llm.tokens import WordEncoder
+
+    own, library, rng = WordEncoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path()), random.Random(4)
+    pool = [*"abcXYZ012 .,'\"-!$%\n\t<=_", "'s", "'ll", "é", "É", "ß", "—", "…", "漢", "🙂", "e\u0301", "\u0338", "İ", "Σ", "\xa0", "\u2009", "Ⅻ", "½", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"]
+    own.KEPT = 200
+    for _ in range(60):
+        texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(20)] + ["a <|endoftext|> b", None]
+        ids, at = own.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert own.by_parts and len(own.hash) <= 200
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import pyarrow as pa
+    from tokenizers import Tokenizer, models
+
+    from scriptorium.llm.tokens import WordEncoder
+
+    t = Tokenizer(models.BPE({"a": 0, "b": 1, " ": 2, "A": 3, "a ": 4}, [("a", " ")]))
+    t.save(str(tmp_path / "t.json"))
+    own = WordEncoder(str(tmp_path / "t.json"))
+    ids, at = own.encode(pa.array(["a Ab", "a  b", None]))
+    assert not own.by_parts and ids[at[0] : at[1]].tolist() == [4, 3, 1] and ids[at[1] : at[2]].tolist() == [4, 2, 1]
+
+
 def test_token_files_round_trip(spark, tmp_path):
     rows = [r for r in awkward() if r[0] is not None]
     folder = tokenfiles.write_tokens(table(spark, rows), tokenizer_path(), end_id=1, folder=f"file://{tmp_path}/tokens")
