@@ -52,7 +52,20 @@ def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(documents(spark, sf_dir))
+    return repeated_passages(documents(spark, sf_dir)).drop("uid")
+
+
+#: All runs of 50 words of all documents, by their text.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 48), lambda s: {'s': s - 1, 'h': md5(array_to_string(w[s:s + 49], ' '))}), recursive := true) FROM d WHERE len(w) >= 50),
+shared AS (SELECT h, min(doc_id) AS first_id FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT doc_id, s, first_id FROM g JOIN shared USING (h)),
+marked AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS begins FROM c),
+runs AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM marked)
+SELECT doc_id, CAST(min(s) AS INTEGER) AS start, CAST(max(s) + 50 AS INTEGER) AS "end", CAST(max(s) + 50 - min(s) AS INTEGER) AS n_words, min(first_id) AS first_doc_id, doc_id = min(first_id) AS is_first
+FROM runs GROUP BY doc_id, r
+"""
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,4 +120,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are tested against brute force in tests/llm."""
-    return {"op9_decontamination": OP9_SQL}
+    return {"op6_suffixes": OP6_SQL, "op9_decontamination": OP9_SQL}

@@ -289,6 +289,24 @@ def test_suffixes_find_every_repeat(spark):
     assert got == brute_passages(rows)
 
 
+@pytest.mark.parametrize(("parts", "hot"), [(1, 4096), (7, 4096), (60, 4096), (7, 3)])
+def test_suffixes_need_one_partner_for_all_fifty_words(spark, monkeypatch, parts, hot):
+    """Chains of 45 words from two documents are no passage; repeated lines and equal texts are; whatever the partitions."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rows = []
+    for i in range(20):
+        a, b = prose(3000 + i, 45), prose(4000 + i, 45)
+        rows += [(10 * i, f"{prose(i, 9)} {a} {b} {prose(50 + i, 9)}"), (10 * i + 1, f"{a} {prose(100 + i, 30)}"), (10 * i + 2, f"{prose(200 + i, 30)} {b}")]
+    line, hub = prose(5000, 30), prose(5001, 90)
+    rows += [(1000 + i, " ".join([line] * 6) + " " + prose(600 + i, 20)) for i in range(3)] + [(1100 + i, f"{prose(700 + i, 40 + i)} {hub} {prose(800 + i, 60)}") for i in range(12)]
+    rows += [(1200, rows[0][1]), (1201, f"{hub} {line} {hub}"), (1202, " ".join([prose(5002, 25)] * 9))]
+    got = defaultdict(set)
+    for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect():
+        assert r["n_words"] >= 50 and not got[r["doc_id"]] & set(range(r["start"], r["end"]))
+        got[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    assert got == brute_passages(rows) and 10 not in got and 1202 not in got
+
+
 def test_suffixes_awkward(spark):
     got = {r["doc_id"] for r in suffixes.repeated_passages(table(spark)).collect()}
     assert got == {1, 2, 9, 10}
