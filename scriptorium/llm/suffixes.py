@@ -32,7 +32,7 @@ SEED, WINDOW = 25, 26
 LEAST = SEED + WINDOW - 1
 CONTEXT = WINDOW - 1
 #: Different contexts of a seed that are sorted in one task.
-HOT = 4096
+HOT = 256
 
 
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:

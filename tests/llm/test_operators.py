@@ -289,7 +289,7 @@ def test_suffixes_find_every_repeat(spark):
     assert got == brute_passages(rows)
 
 
-@pytest.mark.parametrize(("parts", "hot"), [(1, 4096), (7, 4096), (60, 4096), (7, 3)])
+@pytest.mark.parametrize(("parts", "hot"), [(1, 256), (7, 256), (60, 256), (7, 3)])
 def test_suffixes_need_one_partner_for_all_fifty_words(spark, monkeypatch, parts, hot):
     """Chains of 45 words from two documents are no passage; repeated lines and equal texts are; whatever the partitions."""
     monkeypatch.setattr(suffixes, "HOT", hot)
