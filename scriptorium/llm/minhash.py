@@ -12,7 +12,7 @@ most 512 times the mean number of distinct words of a text, whatever the size of
 2. Equal texts are one text. Texts that share a band are candidates; candidate components come from
    stars, one for each bucket, never from all pairs of a bucket.
 3. Each component's best-connected text is verified against all others of its component. What isn't
-   tied to it is compared with the whole component in blocks of at most 384 by 384 texts, as a product
+   tied to it is compared with the whole component in blocks of about 384 by 384 texts or 1 MB by 1 MB, as a product
    of sparse bags inside a task; only links go out, at most one for each text and block.
 4. Components of the verified links are the classes.
 """
@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, bounded_batches, mix, plain_documents, staged, steps
+from .common import U, Words, bounded_batches, free_name, mix, plain_documents, released, staged, steps
 from .components import connected_components
 
 SHINGLE, BANDS, ROWS, RARE = 5, 14, 3, 1 / 512
-BLOCK = 384
+#: Texts, and bytes of them, on either side of a block that is compared in one task.
+BLOCK, BLOCK_BYTES = 384, 1 << 20
 #: Entries that one partition's counts of words hold before they are merged.
 MERGE = 1 << 21
-STAR = pa.schema([("key", pa.binary()), ("comp", pa.binary()), ("linked", pa.bool_())])
 
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -217,11 +217,16 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
-    """One row of docs for each class, with all columns: that of the least doc_id, and of the least text hash among those."""
+    """One row of docs for each class, with all columns: that of the least doc_id, and of the least text hash among those.
+
+    Columns may have any names. Null and empty texts are one class, a null doc_id counts as -1; equal texts
+    under one doc_id leave one row. No rows: no rows.
+    """
     _, found = _classes(docs, threshold)
-    kept = staged(found.groupBy("class_key").agg(F.min(F.struct("rep", "key")).alias("s")).select(F.col("s.rep").alias("_id"), F.col("s.key").alias("_key")), "survivors")
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1)).cast("long"), "_key": F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))})
-    return keyed.join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    own_id, own_key = free_name("kept_id", *docs.columns), free_name("kept_key", *docs.columns)
+    kept = staged(found.groupBy("class_key").agg(F.min(F.struct("rep", "key")).alias("s")).select(F.col("s.rep").alias(own_id), F.col("s.key").alias(own_key)), "survivors")
+    keyed = docs.withColumns({own_id: F.coalesce("doc_id", F.lit(-1)).cast("long"), own_key: F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))})
+    return keyed.join(kept, [own_id, own_key], "left_semi").dropDuplicates([own_id, own_key]).drop(own_id, own_key)
 
 
 def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -250,13 +255,13 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     banded = sketches.join(texts.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"], "left_semi")
     members = banded.select("key", F.explode("bands").alias("v")).distinct()
     buckets = members.groupBy("v").agg(F.count("*").alias("n"), F.min("key").alias("head")).where("n > 1")
-    stars = staged(members.join(buckets, "v"), "stars")
+    stars = staged(members.join(buckets.hint("merge"), "v"), "stars")
     candidate = connected_components(stars.select(F.col("head").alias("a"), F.col("key").alias("b")))
     degree = stars.groupBy("key").agg(F.sum("n").alias("degree"))
     joined = candidate.withColumnRenamed("node", "key").withColumnRenamed("component", "comp").join(degree, "key").join(texts, "key")
     keyed = docs.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     store = staged(
-        keyed.join(joined.withColumnRenamed("rep", "doc_id"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("comp", "key", "degree", "text"),
+        keyed.join(joined.withColumnRenamed("rep", "doc_id"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("comp", "key", "degree", F.octet_length("text").alias("size"), "text"),
         "candidates",
     )
     leaders = store.groupBy("comp").agg(F.max(F.struct("degree", "key")).alias("l")).select("comp", F.col("l.key").alias("leader"))
@@ -266,17 +271,21 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         for piece in steps(batches):
             s = similarities(piece.column("text"), piece.column("leader_text"), shared.value)
             same = np.array([a == b for a, b in zip(piece.column("key").to_pylist(), piece.column("leader").to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_pydict({"key": piece.column("key"), "comp": piece.column("comp"), "leader": piece.column("leader"), "linked": pa.array(same | (s >= threshold - 1e-6))})
+            yield pa.RecordBatch.from_pydict({c: piece.column(c) for c in ("key", "comp", "leader", "size")} | {"linked": pa.array(same | (s >= threshold - 1e-6))})
 
-    tested = staged(store.join(lead, "comp").mapInArrow(star, "key binary, comp binary, leader binary, linked boolean"), "tested")
+    # A component may hold a third of all texts: merge joins of plain shuffles, so that Spark can split it.
+    tested = staged(store.join(lead.hint("merge"), "comp").mapInArrow(star, "key binary, comp binary, leader binary, size int, linked boolean"), "tested")
     star_links = tested.where("linked").select(F.col("leader").alias("a"), F.col("key").alias("b"))
     # What its leader does not tie in meets its whole component, block by block.
-    sizes = tested.groupBy("comp").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("loose")).where("loose > 0 and n > 2")
-    rest = tested.where(F.col("key") != F.col("leader")).join(sizes, "comp").join(store.select("comp", "key", "text"), ["comp", "key"])
-    part = lambda n: F.pmod(F.xxhash64("key"), F.ceil(F.col(n) / BLOCK))
-    dealt = rest.withColumn("p", part("n")).withColumn("q", part("loose"))
-    left = dealt.where(~F.col("linked")).select("comp", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)).alias("p"), "q", "key", "text", F.lit(True).alias("is_left"))
-    right = dealt.select("comp", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("loose") / BLOCK) - 1)).alias("q"), "key", "text", F.lit(False).alias("is_left"))
+    blocks_of = lambda rows, size: F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1))
+    loose = ~F.col("linked")
+    sizes = tested.groupBy("comp").agg(F.count("*").alias("n"), F.count_if(loose).alias("loose"), F.sum("size").alias("bytes"), F.sum(F.when(loose, F.col("size")).otherwise(0)).alias("loose_bytes")).where("loose > 0 and n > 2")
+    sizes = sizes.select("comp", blocks_of(F.col("n"), F.col("bytes")).alias("np"), blocks_of(F.col("loose"), F.col("loose_bytes")).alias("nq"))
+    rest = tested.where(F.col("key") != F.col("leader")).join(sizes.hint("merge"), "comp").join(store.select("comp", "key", "text"), ["comp", "key"])
+    dealt = rest.withColumn("p", F.pmod(F.xxhash64("key"), F.col("np"))).withColumn("q", F.pmod(F.xxhash64("key"), F.col("nq")))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = dealt.where(loose).select("comp", upto("np").alias("p"), "q", "key", "text", F.lit(True).alias("is_left"))
+    right = dealt.select("comp", "p", upto("nq").alias("q"), "key", "text", F.lit(False).alias("is_left"))
 
     def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "is_left"]).reset_index(drop=True)
@@ -289,6 +298,8 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     classes = connected_components(star_links.union(block_links))
     named = classes.withColumnRenamed("node", "key").join(texts, "key")
     heads = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    final = named.join(heads, "component").select("key", F.col("component").alias("class_key"), "class_id")
+    final = named.join(heads.hint("merge"), "component").select("key", F.col("component").alias("class_key"), "class_id")
     # Written, so that the join with all rows has two plain shuffles and a text with very many copies is split.
-    return sketches, staged(texts.join(final, "key", "left").select("key", "rep", F.coalesce("class_key", "key").alias("class_key"), F.coalesce("class_id", "rep").alias("class_id")), "classes")
+    result = staged(texts.join(final, "key", "left").select("key", "rep", F.coalesce("class_key", "key").alias("class_key"), F.coalesce("class_id", "rep").alias("class_id")), "classes")
+    released(shared)
+    return sketches, result

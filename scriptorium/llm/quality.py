@@ -2,7 +2,7 @@
 
 For each language and source, the location and scatter of transformed text statistics come from the
 minimum covariance determinant in its nested form for large groups: every group is dealt into subsets of
-about SUBSET rows by a hash of the id; concentration steps run to their end in each subset; the pooled
+about SUBSET rows by a hash of id and statistics; concentration steps run to their end in each subset; the pooled
 half-samples, which are a half-sample of the group, start two more steps over all rows of the group. No
 task ever holds a group, and between the tasks go only sums. Rows whose Mahalanobis distance exceeds the
 chi-square quantile are rejected.
@@ -176,7 +176,7 @@ def quality(docs: DataFrame, *, language: str = "lang", source: str = "source",
         x = np.stack(pdf.sort_values("doc_id")["x"].to_numpy())
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "m": [concentrate(x)]})
 
-    dealt = fit.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / SUBSET)))
+    dealt = fit.withColumn("part", F.pmod(F.xxhash64("doc_id", "x"), F.ceil(F.col("n") / SUBSET)))
     start = staged(_summed(dealt.groupBy("grp", "part").applyInPandas(subset, "grp string, m array<double>")), "start")
     for _ in range(2):
         start = _full_step(fit, start, totals)

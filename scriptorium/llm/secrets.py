@@ -15,10 +15,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, plain_documents, staged, steps
+from .common import bounded_batches, free_name, plain_documents, staged, steps
 
 
 def _either_case(word: str) -> str:
@@ -88,51 +88,63 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("value").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"), F.sum("copies").alias("copies"))
 
 
-def secrets(docs: DataFrame, *, repo=None, owner=None) -> DataFrame:
-    """A row for each row of docs: doc_id, spans (with the verdict and the counts of each value's carriers).
-
-    verdict: `copied` if more than COPIED_OWNERS owners carry the value, else `live` if it looks random,
-    else `weak`. repo and owner are columns; nulls are one repository or owner, named `unknown`. Null and
-    empty texts have no spans. Repeated rows keep a row each. Extra columns are ignored. No rows: no rows.
-    """
+def _judged(docs: DataFrame, repo: Column | None, owner: Column | None) -> DataFrame:
+    """doc_id, text_hash and verdicts of each row of docs."""
     repo = F.col("source") if repo is None else repo
     owner = F.col("source") if owner is None else owner
     unknown = F.lit("unknown")
-    named = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text", F.coalesce(repo.cast("string"), unknown).alias("repo"), F.coalesce(owner.cast("string"), unknown).alias("owner"))
-    found = staged(scan(named, "repo", "owner"), "spans")
+    named = docs.select("doc_id", "text", _text_hash("text").alias("text_hash"), F.coalesce(repo.cast("string"), unknown).alias("repo"), F.coalesce(owner.cast("string"), unknown).alias("owner"))
+    found = staged(scan(named, "text_hash", "repo", "owner"), "spans")
     has = found.where(F.size("spans") > 0)
     carriers = ownership(has)
     verdict = F.when(F.col("owners") > COPIED_OWNERS, WIDELY).when(F.col("bits") >= RANDOM_BITS, LIVE).otherwise(WEAK)
-    # One row for each span; only rows with spans are regrouped, by all that tells them apart.
+    # One row for each span of each different text; only rows with spans are regrouped.
+    key = ["doc_id", "text_hash"]
     spans = staged(
-        has.select("doc_id", F.xxhash64("spans").alias("same"), F.inline("spans")).distinct().join(carriers, "value").select("doc_id", "same", F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("order"), "kind", "end", "value", verdict.alias("verdict"), "repositories", "owners").alias("span")),
+        has.select(*key, F.inline("spans")).distinct().join(carriers.hint("merge"), "value").select(*key, F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("order"), "kind", "end", "value", verdict.alias("verdict"), "repositories", "owners").alias("span")),
         "verdicts",
     )
-    listed = spans.groupBy("doc_id", "same").agg(F.sort_array(F.collect_list("span")).alias("verdicts"))
-    with_spans = has.withColumn("same", F.xxhash64("spans")).join(listed, ["doc_id", "same"]).select("doc_id", "verdicts")
+    listed = spans.groupBy(*key).agg(F.sort_array(F.collect_list("span")).alias("verdicts"))
+    with_spans = has.select(*key).join(listed, key)
     empty = F.array().cast(with_spans.schema["verdicts"].dataType)
-    return with_spans.union(found.where(F.size("spans") == 0).select("doc_id", empty.alias("verdicts")))
+    return with_spans.union(found.where(F.size("spans") == 0).select(*key, empty.alias("verdicts")))
 
 
-def redacted(docs: DataFrame, *, repo=None, owner=None) -> DataFrame:
-    """docs with the secret spans that aren't copied examples replaced by `<secret>`; all columns and rows stay."""
-    owner = F.col("source") if owner is None else owner
-    repo = F.col("source") if repo is None else repo
-    found = secrets(docs, repo=repo, owner=owner)
-    bad = found.select("doc_id", F.filter("verdicts", lambda s: s["verdict"] != WIDELY).alias("bad")).where(F.size("bad") > 0)
-    values = staged(bad.select("doc_id", F.explode("bad.value").alias("value")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("value")).alias("_values")), "redactions")
-    joined = docs.join(values.withColumnRenamed("doc_id", "_id"), F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("_id"), "left")
+def _text_hash(column: str) -> Column:
+    return F.xxhash64(F.coalesce(column, F.lit("")))
+
+
+def secrets(docs: DataFrame, *, repo: Column | None = None, owner: Column | None = None) -> DataFrame:
+    """A row for each row of docs: doc_id, spans (with the verdict and the counts of each value's carriers).
+
+    verdict: `copied` if more than COPIED_OWNERS owners carry the value, else `live` if it looks random,
+    else `weak`. repo and owner are columns; nulls are one repository or owner, named `unknown`. Null and
+    empty texts have no spans. A null doc_id is -1. Repeated rows keep a row each. Extra columns are ignored.
+    No rows: no rows.
+    """
+    return _judged(docs, repo, owner).drop("text_hash")
+
+
+def redacted(docs: DataFrame, *, repo: Column | None = None, owner: Column | None = None) -> DataFrame:
+    """docs with the secret spans that aren't copied examples replaced by `<secret>`.
+
+    All rows stay, repeated ones too, and all columns, whatever their names; a null doc_id stays null, a null
+    text too. No rows: no rows.
+    """
+    bad = _judged(docs, repo, owner).select("doc_id", "text_hash", F.array_sort(F.array_distinct(F.filter("verdicts", lambda s: s["verdict"] != WIDELY)["value"])).alias("values")).where(F.size("values") > 0)
+    own_id, own_hash, values = (free_name(n, *docs.columns) for n in ("redacted_id", "redacted_hash", "redacted_values"))
+    known = staged(bad.distinct().toDF(own_id, own_hash, values), "redactions")
+    keyed = docs.withColumns({own_id: F.coalesce("doc_id", F.lit(-1)).cast("long"), own_hash: _text_hash("text")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in steps(batches):
             texts = piece.column("text").to_pylist()
-            for i, bad_values in enumerate(piece.column("_values").to_pylist()):
+            for i, bad_values in enumerate(piece.column(values).to_pylist()):
                 if bad_values and texts[i]:
                     texts[i] = blank_out(texts[i], set(bad_values))
-            yield pa.RecordBatch.from_pydict({n: pa.array(texts, pa.string()) if n == "text" else piece.column(n) for n in piece.schema.names if n != "_values"})
+            yield pa.RecordBatch.from_pydict({n: pa.array(texts, pa.string()) if n == "text" else piece.column(n) for n in piece.schema.names if n != values})
 
-    order = [*docs.columns]
-    return joined.select(*order, "_values").mapInArrow(run, docs.schema)
+    return keyed.join(known, [own_id, own_hash], "left").select(*docs.columns, values).mapInArrow(run, docs.schema)
 
 
 def blank_out(text: str, values: set[str]) -> str:

@@ -16,13 +16,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, new_folder, plain_documents, steps
 from .tokens import encoder
 
-WRITTEN = "name string, first_doc long, n_docs long, n_ids long, width int"
+WRITTEN = "name string, part int, n_docs long, n_ids long, width int"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
 
 
@@ -47,7 +48,7 @@ def _get(folder: str, name: str, dtype: str) -> np.ndarray:
 def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int, folder: str | None = None) -> str:
     """Write the ids of every text (null: empty), each followed by end_id, in ascending doc_id order; the folder.
 
-    Rows with the same doc_id stand in the order of their texts. Repeated rows are written each time. No
+    Rows with the same doc_id, or none (-1), stand in the order of a hash of their texts. Repeated rows are written each time. No
     rows: a manifest without files. Extra columns are ignored. Every attempt of a task writes files of its
     own; only those named in the manifest, written once, count.
     """
@@ -74,12 +75,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int, folder: str |
         doc = np.concatenate(doc_ids)
         _put(folder, f"{name}.doc", doc.tobytes())
         _put(folder, f"{name}.len", np.array(lengths, "<u8").tobytes())
-        yield pa.RecordBatch.from_pydict({"name": [name], "first_doc": [int(doc[0])], "n_docs": [len(doc)], "n_ids": [sum(lengths)], "width": pa.array([enc.dtype.itemsize], pa.int32())})
+        yield pa.RecordBatch.from_pydict({"name": [name], "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n_docs": [len(doc)], "n_ids": [sum(lengths)], "width": pa.array([enc.dtype.itemsize], pa.int32())})
 
-    ordered = plain_documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The hash lets a range of rows with one doc_id, or none, be cut.
+    hashed = plain_documents(docs).withColumn("h", F.xxhash64("text"))
+    ordered = hashed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     ordered.mapInArrow(write, WRITTEN).write.parquet(f"{folder}/written")
     # One row for each file, so the running total over all of them is small.
-    before = Window.orderBy("first_doc").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = spark.read.schema(WRITTEN).parquet(f"{folder}/written").withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     files.write.parquet(f"{folder}/manifest")
 
