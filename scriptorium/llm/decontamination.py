@@ -1,12 +1,11 @@
 """Benchmark decontamination by SimHash over item-sized windows, in DataFrame operations only.
 
-1. Shingles of documents that are shingles of an item place the item's window on the document: same
-   length, same alignment. (A window that shares no shingle with any item has similarity 0 to all.)
-2. Each such window gets a 64-bit SimHash of its weighted shingles, as each item does.
-3. Fingerprints meet by blocks of 8 bits: of two within RADIUS = 23 bits, one of 8 blocks differs in at
+1. A window has as many words as an item. Every window that shares a shingle with an item of that length gets
+   a 64-bit SimHash of its weighted shingles, as each item does. (The others have similarity 0 to all items.)
+2. Fingerprints meet by blocks of 8 bits: of two within RADIUS = 23 bits, one of 8 blocks differs in at
    most 2, so the items are indexed under all 37 values near each of their blocks, and no pair within the
    radius is missed. Windows only meet items of their own length.
-4. Candidates within the radius are verified by the weighted Jaccard similarity of their distinct
+3. Candidates within the radius are verified by the weighted Jaccard similarity of their distinct
    shingles. A shingle weighs its number of characters.
 
 A pair of similarity 0.8 differs in about 10 bits, with a standard deviation of 3.
@@ -19,12 +18,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import free_name, staged
 
 SHINGLE, THRESHOLD = 5, 0.8
 BLOCKS, WIDTH, RADIUS = 8, 8, 23
-#: Rows of items' shingles or index entries up to which they are broadcast.
-BROADCAST_ROWS = 500_000
+#: Bytes of a table of items, as unsafe rows, up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -37,17 +36,26 @@ def _shingles(w: str, k: str) -> str:
 
 
 def _weighted(w: str, k: str) -> str:
-    """Distinct shingles with their weights."""
-    return f"IF(size({w}) < {k} OR {k} = 0, array(), array_distinct(transform(sequence(1, size({w}) - {k} + 1), i -> struct(xxhash64(slice({w}, i, {k})) AS h, length(array_join(slice({w}, i, {k}), ' ')) AS w))))"
+    """Distinct shingles as numbers: 48 bits of a hash, and below them the weight in 16 bits."""
+    one = f"(xxhash64(slice({w}, i, {k})) & -65536) | least(65535, length(array_join(slice({w}, i, {k}), ' ')))"
+    return f"IF(size({w}) < {k} OR {k} = 0, cast(array() AS array<bigint>), array_distinct(transform(sequence(1, size({w}) - {k} + 1), i -> {one})))"
+
+
+#: Four bits as four lanes of 16 bits, for sums of weights of four bits at once.
+_LANES = "array(" + ", ".join(f"{sum(1 << 16 * i for i in range(4) if n >> i & 1)}L" for n in range(16)) + ")"
 
 
 def _simhash(f: str) -> str:
-    one = f"aggregate({f}, 0, (s, x) -> s + IF(shiftright(x.h, b) & 1 = 1, x.w, -x.w))"
-    return f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | IF({one} > 0, shiftleft(1L, b), 0L))"
+    """The bits for which shingles of more than half of all weight have a 1. Lanes hold sums below 32,768; beyond it each bit is summed alone."""
+    hashed = f"transform({f}, x -> struct(xxhash64(x) AS h, x & 65535 AS w))"
+    lanes = f"transform(sequence(0, 15), g -> aggregate(s.f, 0L, (acc, x) -> acc + element_at({_LANES}, cast(1 + (shiftrightunsigned(x.h, 4 * g) & 15) AS int)) * x.w))"
+    quick = f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | IF(2 * (shiftrightunsigned(element_at(l, cast(1 + b DIV 4 AS int)), 16 * (b % 4)) & 65535) > s.total, shiftleft(1L, b), 0L))"
+    plain = "aggregate(sequence(0, 63), 0L, (acc, b) -> acc | IF(2 * aggregate(s.f, 0L, (a, x) -> a + IF(shiftright(x.h, b) & 1 = 1, x.w, 0L)) > s.total, shiftleft(1L, b), 0L))"
+    return f"element_at(transform(array(struct({hashed} AS f, {_weight(f)} AS total)), s -> IF(s.total < 32768, element_at(transform(array({lanes}), l -> {quick}), 1), {plain})), 1)"
 
 
 def _weight(f: str) -> str:
-    return f"aggregate({f}, 0, (s, x) -> s + x.w)"
+    return f"aggregate({f}, 0L, (acc, x) -> acc + (x & 65535))"
 
 
 def _blocks(fingerprint: str) -> Column:
@@ -66,8 +74,10 @@ def items(benchmark: DataFrame) -> DataFrame:
     return own.withColumn("item_fp", F.expr(_simhash("f")))
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _maybe_broadcast(df: DataFrame, row_bytes: str) -> DataFrame:
+    """df, broadcast if its rows take no more than BROADCAST_BYTES; row_bytes: SQL for the bytes of a row."""
+    held = df.agg(F.sum(F.expr(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -80,30 +90,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, threshold: float = T
     """
     named = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     known = staged(items(benchmark), "items")
-    placed = _maybe_broadcast(staged(known.select("item_id", "m", "k", F.posexplode(F.expr(_shingles("item_words", "k"))).alias("j", "h")).select("k", "h", "m", "j").distinct(), "shingles"))
+    placed = _maybe_broadcast(staged(known.select("k", "m", F.explode(F.expr(_shingles("item_words", "k"))).alias("h")).distinct(), "shingles"), "48")
     hits = None
     for k in sorted(r["k"] for r in known.select("k").distinct().collect()):
         each = named.select("doc_id", "text_hash", words(F.col("text")).alias("w")).select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode(F.expr(_shingles("w", str(k)))).alias("pos", "h"))
-        own = each.join(placed.where(F.col("k") == k), "h").select("doc_id", "text_hash", "m", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("j"), F.col("n") - F.col("m"))).alias("start"))
+        own = each.join(placed.where(F.col("k") == k), "h").select("doc_id", "text_hash", "n", "k", "m", "pos")
         hits = own if hits is None else hits.union(own)
     if hits is None:
         return _nothing(docs)
-    per_document = staged(hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("m", "start")).alias("windows")), "windows")
+    # The windows of m words that hold the shingle at pos, in a text of n words; a shorter text is one window.
+    starts = F.expr("array_distinct(flatten(transform(at, x -> transform(sequence(greatest(0, x.pos - x.m + x.k), greatest(0, least(x.pos, x.n - x.m))), y -> struct(x.m AS m, y AS start)))))")
+    per_document = staged(hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("n", "k", "m", "pos")).alias("at")).select("doc_id", "text_hash", starts.alias("windows")), "windows")
     held = named.join(per_document, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    window = held.select("doc_id", "text_hash", "windows", words(F.col("text")).alias("w")).select("doc_id", "text_hash", "w", F.explode("windows").alias("at"))
-    window = window.select("doc_id", "text_hash", "at.m", "at.start", F.slice("w", F.col("at.start") + 1, F.col("at.m")).alias("own"))
-    window = window.withColumn("f", F.expr(_weighted("own", f"least({SHINGLE}, m)")))
-    window = staged(window.withColumn("fp", F.expr(_simhash("f"))).drop("own"), "fingerprints")
+    window = held.select("doc_id", "text_hash", "windows", words(F.col("text")).alias("w")).select("doc_id", "text_hash", F.expr("explode(transform(windows, x -> struct(x.m AS m, x.start AS start, slice(w, x.start + 1, x.m) AS own)))").alias("x")).select("doc_id", "text_hash", "x.*")
+    window = window.withColumn("f", F.expr(_weighted("own", f"least({SHINGLE}, m)"))).drop("own")
+    window = staged(window.withColumn("fp", F.expr(_simhash("f"))), "fingerprints")
     near = known.select("item_id", "m", "item_fp", F.explode(_blocks("item_fp")).alias("b")).select("item_id", "m", "item_fp", "b.block", "b.bits", F.explode(_near_masks()).alias("mask"))
-    index = _maybe_broadcast(staged(near.select("item_id", "m", "item_fp", "block", F.col("bits").bitwiseXOR(F.col("mask")).alias("bits")), "index"))
+    index = _maybe_broadcast(staged(near.select("item_id", "m", "item_fp", "block", F.col("bits").bitwiseXOR(F.col("mask")).alias("bits")), "index"), "56")
     probes = window.select("doc_id", "text_hash", "m", "start", "fp", F.explode(_blocks("fp")).alias("b")).select("doc_id", "text_hash", "m", "start", "fp", "b.block", "b.bits")
     within = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
     pairs = probes.join(index, ["m", "block", "bits"]).where(within).select("doc_id", "text_hash", "m", "start", "item_id").distinct()
-    item_f = _maybe_broadcast(known.select("item_id", F.col("f").alias("item_f")))
+    item_f = _maybe_broadcast(known.select("item_id", F.col("f").alias("item_f")), "64 + 8 * size(item_f)")
     both = pairs.join(window.drop("fp"), ["doc_id", "text_hash", "m", "start"]).join(item_f, "item_id")
-    shared = F.expr("aggregate(filter(f, x -> array_contains(item_f.h, x.h)), 0, (s, x) -> s + x.w)")
     similarity = F.col("shared") / (F.expr(_weight("f")) + F.expr(_weight("item_f")) - F.col("shared"))
-    alike = both.withColumn("shared", shared).withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
+    alike = both.withColumn("shared", F.expr(_weight("array_intersect(f, item_f)"))).withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "m"))
     return alike.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("best"), F.count("*").alias("windows")).select("doc_id", "text_hash", "item_id", (-F.col("best.s")).alias("start"), F.col("best.m").alias("length"), F.col("best.similarity").alias("similarity"), "windows")
 
@@ -113,7 +123,11 @@ def _nothing(docs: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, whose text holds no item."""
-    bad = staged(contamination(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
-    same = (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
-    return docs.join(bad, same, "left_anti")
+    """The rows of docs whose text holds no item, repeated ones too, with all columns, whatever their names.
+
+    Null and empty texts stay; a null doc_id counts as -1 and stays null. No items: all rows. No rows: no rows.
+    """
+    own_id, own_hash = (free_name(n, *docs.columns) for n in ("contaminated_id", "contaminated_hash"))
+    bad = staged(contamination(docs, benchmark).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct(), "contaminated")
+    keyed = docs.withColumns({own_id: F.coalesce("doc_id", F.lit(-1)).cast("long"), own_hash: F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(bad, [own_id, own_hash], "left_anti").select(*docs.columns)

@@ -89,7 +89,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")
 
 
-#: All windows of an item's length that share a shingle with one, by exact similarity; no fingerprints.
+#: All windows of an item's length that hold one of its shingles (others have similarity 0), by exact similarity; no fingerprints.
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}\p{M}]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}\p{M}]+'), lambda x: x <> '') AS w FROM benchmark),
@@ -98,7 +98,7 @@ ix AS (SELECT item_id, w, m, k, unnest(range(1, m - k + 2)) AS j FROM i),
 ishingle AS (SELECT item_id, m, k, j, array_to_string(w[j:j + k - 1], ' ') AS s FROM ix),
 dx AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i)),
 dshingle AS (SELECT doc_id, len(w) AS n, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM dx),
-win AS (SELECT DISTINCT doc_id, m, k, greatest(0, least(p - j, n - m)) AS start FROM dshingle JOIN ishingle USING (k, s)),
+win AS (SELECT DISTINCT doc_id, m, k, unnest(range(greatest(0, p - 1 - m + k), greatest(0, least(p - 1, n - m)) + 1)) AS start FROM dshingle JOIN (SELECT DISTINCT m, k, s FROM ishingle) USING (k, s)),
 wx AS (SELECT doc_id, m, k, start, array_to_string(w[start + x:start + x + k - 1], ' ') AS s FROM (SELECT win.*, d.w, unnest(range(1, least(m, len(w)) - k + 2)) AS x FROM win JOIN d USING (doc_id))),
 wf AS (SELECT doc_id, m, start, list(DISTINCT s) AS f FROM wx GROUP BY ALL),
 itf AS (SELECT item_id, m, list(DISTINCT s) AS g FROM ishingle GROUP BY ALL),

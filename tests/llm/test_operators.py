@@ -387,12 +387,13 @@ def test_decontamination_against_all_windows(spark):
     rows = [(i, prose(i, 80) + " " + (items[i % 30][1] if i % 3 == 0 else "") + " " + prose(i + 500, 20)) for i in range(60)]
     rows += [(100, "Three, little... WORDS"), (101, changed(items[29][1], 40, 2)), (102, items[28][1]), (103, None), (104, items[5][1][:20])]
     df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.contamination(df, bench).collect()}
+    found = decontamination.contamination(df, bench).collect()
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in found}
 
     def bag(w, k):
         return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
-    want = {}
+    want, windows = {}, Counter()
     for i, t in rows:
         w = words(t)
         for item, own in items:
@@ -404,9 +405,11 @@ def test_decontamination_against_all_windows(spark):
                 a, b = bag(w[s : s + len(v)], k), bag(v, k)
                 weigh = lambda x: sum(len(" ".join(y)) for y in x)
                 sim = weigh(a & b) / weigh(a | b)
+                windows[i, item] += sim >= 0.8
                 if sim >= 0.8 and sim > want.get((i, item), 0):
                     want[i, item] = sim
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and len(got) > 20
+    assert {(r["doc_id"], r["item_id"]): r["windows"] for r in found} == {k: n for k, n in windows.items() if n} and max(windows.values()) > 1
     clean = decontamination.decontaminated(df, bench)
     assert {r["doc_id"] for r in clean.collect()} == {i for i, _ in rows} - {i for i, _ in want}
     assert decontamination.contamination(table(spark), bench.limit(0)).count() == 0
@@ -414,6 +417,13 @@ def test_decontamination_against_all_windows(spark):
     assert decontamination.decontaminated(table(spark), bench).count() == len(awkward())
 
 
+def test_fingerprints_in_lanes_are_those_of_single_bits(spark):
+    df = spark.createDataFrame([(prose(1, 30).split(),), (prose(2, 3000).split(),), (["a"],)], "w array<string>").withColumn("f", F.expr(decontamination._weighted("w", "least(5, size(w))")))
+    for r in df.select("f", F.expr(decontamination._simhash("f")).alias("fp"), F.expr("transform(f, x -> xxhash64(x))").alias("h"), F.expr(decontamination._weight("f")).alias("total")).collect():
+        bits = sum(1 << b for b in range(64) if 2 * sum(x & 65535 for x, h in zip(r["f"], r["h"], strict=True) if h >> b & 1) > r["total"])
+        assert r["fp"] & (1 << 64) - 1 == bits
+
+
 def brute_viterbi(scores, penalty):
     best, path = scores[0], [[k] for k in range(scores.shape[1])]
     for s in scores[1:]:
