@@ -13,6 +13,7 @@ A pair of similarity 0.8 differs in about 10 bits, with a standard deviation of
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -31,14 +32,22 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")
 
 
-def _shingles(w: str, k: str) -> str:
-    return f"IF(size({w}) < {k} OR {k} = 0, array(), transform(sequence(1, size({w}) - {k} + 1), i -> xxhash64(slice({w}, i, {k}))))"
+def _with_shingles(df: DataFrame, w: str, k: int) -> DataFrame:
+    """df with h: hashes of all runs of k words in the array w, from hashes of shorter runs, so that each word is hashed once."""
+    out, have = df.withColumn("h1", F.transform(w, lambda x: F.xxhash64(x))), 1
+    while have < k:
+        step = min(have, k - have) if have + have <= k else k - have
+        n = F.greatest(F.lit(0), F.size(w) - (have + step - 1))
+        out = out.withColumn(f"h{have + step}", F.zip_with(F.slice(f"h{have}", 1, n), F.slice(f"h{step}", 1 + have, n), lambda x, y: F.xxhash64(x, y)))
+        have += step
+    return out.withColumn("h", F.col(f"h{k}"))
 
 
-def _weighted(w: str, k: str) -> str:
-    """Distinct shingles as numbers: 48 bits of a hash, and below them the weight in 16 bits."""
+def _weighted(w: str, k: str, distinct: bool = True) -> str:
+    """Shingles as numbers: 48 bits of a hash, and below them the weight in 16 bits."""
     one = f"(xxhash64(slice({w}, i, {k})) & -65536) | least(65535, length(array_join(slice({w}, i, {k}), ' ')))"
-    return f"IF(size({w}) < {k} OR {k} = 0, cast(array() AS array<bigint>), array_distinct(transform(sequence(1, size({w}) - {k} + 1), i -> {one})))"
+    each = f"transform(sequence(1, size({w}) - {k} + 1), i -> {one})"
+    return f"IF(size({w}) < {k} OR {k} = 0, cast(array() AS array<bigint>), {f'array_distinct({each})' if distinct else each})"
 
 
 #: Four bits as four lanes of 16 bits, for sums of weights of four bits at once.
@@ -90,20 +99,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, threshold: float = T
     """
     named = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     known = staged(items(benchmark), "items")
-    placed = _maybe_broadcast(staged(known.select("k", "m", F.explode(F.expr(_shingles("item_words", "k"))).alias("h")).distinct(), "shingles"), "48")
+    widths = sorted(r["k"] for r in known.select("k").distinct().collect())  # five at most
+    own_shingles = [_with_shingles(known.where(F.col("k") == k).select("k", "m", "item_words"), "item_words", k).select("k", "m", F.explode("h").alias("h")) for k in widths]
+    if not own_shingles:
+        return _nothing(docs)
+    placed = _maybe_broadcast(staged(reduce(DataFrame.union, own_shingles).distinct(), "shingles"), "48")
     hits = None
-    for k in sorted(r["k"] for r in known.select("k").distinct().collect()):
-        each = named.select("doc_id", "text_hash", words(F.col("text")).alias("w")).select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode(F.expr(_shingles("w", str(k)))).alias("pos", "h"))
+    for k in widths:
+        split = named.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
+        each = _with_shingles(split, "w", k).select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode("h").alias("pos", "h"))
         own = each.join(placed.where(F.col("k") == k), "h").select("doc_id", "text_hash", "n", "k", "m", "pos")
         hits = own if hits is None else hits.union(own)
-    if hits is None:
-        return _nothing(docs)
     # The windows of m words that hold the shingle at pos, in a text of n words; a shorter text is one window.
     starts = F.expr("array_distinct(flatten(transform(at, x -> transform(sequence(greatest(0, x.pos - x.m + x.k), greatest(0, least(x.pos, x.n - x.m))), y -> struct(x.m AS m, y AS start)))))")
     per_document = staged(hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("n", "k", "m", "pos")).alias("at")).select("doc_id", "text_hash", starts.alias("windows")), "windows")
-    held = named.join(per_document, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    window = held.select("doc_id", "text_hash", "windows", words(F.col("text")).alias("w")).select("doc_id", "text_hash", F.expr("explode(transform(windows, x -> struct(x.m AS m, x.start AS start, slice(w, x.start + 1, x.m) AS own)))").alias("x")).select("doc_id", "text_hash", "x.*")
-    window = window.withColumn("f", F.expr(_weighted("own", f"least({SHINGLE}, m)"))).drop("own")
+    # A merge join at every size: the texts that hold windows may be as many as all.
+    held = named.join(per_document.hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    keyed = held.select("doc_id", "text_hash", "windows", words(F.col("text")).alias("w")).withColumn("keys", F.expr(_weighted("w", str(SHINGLE), distinct=False)))
+    short = _weighted("slice(w, x.start + 1, x.m)", "x.m")
+    each_f = F.expr(f"explode(transform(windows, x -> struct(x.m AS m, x.start AS start, IF(x.m < {SHINGLE}, {short}, array_distinct(slice(keys, x.start + 1, greatest(0, x.m - {SHINGLE - 1})))) AS f))) AS x")
+    window = keyed.select("doc_id", "text_hash", each_f).select("doc_id", "text_hash", "x.*")
     window = staged(window.withColumn("fp", F.expr(_simhash("f"))), "fingerprints")
     near = known.select("item_id", "m", "item_fp", F.explode(_blocks("item_fp")).alias("b")).select("item_id", "m", "item_fp", "b.block", "b.bits", F.explode(_near_masks()).alias("mask"))
     index = _maybe_broadcast(staged(near.select("item_id", "m", "item_fp", "block", F.col("bits").bitwiseXOR(F.col("mask")).alias("bits")), "index"), "56")
