@@ -33,14 +33,9 @@ def words(text: Column) -> Column:
 
 
 def _with_shingles(df: DataFrame, w: str, k: int) -> DataFrame:
-    """df with h: hashes of all runs of k words in the array w, from hashes of shorter runs, so that each word is hashed once."""
-    out, have = df.withColumn("h1", F.transform(w, lambda x: F.xxhash64(x))), 1
-    while have < k:
-        step = min(have, k - have) if have + have <= k else k - have
-        n = F.greatest(F.lit(0), F.size(w) - (have + step - 1))
-        out = out.withColumn(f"h{have + step}", F.zip_with(F.slice(f"h{have}", 1, n), F.slice(f"h{step}", 1 + have, n), lambda x, y: F.xxhash64(x, y)))
-        have += step
-    return out.withColumn("h", F.col(f"h{k}"))
+    """df with h: hashes of all runs of k words in the array w; each word is hashed once."""
+    run = ", ".join(f"hashes[i + {j}]" for j in range(k))
+    return df.withColumn("hashes", F.transform(w, lambda x: F.xxhash64(x))).withColumn("h", F.expr(f"IF(size(hashes) < {k}, array(), transform(sequence(0, size(hashes) - {k}), i -> xxhash64({run})))"))
 
 
 def _weighted(w: str, k: str, distinct: bool = True) -> str:
@@ -107,7 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, threshold: float = T
     hits = None
     for k in widths:
         split = named.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
-        each = _with_shingles(split, "w", k).select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode("h").alias("pos", "h"))
+        each = _with_shingles(split, "w", k).select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode_outer("h").alias("pos", "h"))  # outer, as the filter that an inner one infers would do all hashing again
         own = each.join(placed.where(F.col("k") == k), "h").select("doc_id", "text_hash", "n", "k", "m", "pos")
         hits = own if hits is None else hits.union(own)
     # The windows of m words that hold the shingle at pos, in a text of n words; a shorter text is one window.
