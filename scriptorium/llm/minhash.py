@@ -280,7 +280,7 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     blocks_of = lambda rows, size: F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1))
     loose = ~F.col("linked")
     sizes = tested.groupBy("comp").agg(F.count("*").alias("n"), F.count_if(loose).alias("loose"), F.sum("size").alias("bytes"), F.sum(F.when(loose, F.col("size")).otherwise(0)).alias("loose_bytes")).where("loose > 0 and n > 2")
-    sizes = sizes.select("comp", blocks_of(F.col("n"), F.col("bytes")).alias("np"), blocks_of(F.col("loose"), F.col("loose_bytes")).alias("nq"))
+    sizes = staged(sizes.select("comp", blocks_of(F.col("n"), F.col("bytes")).alias("np"), blocks_of(F.col("loose"), F.col("loose_bytes")).alias("nq")), "sizes")
     rest = tested.where(F.col("key") != F.col("leader")).join(sizes.hint("merge"), "comp").join(store.select("comp", "key", "text"), ["comp", "key"])
     dealt = rest.withColumn("p", F.pmod(F.xxhash64("key"), F.col("np"))).withColumn("q", F.pmod(F.xxhash64("key"), F.col("nq")))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -297,7 +297,7 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     block_links = left.unionByName(right).groupBy("comp", "p", "q").applyInPandas(blocks, "a binary, b binary")
     classes = connected_components(star_links.union(block_links))
     named = classes.withColumnRenamed("node", "key").join(texts, "key")
-    heads = named.groupBy("component").agg(F.min("rep").alias("class_id"))
+    heads = staged(named.groupBy("component").agg(F.min("rep").alias("class_id")), "heads")
     final = named.join(heads.hint("merge"), "component").select("key", F.col("component").alias("class_key"), "class_id")
     # Written, so that the join with all rows has two plain shuffles and a text with very many copies is split.
     result = staged(texts.join(final, "key", "left").select("key", "rep", F.coalesce("class_key", "key").alias("class_key"), F.coalesce("class_id", "rep").alias("class_id")), "classes")
