@@ -188,6 +188,15 @@ def context(text: Column, start: Column, end: Column, width: int = 140) -> Colum
     return squeeze(F.substring(text, (lo + 1).cast("int"), F.lit(width)))
 
 
+def finder_context(text: Column, start: Column, end: Column, width: int = 160) -> Column:
+    """Window around the middle of a match (0-based), carried on to the ends of the words it cuts, single blanks."""
+    lo = F.greatest(F.lit(0), F.floor((start + end) / 2).cast("int") - max(10, width // 2))
+    hi = F.least(F.length(text), lo + width)
+    before = F.regexp_extract(F.substring(text, F.lit(1), lo), r"[\p{L}\p{N}]*$", 0)
+    after = F.regexp_extract(F.substring(text, hi + 1, F.lit(1 << 20)), r"^[\p{L}\p{N}]*", 0)
+    return squeeze(F.concat(before, F.substring(text, lo + 1, hi - lo), after))
+
+
 def kwic(text: Column, start: Column, end: Column, window: int) -> Column:
     lo = F.greatest(F.lit(0), start - window)
     return F.concat(F.substring(text, lo + 1, start - lo), F.lit("[["), F.substring(text, start + 1, end - start), F.lit("]]"), F.substring(text, end + 1, F.lit(window)))

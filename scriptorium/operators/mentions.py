@@ -29,10 +29,11 @@ def regex_mentions(docs: DataFrame, patterns: DataFrame, *, id_col: str = "doc_i
     return joined.select(id_col, "label", "grp", F.expr("regexp_count(text, concat('(?iU)', regex))").alias("cnt"))
 
 
-def find_spans(docs: DataFrame, patterns: list[str], *keep: str, text_col: str = "text") -> DataFrame:
+def find_spans(docs: DataFrame, patterns: list[str], *keep: str, text_col: str = "text", first_only: bool = True) -> DataFrame:
     """A row for each match of each pattern: ordinal of the pattern, code-point span, matched text.
 
-    Patterns that don't compile are left out. A span that an earlier pattern has found isn't found again.
+    Patterns that don't compile are left out. With first_only, a span that an earlier pattern has found isn't
+    found again. Texts without any match are dropped by one joined pattern first.
     """
     compiled = []
     for i, p in enumerate(patterns):
@@ -41,15 +42,19 @@ def find_spans(docs: DataFrame, patterns: list[str], *keep: str, text_col: str =
         except re.error:
             continue
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    plain = not any(re.search(r"\\[1-9]|\(\?P[<=]|\(\?[aiLmsux]", p.pattern) for _, p in compiled)  # else joining would change what they mean
+    any_of = re.compile("|".join(f"(?:{p.pattern})" for _, p in compiled) if plain else "", re.IGNORECASE) if compiled else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for own, text in zip(pdf[list(keep)].itertuples(index=False), pdf[text_col], strict=True):
                 seen = set()
+                if not text or any_of is None or not any_of.search(text):
+                    continue
                 for i, p in compiled:
-                    for m in p.finditer(text or ""):
-                        if m.span() not in seen:
+                    for m in p.finditer(text):
+                        if not first_only or m.span() not in seen:
                             seen.add(m.span())
                             rows.append((*own, i, m.start(), m.end(), m[0]))
             yield pd.DataFrame(rows, columns=[*keep, "ordinal", "start", "end", "matched"])

@@ -151,7 +151,7 @@ def bib_section_pages(t):
     return sections.to_the_end(t.conversations, "conv_id", "turn", F.col("text").rlike(r"(^|\n)\s*(En|De|The)[ ,.]")).select("conv_id", "turn", "in_bib")
 
 
-@query()
+@query(r"WITH h AS (SELECT conv_id, min(turn) AS first FROM conversations WHERE regexp_matches(text, '(?im)" + "|".join(f"(?:{h})" for h in sections.HEADINGS) + r"') GROUP BY conv_id) SELECT conv_id, turn, CASE WHEN turn >= first THEN 1 ELSE 0 END AS in_bib FROM conversations LEFT JOIN h USING (conv_id)")
 def bibliography_headings(t):
     pages = t.conversations.withColumn("is_heading", sections.heading(F.col("text")))
     return sections.to_the_end(pages, "conv_id", "turn", F.col("is_heading")).select("conv_id", "turn", "in_bib")
@@ -176,7 +176,9 @@ def page_score_block(t):
     return sections.scored_block(scores, "conv_id", "turn", "score")
 
 
-@query()
+@query(r"""WITH l AS (SELECT conv_id, turn, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ') <> '') AS lines FROM conversations), h AS (SELECT *, array_to_string(lines[1:8], chr(10)) AS head FROM l)
+SELECT conv_id, turn, round(CASE WHEN regexp_matches(head, '(?i)\b(bibliograph\w*|references?|reference\s+list|works\s+cited|literaturverzeichnis|quellen(?:verzeichnis| und literatur)?)\b') AND length(regexp_replace(head, '[^\p{Lu}]', '', 'g')) / greatest(length(regexp_replace(head, '[^\p{L}]', '', 'g')), 1) >= 0.45 THEN 2.0 ELSE 0.0 END
++ len(list_filter(lines, lambda x: regexp_matches(x, '10\.\d{4,}/|^\s*\[\d+\]|\((1[4-9]|20)\d{2}\)|\b(1[4-9]|20)\d{2}\b'))) / greatest(len(lines), 1), 6) AS score FROM h""")
 def page_scores(t):
     return t.conversations.select("conv_id", "turn", F.round(sections.page_score(F.col("text")), 6).alias("score"))
 
@@ -218,13 +220,18 @@ def html_links(t):
     return t.pages.select("page_id", F.explode(files.links(F.col("html"))).alias("link"))
 
 
-@query()
+_VIEWER = {"system": "iiifSystemId", "endpoint": "iiifEndpointUri", "manifest": "iiifManifestUri", "presentation": "iiifPresentationBaseUrl", "pid": "docPid"}
+
+
+@query("SELECT page_id, " + ", ".join(rf"nullif(regexp_extract(html, 'window\.epdata\.{v}\s*=\s*''([^'']+)''', 1), '') AS {n}" for n, v in _VIEWER.items()) + r", CAST(len(list_distinct(regexp_extract_all(html, '''([^'']+?\.jpg)''', 1))) AS INTEGER) AS n_pages FROM pages")
 def html_page_variables(t):
     v = files.page_variables(F.col("html"))
     return t.pages.select("page_id", *[c.alias(n) for n, c in v.items() if n != "pages"], F.size(v["pages"]).alias("n_pages"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(trim(coalesce(text, ''), ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM conversations),
+e AS (SELECT conv_id, turn, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS ordinal FROM l)
+SELECT conv_id, turn, CAST(ordinal AS INTEGER) AS ordinal, sentence, sentence || CASE WHEN regexp_matches(sentence, '\d') AND contains(sentence, '!') THEN ' ⟦CITATION? + SENTIMENT⟧' WHEN regexp_matches(sentence, '\d') THEN ' ⟦CITATION?⟧' WHEN contains(sentence, '!') THEN ' ⟦SENTIMENT⟧' ELSE '' END AS marked FROM e""")
 def sentence_split_tags(t):
     s = t.conversations.select("conv_id", "turn", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("ordinal", "sentence"))
     tagged = T.mark_sentence(F.col("sentence"), F.col("sentence").rlike(r"\d"), F.col("sentence").rlike("!"))

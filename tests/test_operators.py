@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import patterns
 from scriptorium.functions import text as T
-from scriptorium.operators import catalog, citations, cleaning, edges, keywords, mentions, network, report, resolve, sections
+from scriptorium.operators import binding, catalog, citations, cleaning, edges, keywords, mentions, network, report, resolve, sections
 from scriptorium.sinks import reports
-from scriptorium.sources import files
+from scriptorium.sources import canons, files
 from scriptorium.streaming import mentions as stream
 
 
@@ -205,3 +205,67 @@ def test_fuzzy_labels_may_have_neighbours_swapped(spark):
     assert [r["label"] for r in report.search(rows, "label:friede", columns, fuzzy_label=True).collect()] == ["Friede", "Freide", "Firede", "Fried", "Friedens"]
     assert [r["label"] for r in report.search(rows, "label:friede", columns).collect()] == ["Friede", "Friedens"]
     assert report.search(rows, "label:f", columns, fuzzy_label=True).count() == 7
+
+
+def test_author_mentions_by_order_span_and_negatives(spark):
+    pages = spark.createDataFrame([(1, "Müller, Hans schrieb 1999. Bei Muller: nein"), (2, "niemand"), (3, None)], "page int, text string")
+    targets = spark.createDataFrame([("m", ["muller"], ["m[uü]ller", "m.ller,", "m("], ["schrieb"]), ("n", ["muller"], ["m[uü]ller", "bei"], []), ("x", ["x"], ["x"], None)], "author_id string, surnames array<string>, patterns array<string>, negatives array<string>")
+    got = sorted((r["page"], r["tgt"], r["start"], r["end"], r["pattern"]) for r in binding.author_mentions(pages, targets, "page").collect())
+    assert got == [(1, "n", 0, 6, "m[uü]ller"), (1, "n", 27, 30, "bei"), (1, "n", 31, 37, "m[uü]ller")]
+
+
+def test_bibliography_waterfalls(spark):
+    files_ = spark.createDataFrame([(1, "Buch (Meyer, Anna).pdf"), (2, "x_alt-meyer.pdf"), (3, "Werner Karls Chronik.pdf"), (4, "nichts.pdf")], "f int, name string")
+    authors = spark.createDataFrame([(0, "meyer-anna", "Meyer, Anna", ["alt-me"], None), (1, "alt", "Alt, B", ["alt-meyer"], "meyer-anna"), (2, "karl-werner", "Karls, Werner", [], None), (3, "werner", "Werner, Z", [], None)], "ordinal int, author_id string, display string, filename_aliases array<string>, merge_into string")
+    assert sorted(tuple(r) for r in binding.bibliography_authors(files_, "f", authors).collect()) == [(1, "meyer-anna", 0), (2, "meyer-anna", 1), (3, "karl-werner", 2)]
+    works = spark.createDataFrame([(0, "Karls_Werk", ["karls"], ["werner"]), (1, "Buch", ["^buch"], []), (2, "Werner_Karls", [], [])], "ordinal int, canonical string, aliases array<string>, negatives array<string>")
+    assert sorted(tuple(r) for r in binding.bibliography_works(files_, "f", works).collect()) == [(1, "Buch", 0), (3, "Werner_Karls", 1)]
+
+
+def test_canons_and_pattern_tables(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"authors": [{"canonical_id": " a ", "display": "A", "text_aliases": ["x"], "merge_into": " "}, {"canonical_id": ""}]}))
+    (tmp_path / "w.json").write_text(json.dumps({"works": [{"canonical": "W", "year": "x", "aliases": ["(?i)w"]}, {"canonical": None}, {"canonical": "V", "year": 1500}]}))
+    (tmp_path / "c.json").write_text(json.dumps({"works": [{"canonical": "W (Bern)", "aliases": ["w"]}], "generic_terms": [{"label": "G", "patterns": ["g"]}], "weights": {"work": 2.0}}))
+    assert [(r["ordinal"], r["author_id"], r["text_aliases"], r["filename_aliases"], r["merge_into"]) for r in canons.authors_canon(spark, str(tmp_path / "a.json")).collect()] == [(0, "a", ["x"], [], None)]
+    assert [(r["canonical"], r["year"], r["negatives"]) for r in canons.works_canon(spark, str(tmp_path / "w.json")).collect()] == [("W", None, []), ("V", 1500, [])]
+    assert sorted((r["kind"], r["label"], r["weight"]) for r in files.chronicle_canon(spark, str(tmp_path / "c.json")).collect()) == [("generic", "G", 1.0), ("work", "W (Bern)", 2.0)]
+    chron = spark.createDataFrame([(None, "L", '["p", "q"]', "3"), ("series", None, "oops", "x")], "kind string, label string, patterns_json string, weight string")
+    old, generic = spark.createDataFrame([("W", '["o"]')], "canonical string, aliases_json string"), spark.createDataFrame([("g",), ("",)], "pattern string")
+    rows = lambda **t: sorted(tuple(r) for r in canons.canon_patterns(t).collect())
+    assert rows(chroniken_canon=chron, works_canon=old, generic_terms=generic) == [("L", "work", "p", 3.0), ("L", "work", "q", 3.0), ("generic", "generic", "g", 1.0)]
+    assert rows(works_canon=old) == [("W", "work", "o", 1.0)]
+    with pytest.raises(ValueError, match="chroniken_canon"):
+        canons.canon_patterns({"generic_terms": generic})
+
+
+def test_staged_lines_sqlite_and_terms(spark, tmp_path, monkeypatch):
+    import sqlite3
+
+    (tmp_path / "m.jsonl").write_text('{"a": 1, "b": "x"}\nno\n\n{"a": 2}\n[1]\n')
+    assert sorted(tuple(r) for r in canons.staged_lines(spark, str(tmp_path / "m.jsonl"), "a long, b string").collect()) == [(1, "x"), (2, None)]
+    con = sqlite3.connect(tmp_path / "t.db")
+    con.execute("CREATE TABLE works (id INTEGER PRIMARY KEY, title TEXT)")
+    con.execute("CREATE TABLE none (id INTEGER)")
+    con.executemany("INSERT INTO works VALUES (?, ?)", [(i, f"t{i}") for i in range(1, 30, 2)])
+    con.commit()
+    monkeypatch.setattr(canons, "SQLITE_ROWS", 10)
+    assert sorted(tuple(r) for r in canons.sqlite_table(spark, str(tmp_path / "t.db"), "works", "title string, id long").collect()) == sorted((f"t{i}", i) for i in range(1, 30, 2))
+    assert canons.sqlite_table(spark, str(tmp_path / "t.db"), "none", "id long").count() == 0
+    (tmp_path / "terms.csv").write_text('term\nReferences,x\n"Literatur"\n\nreferences\n')
+    assert {r["term"] for r in canons.terms_list(spark, str(tmp_path / "terms.csv")).collect()} == {"references", "literatur"}
+
+
+def test_lexicon_hits_and_context(spark):
+    docs = spark.createDataFrame([(1, "Der Friede, frieden und accordeon"), (2, "Ein Abschied allein"), (3, "Der Abschied nach dem Krieg"), (4, None)], "doc_id int, text string")
+    got = sorted((r["doc_id"], r["category"], r["start"], r["end"]) for r in keywords.lexicon_hits(docs, "doc_id").collect())
+    assert got == [(1, "core_peace", 12, 19), (1, "legal_instrument", 24, 30), (3, "legal_instrument", 4, 12)]
+    assert sorted((r["doc_id"], r["start"]) for r in keywords.lexicon_hits(docs, "doc_id", strict=True).collect()) == [(1, 12), (3, 4)]
+
+
+def test_small_binding_functions(spark):
+    assert one(spark, canons.label_of(F.col("t")), t='"Die Chronik" (Bern), ') == "Die Chronik" and one(spark, canons.label_of(F.col("t")), t=", Werk, (x") == "Werk"
+    assert one(spark, canons.name_in_parentheses(F.col("t")), t="x (Müller, Ä)") == "muller, a"
+    assert one(spark, T.finder_context(F.col("t"), F.lit(2), F.lit(3), 20), t="abcdefghijklmnopqrstuvwxyz end") == "abcdefghijklmnopqrstuvwxyz"
+    assert json.loads(binding.session_meta("s", "2020", ["b", "a"], {"x": 1}))["files"] == ["a", "b"]
+    nodes = spark.createDataFrame([("Bern",), ("Basel",)], "label string")
+    assert binding.searched_labels(nodes, "label", "be", exact=True).count() == 0 and binding.searched_labels(nodes, "label", "BA").count() == 1
