@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from .common import U, Words, bounded_batches, plain_documents, steps
 from .toxicity import held_out, runs
 
-#: Training rows of each language, dealt over SALTS parts by the hash of the id.
+#: Training rows of each language, dealt over SALTS parts by the hash of the id; of large languages only rows with low hashes come that far.
 EXAMPLES, SALTS = 1536, 32
 ORDERS, BITS = (1, 2, 3, 4), 14
 SIZE = 1 << BITS
 #: Nats that a switch of language costs; n-grams of a word overlap, so their sum counts half.
 SWITCH, SHARE = 12.0, 0.5
 SEGMENT = 96
-#: Bytes of training rows beyond which the join isn't broadcast.
+#: Rows of ids up to which the join is broadcast.
 BROADCAST_ROWS = 1_000_000
 UNKNOWN = "und"
 
@@ -37,18 +37,38 @@ ASCII_LETTERS = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 LETTER = re.compile(r"[^\W\d_]")
 
 
+# Ranges of code points by script, as Unicode's blocks have them, ends included.
+SCRIPT_RANGES = (
+    (1, ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xB5, 0xB5), (0xBA, 0xBA), (0xC0, 0x2AF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF))),  # Latin
+    (2, ((0x370, 0x3FF), (0x1F00, 0x1FFF))),  # Greek
+    (3, ((0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F))),  # Cyrillic
+    (4, ((0x530, 0x58F), (0x10A0, 0x10FF))),  # Armenian, Georgian
+    (5, ((0x590, 0x5FF),)),  # Hebrew
+    (6, ((0x600, 0x7BF), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF))),  # Arabic and its kin
+    (7, ((0x900, 0xDFF),)),  # scripts of India
+    (8, ((0xE00, 0x109F), (0x1780, 0x17FF))),  # Thai, Lao, Tibetan, Burmese, Khmer
+    (9, ((0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7FF))),  # Hangul
+    (10, ((0x3040, 0x30FF), (0x31F0, 0x31FF))),  # Kana
+    (11, ((0x2E80, 0x2FDF), (0x3100, 0x312F), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))),  # Han
+)
+
+
 def _scripts() -> np.ndarray:
-    """Script of a UTF-8 lead byte: ranges of code points, by the blocks that the byte opens."""
-    table = np.zeros(256, np.int64)
-    ranges = {1: [(0x41, 0x5A), (0x61, 0x7A), (0xC3, 0xC9)], 2: [(0xCD, 0xCF)], 3: [(0xD0, 0xD4)], 4: [(0xD6, 0xD7)], 5: [(0xD8, 0xDB)], 6: [(0xE0, 0xE1)], 7: [(0xE2, 0xE9)], 8: [(0xEA, 0xED)]}
-    for script, spans in ranges.items():
-        for lo, hi in spans:
-            table[lo : hi + 1] = script
-    return table
+    """Script by a character's first byte and the low six bits of its second: exact up to U+07FF, by runs of 64 code points beyond, of 4,096 from U+10000 on.
+
+    Where a run holds several scripts the one of its last code point counts. Marks, digits and symbols have none, 0.
+    """
+    table = np.zeros((256, 64), np.int64)
+    for script, ranges in SCRIPT_RANGES:
+        for lo, hi in ranges:
+            for code in [*range(lo, min(hi, 0x7FF) + 1), *range(max(lo | 63, 0x83F), min(hi, 0xFFFF) + 1, 64), *range(max(lo | 4095, 0x10FFF), hi + 1, 4096)]:
+                raw = chr(code).encode("utf-8", "surrogatepass")
+                table[raw[0], slice(None) if len(raw) == 1 else raw[1] & 63] = script
+    return table.ravel()
 
 
 SCRIPTS = _scripts()
-N_SCRIPTS = 9
+N_SCRIPTS = 1 + len(SCRIPT_RANGES)
 BUCKETS = len(ORDERS) * SIZE + N_SCRIPTS
 
 
@@ -80,7 +100,11 @@ class Vocabulary:
             yield self.word[ok], ((h[ok] * U(0xA24BAED4963EE407)) >> U(64 - BITS)).astype(np.int64) + i * SIZE
 
     def scripts(self) -> np.ndarray:
-        return np.maximum.reduceat(SCRIPTS[self.data], self.begin) if self.n else np.zeros(0, np.int64)
+        """The script of each word; of several, the one listed last."""
+        if not self.n:
+            return np.zeros(0, np.int64)
+        second = np.append(self.data[1:], 0).astype(np.int64) & 63
+        return np.maximum.reduceat(SCRIPTS[self.data.astype(np.int64) * 64 + second], self.begin)
 
 
 class Model:
@@ -179,7 +203,11 @@ def fit(docs: DataFrame) -> Model:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
     h = F.xxhash64("doc_id")
     nth = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))
-    chosen = known.select("doc_id", "lang", h.alias("h"), F.pmod(F.shiftright(h, 8), F.lit(SALTS)).alias("salt")).distinct().withColumn("nth", nth).where(F.col("nth") <= EXAMPLES // SALTS).select("doc_id", "lang")
+    # Twice as many as are wanted by the hash alone, so that the windows get a bounded number of rows at any size.
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * EXAMPLES / n))]) if counts else F.create_map().cast("map<string,double>")
+    low = F.pmod(F.shiftright(h, 16), F.lit(1 << 20)) < F.ceil(F.try_element_at(share, F.col("lang")) * (1 << 20))
+    chosen = known.where(low).select("doc_id", "lang", h.alias("h"), F.pmod(F.shiftright(h, 8), F.lit(SALTS)).alias("salt")).distinct().withColumn("nth", nth).where(F.col("nth") <= EXAMPLES // SALTS).select("doc_id", "lang")
     n = chosen.count()
     examples = known.select("doc_id", "lang", "text").join(F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen, ["doc_id", "lang"])
 

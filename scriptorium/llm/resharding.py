@@ -8,6 +8,7 @@ holds a third of all rows is spread like any other. Only shards that gain or los
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,44 +17,85 @@ from pyspark.sql import functions as F
 from .common import new_folder, staged
 
 #: Rows of a part of an old shard.
-PART_ROWS = 10_000
-
-
-def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
-    """Units from each source to each sink at least cost, by successive shortest augmenting paths."""
-    n, m = len(supply), len(capacity)
-    flow = [[0] * m for _ in range(n)]
-    left, room = [*supply], [*capacity]
-    infinity = float("inf")
-    while True:
-        # Bellman-Ford from the sources with supply left; sinks are nodes n and up.
-        dist = [0 if left[i] else infinity for i in range(n)] + [infinity] * m
-        came: list[int | None] = [None] * (n + m)
-        changed = True
-        while changed:
-            changed = False
-            for i in range(n):
-                for j in range(m):
-                    if dist[i] + cost[i][j] < dist[n + j]:
-                        dist[n + j], came[n + j], changed = dist[i] + cost[i][j], i, True
-                    if flow[i][j] and dist[n + j] - cost[i][j] < dist[i]:
-                        dist[i], came[i], changed = dist[n + j] - cost[i][j], n + j, True
-        open_sinks = [j for j in range(m) if room[j] and dist[n + j] < infinity]
-        if not open_sinks:
-            return flow
-        sink = min(open_sinks, key=lambda j: (dist[n + j], j))
-        path, node = [], n + sink
-        while came[node] is not None:
-            path.append((came[node], node))
-            node = came[node]
-        amount = min([left[node], room[sink], *(flow[b][a - n] for a, b in path if a >= n)])
-        left[node] -= amount
-        room[sink] -= amount
-        for a, b in path:
-            if a < n:
-                flow[a][b - n] += amount
+PART_ROWS = 2_000
+
+
+class Network:
+    """Arcs with capacity and cost, each followed by its reverse; flow by the primal-dual method."""
+
+    def __init__(self, n: int):
+        self.n = n
+        self.out: list[list[int]] = [[] for _ in range(n)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+        self.cost: list[int] = []
+
+    def arc(self, u: int, v: int, room: int, cost: int) -> int:
+        number = len(self.to)
+        for a, b, r, c in ((u, v, room, cost), (v, u, 0, -cost)):
+            self.out[a].append(len(self.to))
+            self.to.append(b)
+            self.room.append(r)
+            self.cost.append(c)
+        return number
+
+    def min_cost_flow(self, source: int, sink: int) -> int:
+        """The cost of a greatest flow of least cost (costs of arcs not negative); the arcs' rooms are left as it leaves them.
+
+        Each round finds the least costs of paths from the source, then fills the arcs on cheapest paths until
+        they are blocked; so there are as many rounds as paths of different cost.
+        """
+        price, total = [0] * self.n, 0
+        while True:
+            dist: list[int | None] = [None] * self.n
+            dist[source], heap = 0, [(0, source)]
+            while heap:
+                d, u = heapq.heappop(heap)
+                if d > dist[u]:
+                    continue
+                for e in self.out[u]:
+                    v = self.to[e]
+                    if self.room[e] and (dist[v] is None or d + self.cost[e] + price[u] - price[v] < dist[v]):
+                        dist[v] = d + self.cost[e] + price[u] - price[v]
+                        heapq.heappush(heap, (dist[v], v))
+            if dist[sink] is None:
+                return total
+            most = max(d for d in dist if d is not None)
+            price = [p + (most if d is None else d) for p, d in zip(price, dist, strict=True)]
+            total += self._block(source, sink, price) * (price[sink] - price[source])
+
+    def _block(self, source: int, sink: int, price: list[int]) -> int:
+        """Flow along arcs of no reduced cost until every such path is blocked."""
+        at, dead, sent = [0] * self.n, [False] * self.n, 0
+        path: list[int] = []
+        on, u = [False] * self.n, source
+        on[source] = True
+        while True:
+            if u == sink:
+                amount = min(self.room[e] for e in path)
+                sent += amount
+                for e in path:
+                    self.room[e] -= amount
+                    self.room[e ^ 1] += amount
+                for e in path:
+                    on[self.to[e]] = False
+                path, u = [], source
+                continue
+            while at[u] < len(self.out[u]):
+                e = self.out[u][at[u]]
+                v = self.to[e]
+                if self.room[e] and not on[v] and not dead[v] and self.cost[e] + price[u] == price[v]:
+                    break
+                at[u] += 1
+            if at[u] < len(self.out[u]):
+                path.append(self.out[u][at[u]])
+                u = self.to[path[-1]]
+                on[u] = True
+            elif u == source:
+                return sent
             else:
-                flow[b][a - n] -= amount
+                dead[u], on[u] = True, False
+                u = self.to[path.pop() ^ 1]
 
 
 @dataclass
@@ -67,17 +109,38 @@ class Block:
 
 
 def blocks(sizes: dict[int, int], n_new: int) -> list[Block]:
-    """Blocks of a cheapest flow to n_new shards of equal capacity; a byte costs nothing where it lies and 1 elsewhere."""
+    """Blocks of a cheapest flow to n_new shards of equal capacity; a byte costs nothing where it lies and 1 elsewhere.
+
+    All that moves passes one node between old and new shards, so the network has an arc or two for each
+    shard, and there are no more blocks than shards, old and new.
+    """
     olds, total = sorted(sizes), sum(sizes.values())
-    capacity = [total // n_new + (j < total % n_new) for j in range(n_new)]
-    flow = min_cost_flow([sizes[i] for i in olds], capacity, [[int(i != j) for j in range(n_new)] for i in olds])
-    found = []
-    for i, row in zip(olds, flow, strict=True):
-        at = 0
-        for j in sorted(range(n_new), key=lambda j: (j != i, j)):
-            if row[j]:
-                found.append(Block(i, at, at + row[j], j))
-                at += row[j]
+    source, hub, sink = 0, 1, 2
+    old_node, new_node = {s: 3 + i for i, s in enumerate(olds)}, [3 + len(olds) + j for j in range(n_new)]
+    net, stay, leave = Network(3 + len(olds) + n_new), {}, {}
+    for s in olds:
+        net.arc(source, old_node[s], sizes[s], 0)
+        if 0 <= s < n_new:
+            stay[s] = net.arc(old_node[s], new_node[s], sizes[s], 0)
+        leave[s] = net.arc(old_node[s], hub, sizes[s], 1)
+    enter = [net.arc(hub, new_node[j], total, 0) for j in range(n_new)]
+    for j in range(n_new):
+        net.arc(new_node[j], sink, total // n_new + (j < total % n_new), 0)
+    net.min_cost_flow(source, sink)
+    flow = lambda e: net.room[e ^ 1]
+    found, j, free = [], 0, flow(enter[0])
+    for s in olds:
+        at = flow(stay[s]) if s in stay else 0
+        if at:
+            found.append(Block(s, 0, at, s))
+        left = flow(leave[s])
+        while left:
+            while not free:
+                j += 1
+                free = flow(enter[j])
+            moved = min(left, free)
+            found.append(Block(s, at, at + moved, j))
+            at, left, free = at + moved, left - moved, free - moved
     return found
 
 
@@ -109,13 +172,20 @@ def reshard(docs: DataFrame, old_shard: Column, *, n_new: int = 8, rewrite: bool
     narrow = staged(sized.select(*keys, *order, "size"), "sizes")
     per_part = narrow.groupBy(*keys).agg(F.sum("size").alias("bytes"))
     earlier = Window.partitionBy("old_shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = per_part.select(*keys, F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"))
     plan = blocks({r["old_shard"]: r["s"] for r in per_part.groupBy("old_shard").agg(F.sum("bytes").alias("s")).collect()}, n_new)
+    # The ends of each old shard's blocks and where they go: two arrays, for a lookup without a join by range.
+    cuts: dict[int, tuple[list[int], list[int]]] = {}
+    for b in plan:
+        ends, goals = cuts.setdefault(b.old, ([], []))
+        ends.append(b.hi)
+        goals.append(b.shard)
+    known = docs.sparkSession.createDataFrame([(old, *pair) for old, pair in cuts.items()], "old_shard int, ends array<long>, goals array<int>")
+    bases = per_part.select(*keys, F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base")).join(known, "old_shard")
 
     def on_axis(df: DataFrame) -> DataFrame:
         own = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         middle = F.col("base") + F.sum("size").over(own) - F.col("size") / 2
-        return df.withColumns({"nth": F.row_number().over(own), "middle": middle}).withColumn("shard", _shard_of(plan, F.col("old_shard"), F.col("middle")))
+        return df.withColumns({"nth": F.row_number().over(own), "middle": middle}).withColumn("shard", F.expr("element_at(goals, least(size(goals), 1 + size(filter(ends, e -> e <= middle))))"))
 
     counts = on_axis(narrow.join(bases, keys)).groupBy(*keys, "shard").agg(F.count("*").alias("n"), F.min("nth").alias("first"))
     in_shard = Window.partitionBy("shard").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
@@ -130,13 +200,6 @@ def reshard(docs: DataFrame, old_shard: Column, *, n_new: int = 8, rewrite: bool
     return out
 
 
-def _shard_of(plan: list[Block], old: Column, middle: Column) -> Column:
-    found = F.lit(0)
-    for b in reversed(plan):
-        found = F.when((old == b.old) & (middle < b.hi), b.shard).otherwise(found)
-    return found.cast("int")
-
-
 def read_back(resharded: Resharded) -> DataFrame:
     """All documents in their new places: rewritten shards from their files, the others from where they lie."""
     spark = resharded.placed.sparkSession

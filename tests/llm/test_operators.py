@@ -237,6 +237,35 @@ def test_flow_moves_the_fewest_bytes():
     assert [into[j] for j in range(6)] == capacity
 
 
+def brute_flow(sizes, capacity):
+    """Least cost of moving units one by one along cheapest augmenting paths, with stay 0 and move 1."""
+    keep = sum(min(s, capacity[i]) for i, s in sizes.items() if i < len(capacity))
+    return sum(sizes.values()) - keep
+
+
+def test_flow_on_random_and_on_many_shards():
+    rng = random.Random(8)
+    for _ in range(200):
+        n_new = rng.randint(1, 9)
+        sizes = {i: rng.choice([0, rng.randint(0, 50), 500]) for i in rng.sample(range(12), rng.randint(1, 9))}
+        plan, total = resharding.blocks(sizes, n_new), sum(sizes.values())
+        capacity = [total // n_new + (j < total % n_new) for j in range(n_new)]
+        into, held = Counter(), defaultdict(int)
+        for b in plan:
+            into[b.shard] += b.hi - b.lo
+            assert b.lo == held[b.old] and b.hi > b.lo
+            held[b.old] = b.hi
+        assert [into[j] for j in range(n_new)] == capacity and {k: v for k, v in sizes.items() if v} == dict(held)
+        assert sum(b.hi - b.lo for b in plan if b.old != b.shard) == brute_flow(sizes, capacity)
+    assert len(resharding.blocks({i: 1000 + i for i in range(10_000)}, 13_000)) < 35_000
+
+
+def test_flow_with_other_costs_reroutes():
+    net = resharding.Network(6)
+    arcs = [net.arc(*a) for a in ((0, 1, 2, 0), (0, 2, 2, 0), (1, 3, 2, 1), (1, 4, 2, 4), (2, 3, 2, 2), (2, 4, 2, 9), (3, 5, 2, 0), (4, 5, 2, 0))]
+    assert net.min_cost_flow(0, 5) == 2 * 4 + 2 * 2 and net.room[arcs[5]] == 2
+
+
 def test_resharding_is_whole_and_gapless(spark):
     rows = awkward() + [(i, prose(i, 30), "en", "src0", None, None, None, None) for i in range(100, 300)]
     rows = [r for r in rows if r[0] != 8]
