@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ __all__ = ["BLANKS", "PUNCTUATED", "U", "Words", "bounded_batches", "free_name",
 
 #: Bytes of text that one vectorised step looks at; a longer text is a step of its own.
 STEP_BYTES = 1 << 19
+#: Steps after which freed memory is given back.
+TRIM = 8
 
 U = np.uint64
 
@@ -45,8 +48,25 @@ def plain_documents(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
 
 
+def _return_memory() -> None:
+    """Give what this Python worker has freed back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each piece has about STEP_BYTES of text at most."""
+    """Cut batches so that each piece has about STEP_BYTES of text at most; every TRIM pieces and at the end free memory goes back."""
+    for i, piece in enumerate(_pieces(batches, column)):
+        yield piece
+        if i % TRIM == TRIM - 1:
+            _return_memory()
+    _return_memory()
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue

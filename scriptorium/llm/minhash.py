@@ -36,7 +36,7 @@ SHINGLE, BANDS, ROWS, RARE = 5, 14, 3, 1 / 512
 #: Texts, and bytes of them, on either side of a block that is compared in one task.
 BLOCK, BLOCK_BYTES = 384, 1 << 20
 #: Entries that one partition's counts of words hold before they are merged.
-MERGE = 1 << 21
+MERGE = 1 << 20
 
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

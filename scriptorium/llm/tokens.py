@@ -62,7 +62,7 @@ class WordEncoder:
     text for a tokenizer of another kind, goes to the library as a whole.
     """
 
-    KEPT, LONGEST = 1 << 20, 48
+    KEPT, LONGEST = 1 << 19, 48
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
