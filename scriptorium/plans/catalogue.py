@@ -156,8 +156,7 @@ def fuzzy_catalogue_match(t):
 @query()
 def greedy_assignment(t):
     scores = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("score"))
-    best = scores.join(scores.groupBy("l_suppkey").agg(F.max("score").alias("score")), ["l_suppkey", "score"])
-    return resolve.greedy_one_to_one(best.select("l_suppkey", "l_partkey", "score"), "l_suppkey", "l_partkey")
+    return resolve.greedy_one_to_one(scores, "l_suppkey", "l_partkey")
 
 
 @query("SELECT s_suppkey AS id, s_name AS name, coalesce(n_name, s_name) AS label FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey IN (1, 2)")

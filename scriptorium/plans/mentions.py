@@ -123,7 +123,17 @@ def kwic_first(t):
     return found.select("doc_id", "start", T.kwic(F.col("text"), F.col("start").cast("int"), (F.col("start") + 5).cast("int"), 30).alias("kwic"))
 
 
-@query()
+#: Texts cut into words and what is between, with the place of each part: word edges as in find_spans, without looking around.
+PARTS = r"""WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS ps FROM documents),
+e AS (SELECT doc_id, text, unnest(ps) AS part, generate_subscripts(ps, 1) AS i FROM p),
+w AS (SELECT doc_id, text, part, CAST(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS "end" FROM e),
+s AS (SELECT doc_id, text, part AS matched, lower(part) AS word, "end" - length(part) AS start, "end" FROM w)
+"""
+
+
+@query(PARTS + """SELECT doc_id, CASE word WHEN 'nicht' THEN 0 ELSE 1 END AS ordinal, start, "end",
+substr(text, greatest(0, start - 40) + 1, start - greatest(0, start - 40)) || '[[' || matched || ']]' || substr(text, "end" + 1, 40) AS kwic
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, word ORDER BY start) AS n FROM s WHERE word IN ('nicht', 'que')) WHERE n <= 4""")
 def kwic_samples_max4(t):
     docs = t.documents.where(F.lower("text").rlike(r"\b(?:nicht|que)\b")).select("doc_id", "text")
     spans = mentions.find_spans(docs, [r"\bnicht\b", r"\bque\b"], "doc_id", "text")
@@ -131,7 +141,8 @@ def kwic_samples_max4(t):
     return first.select("doc_id", "ordinal", "start", "end", T.kwic(F.col("text"), F.col("start"), F.col("end"), 40).alias("kwic"))
 
 
-@query()
+@query(PARTS + r""", c AS (SELECT doc_id, start, "end", matched, trim(regexp_replace(substr(text, greatest(0, (start + "end") // 2 - 70) + 1, 140), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS context FROM s WHERE word = 'und')
+SELECT doc_id, 0 AS ordinal, start, "end", matched, context FROM c WHERE NOT regexp_matches(context, '(?i)(^|[^\p{L}\p{M}\p{N}_])nicht($|[^\p{L}\p{M}\p{N}_])|\p{Nd}{3}') AND regexp_matches(context, '(?i)(^|[^\p{L}\p{M}\p{N}_])(der|die|von)($|[^\p{L}\p{M}\p{N}_])')""")
 def mentions_without_negatives(t):
     docs = t.documents.where(F.lower("text").rlike(r"\bund\b")).select("doc_id", "text")
     spans = mentions.find_spans(docs, [r"\bund\b"], "doc_id", "text").withColumn("context", T.context(F.col("text"), F.col("start"), F.col("end"))).drop("text")
@@ -266,14 +277,28 @@ def report_search(t):
     return rows.groupBy("label", "grp", "source").agg(F.sum("cnt").alias("n"))
 
 
-@query()
+@query(r"SELECT DISTINCT doc_id, unnest(list_filter(string_split(translate(regexp_replace(replace(strip_accents(lower(text)), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g'), 'uj', 'vi'), ' '), lambda x: x <> '')) AS token FROM documents")
 def report_inverted_index(t):
-    return report.inverted_index(t.benchmark, "item_id", "text")
+    return report.inverted_index(t.documents, "doc_id", "text")
 
 
-@query()
+_WORD_MAP = {"und": "vnd", "the": "ye", "les": "ces"}
+
+
+def _case(table: dict[str, str]) -> str:
+    return "CASE lower(x) " + " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in table.items()) + " END"
+
+
+def _replaced(column: str, table: dict[str, str]) -> str:
+    for old, new in table.items():
+        column = f"replace({column}, '{old}', '{new}')"
+    return column
+
+
+@query(rf"""WITH a AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all({_replaced("text", T.MODERN_LETTERS)}, '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: coalesce({_case(T.MODERN_WORDS)}, x)), '') AS text FROM documents)
+SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}]+'), lambda x: CASE WHEN {_case(_WORD_MAP)} IS NULL THEN x WHEN x = upper(x) THEN upper({_case(_WORD_MAP)}) WHEN x[1] = upper(x[1]) THEN upper({_case(_WORD_MAP)}[1]) || {_case(_WORD_MAP)}[2:] ELSE {_case(_WORD_MAP)} END), '') AS text FROM a""")
 def modernized_documents(t):
-    table = {"und": "vnd", "the": "ye", "les": "ces"}
+    table = _WORD_MAP
     return t.documents.select("doc_id", T.modernize_words(T.modernize_letters(F.col("text")), table).alias("text"))
 
 

@@ -160,11 +160,15 @@ def weighted_degree_top10(t):
 
 @query()
 def edge_thinning_greedy(t):
-    e = E.counted_edges(t.lineitem.select(F.col("l_suppkey").alias("u"), (-F.col("l_partkey")).alias("v")), "u", "v")
-    return network.thinned(e)
+    """Customers and suppliers are people of one numbering, so that a node may be either end."""
+    return network.thinned(author_edge_table(t).select(F.col("src").alias("u"), F.col("tgt").alias("v"), F.col("weighted").alias("weight")))
 
 
-@query()
+_SWEEP = """{b}{i} AS (SELECT {b}, row_number() OVER (ORDER BY avg(place), {b}) AS place FROM e JOIN {a}{j} USING ({a}) GROUP BY {b})"""
+_SWEEPS = ", ".join(_SWEEP.format(a=a, b=b, i=i, j=j) for a, b, i, j in (("s", "f", 1, 0), ("f", "s", 1, 1), ("s", "f", 2, 1), ("f", "s", 2, 2)))
+
+
+@query(f"WITH e AS (SELECT DISTINCT l_suppkey AS s, l_returnflag AS f FROM lineitem), s0 AS (SELECT s, row_number() OVER (ORDER BY s) AS place FROM (SELECT DISTINCT s FROM e)), {_SWEEPS} SELECT CAST(s AS VARCHAR) AS node, place FROM s2 UNION ALL SELECT f, place FROM f2")
 def bipartite_layout(t):
     pairs = t.lineitem.select(F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("f")).distinct()
     lefts, rights = network.barycentre_order(pairs, "s", "f")
