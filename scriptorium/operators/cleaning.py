@@ -21,7 +21,11 @@ EDITORIAL = (
 )
 # Words that open a chronicle's paragraph, and its vocabulary:
 OPENING = r"^(?:Anno|An\.|Item|Im\s+jare|Im\s+jar|In\s+dem\s+jare|In\s+dem\s+jar|Des\s+jares?|Des\s+jare|Do|Uff|Darnach|Hie|Also|Nach\s+dem|Darauf)\b"
-ARCHAIC = r"\bdo\b|\buff\b|\bze\b|\bhertzog|\bmarkgraf|\bbischof|\britter|\bknecht|\bgräf|\bgräve|\bburg\b|\bstatt\b|\bstett|\bküng|\bpapst|\bconcil|\bconcilium|\bhussit|\bfehde|\bfasnacht|\bjar|\bjare"
+ARCHAIC = (
+    r"\bdo\b", r"\buff\b", r"\bze\b", r"\bhertzog", r"\bmarkgraf", r"\bbischof", r"\britter", r"\bknecht", r"\bgräf",
+    r"\bgräve", r"\bburg\b", r"\bstatt\b", r"\bstett", r"\bküng", r"\bpapst", r"\bconcil", r"\bconcilium", r"\bhussit",
+    r"\bfehde", r"\bfasnacht", r"\bjar", r"\bjare",
+)
 YEAR = r"\b(13|14)\d{2}\b"
 # Lines that are page furniture:
 FURNITURE = (r"^\s*\d+\s*$", r"^\s*[IVXLCDM]{1,8}\s*$", r"^\s*[—\-–]+\s*$", r"^\s*[A-ZÄÖÜ][A-ZÄÖÜ\s\.\-]{2,40}$")
@@ -80,7 +84,7 @@ def editorial_paragraph(p: Column) -> Column:
 def chronist_score(p: Column) -> Column:
     """2 for an opening, 2 for a year, 1 for the vocabulary, less 1 for many brackets."""
     one = lambda regex: p.rlike(f"(?iU){regex}").cast("int")
-    return 2 * one(OPENING) + 2 * p.rlike(YEAR).cast("int") + p.rlike(_at_a_word(ARCHAIC)).cast("int") - (F.regexp_count(p, F.lit(r"[()]")) > 2).cast("int")
+    return 2 * one(OPENING) + 2 * p.rlike(YEAR).cast("int") + p.rlike(_at_a_word(*ARCHAIC)).cast("int") - (F.regexp_count(p, F.lit(r"[()]")) > 2).cast("int")
 
 
 def chronicle_paragraphs(text: Column) -> Column:
