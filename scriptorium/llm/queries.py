@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import alignment
+from .clustering import CLUSTERS, DIMENSIONS, ROUNDS, SCALE, clusters
 from .decontamination import contamination
 from .language import languages
 from .minhash import near_duplicates
 from .packing import pack
+from .pages import main_texts
 from .quality import quality
 from .resharding import read_back, reshard
 from .secrets import KINDS, LIVE, WIDELY, secrets
@@ -114,10 +118,42 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(documents(spark, sf_dir))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(documents(spark, sf_dir))
+
+
+def op12_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars", "n_template", "n_named")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)).drop("centroid")
+
+
+def _lloyd_sql() -> str:
+    """Lloyd's rounds over all rows, one after another, without grouping equal vectors."""
+    place = "SELECT * FROM (SELECT vec_id, u, r, v, j AS cluster, d AS distance, row_number() OVER (PARTITION BY u ORDER BY d, j) AS k FROM (SELECT x.*, c.j, list_sum(list_transform(list_zip(x.v, c.m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM q x, c{0} c)) WHERE k = 1"
+    parts = [
+        f"e AS (SELECT vec_id, row_number() OVER () AS u, embedding FROM embeddings WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIMENSIONS})",
+        f"q AS MATERIALIZED (SELECT vec_id, u, sha256('3:' || vec_id) AS r, list_transform(embedding, lambda x: CAST(floor({SCALE}::DOUBLE * x::DOUBLE) AS BIGINT)) AS v FROM e)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY r, v) - 1 AS j, v AS m FROM q WHERE vec_id IS NOT NULL ORDER BY r, v LIMIT {CLUSTERS})",
+    ]
+    for i in range(ROUNDS):
+        parts.append(f"a{i} AS MATERIALIZED ({place.format(i)})")
+        parts.append(f"s{i} AS (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range({DIMENSIONS})) AS i FROM a{i}) GROUP BY ALL)")
+        parts.append(f"m{i} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS m FROM (SELECT cluster, i, CAST(s AS BIGINT) AS s, n FROM s{i}) GROUP BY cluster)")
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c.j, coalesce(m{i}.m, c.m) AS m FROM c{i} c LEFT JOIN m{i} ON m{i}.cluster = c.j)")
+    parts.append(f"z AS MATERIALIZED ({place.format(ROUNDS)})")
+    return f"""WITH {", ".join(parts)}
+SELECT z.vec_id, CAST(z.cluster AS INTEGER) AS cluster, z.distance, CAST(sum(z.distance) OVER (PARTITION BY z.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(z.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.m, ',')) AS centroid_sha256
+FROM z JOIN c{ROUNDS} c ON c.j = z.cluster"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if re.fullmatch(r"op\d+_\w+", name) and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are tested against brute force in tests/llm."""
-    return {"op6_suffixes": OP6_SQL, "op9_decontamination": OP9_SQL}
+    return {"op6_suffixes": OP6_SQL, "op9_decontamination": OP9_SQL, "op13_centroids": _lloyd_sql()}
