@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, free_name, staged, steps
 
 #: A subtree is a template if it recurs in pages of so many different contents at least, and in that share of its host's.
-LEAST_PAGES, LEAST_SHARE = 5, 0.005
+LEAST_PAGES, LEAST_SHARE = 3, 0.005
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")

@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -80,7 +81,7 @@ def plain_alignment(encoder, texts):
                 j += 1
         groups, borders = [], sorted(set(ea) & set(eb))
         for lo, hi in zip([0, *borders], borders, strict=False):
-            groups.append("|".join(",".join(str(t) for t, e in zip(ids, end, strict=True) if lo < e <= hi) for ids, end in ((a, ea), (b, eb))))
+            groups.append("|".join(",".join(map(str, ids[bisect_right(end, lo) : bisect_right(end, hi)])) for ids, end in ((a, ea), (b, eb))))
         links[k], out[k] = own, (len(a), len(b), groups)
     held = Counter(p for own in links.values() for p in set(own))
     most = defaultdict(int)
@@ -125,7 +126,8 @@ def test_op12_keeps_the_article_alone(spark, sf):
     got = queries.op12_main_texts(spark, data).collect()
     assert {r["page_id"]: (r["url"], r["text"]) for r in got} == want and len(got) == len(want)
     assert all(r["n_chars"] == len(r["text"]) for r in got)
-    assert sf == "sf0.001" or sum(r["n_template"] > 0 for r in got) > len(got) / 2
+    largest = [r for r in got if r["url"].split("/")[2] == "blog.tionsh.example.com"]
+    assert sf == "sf0.001" or sum(r["n_template"] > 0 for r in largest) > len(largest) / 2
 
 
 def nameless(i: int, kind: str) -> str:
