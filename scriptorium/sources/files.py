@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import re
 from collections.abc import Iterator
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import records as R
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -69,40 +72,57 @@ def identifiers(header: list[str]) -> list[str]:
     return out
 
 
-def sniffed_delimiter(line: str, marks: str = ",;\t|") -> str:
-    return max(marks, key=lambda m: (line.count(m), -marks.index(m)))
+def _headed(spark: SparkSession, path: str, delimiter: str, header: list[str], notes: str | None, plain: bool, split: int) -> DataFrame:
+    names = identifiers(header)
+    extra = names.index(notes) if notes in names else len(names) - 1
 
+    def shape(row: list[str]) -> list[str]:
+        own, over = [*row[: len(names)], *[""] * (len(names) - len(row))], row[len(names) :]
+        if over and notes is not None:
+            own[extra] += " | EXTRA: " + " | ".join(c.strip() for c in over if c.strip())
+        return [c.strip() for c in own]
 
-def sanitized_csv(spark: SparkSession, path: str, *, notes: str = "notizen", delimiter: str | None = None) -> DataFrame:
-    """A CSV as text columns: plain quotes, no BOM, fields beyond the heading added to the notes column (or the last), short rows padded, all trimmed.
+    return R.records(spark, path, delimiter, len(names), plain=plain, split=split, shape=shape, names=names)
 
-    Records are lines; each is parsed where it lies. A null cell is an empty one.
-    """
-    lines = spark.read.text(path).select(F.translate(F.regexp_replace("value", "^﻿|\r$", ""), "“”„‟’‘", "\"\"\"\"''").alias("line")).where("line != ''")
-    first = lines.limit(1).collect()
-    if not first:
-        return spark.createDataFrame([], "line string")
-    mark = delimiter or sniffed_delimiter(first[0]["line"])
-    import csv
-
-    header = next(csv.reader([first[0]["line"]], delimiter=mark))
-    names = identifiers([h.strip() for h in header])
-    extra = names.index(notes) if notes in names else len(names) - 1
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for row in csv.reader(pdf["line"].tolist(), delimiter=mark):
-                row = [c.strip() for c in row]
-                if row == [h.strip() for h in header]:
-                    continue
-                own, over = [*row[: len(names)], *[""] * (len(names) - len(row))], [c for c in row[len(names) :] if c]
-                if over:
-                    own[extra] = (own[extra] + " | EXTRA: " if own[extra] else "EXTRA: ") + " | ".join(over)
-                rows.append(own)
-            yield pd.DataFrame(rows, columns=names, dtype=object)
+def _heading(text: str, delimiter: str) -> list[str]:
+    return [h.strip() for h in next(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), [])]
+
 
-    return lines.mapInPandas(parse, ", ".join(f"`{n}` string" for n in names))
+def sanitized_csv(spark: SparkSession, path: str, *, notes: str = "notizen", delimiter: str | None = None, split: int = R.SPLIT) -> DataFrame:
+    """A CSV as text columns: plain quotes, no BOM, fields beyond the heading added to the notes column (or the last), short rows padded, all trimmed.
+
+    Quoted fields may hold line breaks; files are read in splits. The delimiter is guessed from the head. A null cell is an empty one; empty
+    lines are left out. An empty file, and two equal headings, are errors.
+    """
+    text = R.plain_quotes(R.head(path))
+    if not text.strip():
+        raise ValueError(f"{path} is empty")
+    mark = delimiter or R.sniffed_delimiter(text)
+    return _headed(spark, path, mark, _heading(text, mark), notes, True, split)
+
+
+def browser_csv(spark: SparkSession, path: str, *, split: int = R.SPLIT) -> DataFrame:
+    """A CSV as the report pages read it: comma, or semicolon if the first five lines have more of them; typographic quotes stay, further fields are dropped. An empty file has no column."""
+    text = R.head(path)
+    mark = R.browser_delimiter(text)
+    header = _heading(text, mark)
+    return _headed(spark, path, mark, header, None, False, split) if header else spark.createDataFrame([], "")
+
+
+def mentions_csv(spark: SparkSession, path: str, needed: tuple[str, ...] = (), *, split: int = R.SPLIT) -> DataFrame:
+    """A table of mentions by semicolon, else comma, else the guessed mark: the first that gives several columns, or all that are needed. A file without rows is an error."""
+    text = R.head(path)
+    found = None
+    for mark in (";", ",", R.sniffed_delimiter(text)):
+        header = _heading(text, mark)
+        if set(needed) <= set(header) if needed else len(header) > 1:
+            found = mark
+            break
+    df = _headed(spark, path, found or ";", _heading(text, found or ";"), None, False, split) if text.strip() and (found or not needed) else None
+    if df is None or not df.limit(1).count():
+        raise ValueError(f"{path} is empty or has no columns {needed}")
+    return df
 
 
 def guessed_column(df: DataFrame, candidates: tuple[str, ...]) -> str:
