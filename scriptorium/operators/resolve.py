@@ -13,6 +13,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.staging import written
+from . import setjoin
 
 
 def waterfall(candidates: list[DataFrame], key: str) -> DataFrame:
@@ -47,9 +48,9 @@ def best_overlap(overlap: DataFrame, key: str, least: int = 1) -> DataFrame:
 
 def unique_winner(overlap: DataFrame, key: str, least: int = 1) -> DataFrame:
     """As best_overlap, but a tie for the first place is no match."""
-    most = overlap.where(F.col("shared") >= least).groupBy(key).agg(F.max("shared").alias("shared"))
-    firsts = overlap.join(most, [key, "shared"]).groupBy(key, "shared").agg(F.count("*").alias("n"), F.min("entity").alias("entity"))
-    return firsts.where("n = 1").select(key, "entity", "shared")
+    by_shared = overlap.where(F.col("shared") >= least).groupBy(key, "shared").agg(F.count("*").alias("n"), F.min("entity").alias("entity"))
+    first = F.max_by(F.struct("n", "entity", "shared"), "shared")
+    return by_shared.groupBy(key).agg(first.alias("b")).where("b.n = 1").select(key, "b.entity", "b.shared")
 
 
 def jaccard_best(overlap: DataFrame, key: str) -> DataFrame:
@@ -59,6 +60,18 @@ def jaccard_best(overlap: DataFrame, key: str) -> DataFrame:
     return overlap.withColumn("confidence", s).groupBy(key).agg(best.alias("b")).select(key, "b.entity", "b.confidence")
 
 
+def key_or_words(left: DataFrame, key: str, left_text: str, right: DataFrame, entity: str, right_text: str, *, bars: tuple[float, ...] = setjoin.BARS) -> DataFrame:
+    """key, entity, step, confidence: an equal canonical key is a match of 1.0 (step 0) whatever the words say, else the largest Jaccard similarity of words (step 1).
+
+    Ties go to the least entity. Only keys without an equal key are compared by words.
+    """
+    equal = written(by_key(left, key, left_text, right, entity, right_text), "equal")
+    open_ = left.join(equal.select(key).distinct(), key, "left_anti")
+    near = jaccard_best(setjoin.best_pairs(open_, key, left_text, right, entity, right_text, bars=bars), key)
+    steps = [equal, near.withColumnRenamed("confidence", "score")]
+    return waterfall(steps, key).select(key, "entity", "step", F.col("score").alias("confidence"))
+
+
 #: Rows on each side of a task of fuzzy_matches.
 BLOCK = 256
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, resolve
+from ..functions.staging import written
+from ..operators import catalog, resolve, setjoin
 from .registry import Tables, query
 
 WORKS = "WITH works AS (SELECT p_partkey AS id, p_brand AS author, p_name AS title, p_size AS year, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS oa, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS file_exists, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS owned, p_type AS title_key FROM part)\n"
@@ -122,30 +123,51 @@ o AS (SELECT doc_id, entity, nl, nr, count(*) AS shared FROM (SELECT doc_id, len
 """
 
 
-def overlap(t: Tables):
-    return resolve.token_overlap(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
+def pairs(t: Tables, jaccard: bool):
+    return setjoin.best_pairs(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", jaccard=jaccard, stopwords=())
 
 
 @query(OVERLAP + "SELECT doc_id, entity, confidence FROM (SELECT doc_id, entity, round(shared / (nl + nr - shared), 4) AS confidence, row_number() OVER (PARTITION BY doc_id ORDER BY round(shared / (nl + nr - shared), 4) DESC, entity) AS n FROM o) WHERE n = 1")
 def jaccard_best_match(t):
-    return resolve.jaccard_best(overlap(t), "doc_id")
+    return resolve.jaccard_best(pairs(t, True), "doc_id")
 
 
 @query(OVERLAP + "SELECT doc_id, min(entity) AS entity, shared FROM (SELECT *, max(shared) OVER (PARTITION BY doc_id) AS m FROM o) WHERE shared = m GROUP BY doc_id, shared HAVING count(*) = 1")
 def unique_token_winner(t):
-    return resolve.unique_winner(overlap(t), "doc_id")
+    return resolve.unique_winner(pairs(t, False), "doc_id")
 
 
 _KEY = r"trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query(OVERLAP + f""", kd AS (SELECT doc_id, {_KEY} AS k FROM documents), kb AS (SELECT item_id AS entity, {_KEY} AS k FROM benchmark),
+@query(OVERLAP.replace("FROM documents)", "FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text || ' !' FROM benchmark))") + f""", kd AS (SELECT doc_id, {_KEY} AS k FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text || ' !' FROM benchmark)), kb AS (SELECT item_id AS entity, {_KEY} AS k FROM benchmark),
 c AS (SELECT doc_id, entity, 1.0 AS score, 0 AS step FROM kd JOIN kb USING (k) WHERE k <> '' UNION ALL SELECT doc_id, entity, CAST(shared AS DOUBLE), 1 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, entity) AS n FROM o) WHERE n = 1)
 SELECT doc_id, entity, step, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY step, score DESC, entity) AS n FROM c) WHERE n = 1""")
 def resolve_waterfall(t):
-    exact = resolve.by_key(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
-    near = resolve.best_overlap(overlap(t), "doc_id").select("doc_id", "entity", F.col("shared").cast("double").alias("score"))
-    return resolve.waterfall([exact, near], "doc_id")
+    """Documents, and the items themselves with a mark after them: an equal key first, else most shared words."""
+    left = t.documents.select("doc_id", "text").union(t.benchmark.select(-1 - F.col("item_id"), F.concat("text", F.lit(" !"))))
+    exact = written(resolve.by_key(left, "doc_id", "text", t.benchmark, "item_id", "text"), "exact")
+    open_ = left.join(exact.select("doc_id").distinct(), "doc_id", "left_anti")
+    near = resolve.best_overlap(setjoin.best_pairs(open_, "doc_id", "text", t.benchmark, "item_id", "text", jaccard=False, stopwords=()), "doc_id")
+    return resolve.waterfall([exact, near.select("doc_id", "entity", F.col("shared").cast("double").alias("score"))], "doc_id")
+
+
+_TITLE = r"array_to_string(list_filter(string_split_regex(lower(strip_accents(text)), '[^a-z0-9]+'), lambda x: x <> '')[1:8], ' ')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_TITLE} AS k FROM documents WHERE text IS NOT NULL), r AS (SELECT min(doc_id) AS entity, k FROM d WHERE k <> '' GROUP BY k),
+l AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'neue ausgabe ' || k ELSE k END AS k FROM d WHERE k <> ''),
+lt AS (SELECT doc_id, k, list_distinct(list_filter(string_split(k, ' '), lambda x: length(x) >= 3)) AS tk FROM l), rt AS (SELECT entity, list_distinct(list_filter(string_split(k, ' '), lambda x: length(x) >= 3)) AS tk FROM r),
+o AS (SELECT doc_id, entity, count(*) / (nl + nr - count(*)) AS j FROM (SELECT doc_id, len(tk) AS nl, unnest(tk) AS w FROM lt) JOIN (SELECT entity, len(tk) AS nr, unnest(tk) AS w FROM rt) USING (w) GROUP BY doc_id, entity, nl, nr),
+c AS (SELECT doc_id, entity, 0 AS step, CAST(1 AS DOUBLE) AS s FROM l JOIN r USING (k) UNION ALL SELECT doc_id, entity, 1, round(j, 4) FROM o)
+SELECT doc_id, entity, step, s AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY step, s DESC, entity) AS n FROM c) WHERE n = 1""")
+def works_bound_by_key_or_words(t):
+    """Titles (a document's first eight words) to the different titles of all documents: two thirds have an equal key, a third has other words before."""
+    own = F.array_join(F.slice(F.filter(F.split(T.canonical_key(F.col("text")), " "), lambda w: w != ""), 1, 8), " ")
+    d = written(t.documents.where("text is not null").select("doc_id", own.alias("title")).where("title != ''"), "titles")
+    right = d.groupBy("title").agg(F.min("doc_id").alias("entity"))
+    left = d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("neue ausgabe "), "title")).otherwise(F.col("title")).alias("title"))
+    return resolve.key_or_words(left, "doc_id", "title", right, "entity", "title")
 
 
 @query()
