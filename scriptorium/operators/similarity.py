@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import written
+
 
 def matrix(pairs: DataFrame, row: str, col: str, weighting: str = "count", intensity: Column | None = None) -> DataFrame:
     """Sparse triples (r, c, w): count of pairs, sum of an intensity, or 1."""
@@ -34,6 +36,70 @@ def cosine_pairs(m: DataFrame, *, least: float = 0.0, least_shared: int = 1) ->
     return dots.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("similarity"), "shared").where((F.col("similarity") >= least) & (F.col("shared") >= least_shared))
 
 
+#: Rows of a column that one cell of a join holds on each side; a column of more rows is a grid of cells.
+CELL = 4096
+#: What rounding to six places and the order of a sum can hide.
+_SLACK = 2e-6
+
+
+def _cells(entries: DataFrame, own: str, other: str, cell: int) -> DataFrame:
+    """Each entry of a column in all cells of its row of the grid: own and other are the names of the two coordinates."""
+    parts = F.ceil(F.col("df") / cell).cast("int")
+    return entries.withColumn(own, F.pmod(F.xxhash64("r"), parts).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), parts - 1)))
+
+
+def _met(left: DataFrame, right: DataFrame, cell: int) -> DataFrame:
+    """a, b, dot: sums of products over the columns that two rows share. Both sides: r, c, v, df."""
+    x = _cells(left, "_x", "_y", cell).select(F.col("r").alias("a"), "c", "_x", "_y", F.col("v").alias("va"))
+    y = _cells(right, "_y", "_x", cell).select(F.col("r").alias("b"), "c", "_x", "_y", F.col("v").alias("vb"))
+    return x.join(y.hint("merge"), ["c", "_x", "_y"]).where("a != b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("dot"))
+
+
+def _dots(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b, more of pairs: their sums of products over the columns in left, which b may lack."""
+    x = pairs.select("a", "b").join(left.select(F.col("r").alias("a"), "c", F.col("v").alias("va")).hint("merge"), "a")
+    y = right.select(F.col("r").alias("b"), "c", F.col("v").alias("vb"))
+    return x.join(y.hint("merge"), ["b", "c"]).groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("more"))
+
+
+def weighed(m: DataFrame) -> DataFrame:
+    """r, c, v (of length 1), df, reach: entries with, from rare to frequent columns, a bound on what this and the more frequent columns of a row can add to any similarity."""
+    norms = m.groupBy("r").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
+    unit = written(m.where("w != 0").join(norms.hint("merge"), "r").select("r", "c", (F.col("w") / F.col("norm")).alias("v")), "unit")
+    columns = unit.groupBy("c").agg(F.count("*").alias("df"), F.max("v").alias("top"))
+    onward = Window.partitionBy("r").orderBy(F.desc("df"), "c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return written(unit.join(columns.hint("merge"), "c").withColumn("reach", F.sum(F.col("v") * F.col("top")).over(onward)), "weighed")
+
+
+def top_neighbours(m: DataFrame, n: int, *, cell: int = CELL) -> DataFrame:
+    """a, b, similarity, rank: the n rows most similar to each by cosine, to six places, ties by b; exact, without a table of all pairs. m: r, c, w >= 0.
+
+    First, rows that share a rare column and weigh most in it give each row n neighbours and so a bar for its n-th
+    similarity. A row's most frequent columns are then left out of the search as long as the largest weights of those
+    columns could not lift any row over the bar; pairs that the other columns and this bound keep below the bar go, and
+    only what is left is completed. Columns of more than `cell` rows are split on both sides. Rows without a weight have no
+    neighbours; rows that share no column are none. No rows: no rows.
+    """
+    entries = weighed(m)
+    heavy = Window.partitionBy("c").orderBy(F.desc("v"), "r")
+    rare = Window.partitionBy("r").orderBy("df", F.desc("c"))
+    few = entries.withColumn("i", F.row_number().over(heavy)).where(F.col("i") <= 2 * n)
+    start = entries.withColumn("i", F.row_number().over(rare)).where(F.col("i") <= 8)
+    first = _met(start.select("r", "c", "v", "df"), few.select("r", "c", "v", "df"), cell)
+    likely = first.withColumn("i", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("dot"), "b"))).where(F.col("i") <= n).select("a", "b")
+    known = _dots(written(likely, "likely"), entries, entries)
+    bars = known.groupBy("a").agg(F.min("more").alias("bar"), F.count("*").alias("k")).select(F.col("a").alias("r"), F.when(F.col("k") >= n, F.col("bar")).otherwise(0.0).alias("bar"))
+    barred = written(entries.join(bars.hint("merge"), "r", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)) - _SLACK), "barred")
+    searched, left_out = barred.where("reach >= bar"), barred.where("reach < bar")
+    rest = left_out.groupBy("r").agg(F.max("reach").alias("rest"))
+    of_row = barred.groupBy("r").agg(F.first("bar").alias("bar")).join(rest.hint("merge"), "r", "left").select(F.col("r").alias("a"), "bar", F.coalesce("rest", F.lit(0.0)).alias("rest"))
+    met = _met(searched.select("r", "c", "v", "df"), entries.select("r", "c", "v", "df"), cell)
+    near = written(met.join(of_row.hint("merge"), "a").where("dot + rest >= bar").select("a", "b", "dot"), "near")
+    total = near.join(_dots(near, left_out, entries), ["a", "b"], "left").select("a", "b", F.round(F.col("dot") + F.coalesce("more", F.lit(0.0)), 6).alias("similarity"))
+    order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
+    return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
 def neighbours(pairs: DataFrame, n: int) -> DataFrame:
     """The n most similar of each row, in both directions."""
     both = pairs.select("a", "b", "similarity").union(pairs.select("b", "a", "similarity"))

@@ -86,7 +86,7 @@ for _kind in ("count", "binary", "intensity", "tfidf"):
 
 @query(_pairs_sql("count") + "SELECT a, b, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM (SELECT a, b, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs)) WHERE rank <= 5")
 def similarity_neighbors_top5(t):
-    return similarity.neighbours(similarity.cosine_pairs(similarity_matrix(t, "count")), 5).withColumn("rank", F.col("rank").cast("long"))
+    return similarity.top_neighbours(similarity_matrix(t, "count"), 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("SELECT count(DISTINCT l_suppkey) AS n_rows, count(DISTINCT l_partkey) AS n_cols, count(DISTINCT (l_suppkey, l_partkey)) AS nnz, round(1 - count(DISTINCT (l_suppkey, l_partkey)) / (count(DISTINCT l_suppkey) * count(DISTINCT l_partkey)), 6) AS sparsity FROM lineitem")

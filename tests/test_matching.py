@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import resolve, setjoin
+from scriptorium.operators import resolve, setjoin, similarity
 
 
 def titles(seed: int, n: int) -> list[tuple[int, str]]:
@@ -61,6 +61,42 @@ def test_a_word_that_most_hold_makes_no_candidates(spark):
     assert near <= got and len(got) < by_words / 8
 
 
+def plain_neighbours(m, n):
+    rows = {}
+    for r, c, w in m:
+        rows.setdefault(r, {})[c] = w
+    unit = {r: {c: w / sum(x * x for x in v.values()) ** 0.5 for c, w in v.items()} for r, v in rows.items() if any(v.values())}
+    out = {}
+    for a, x in unit.items():
+        near = [(-round(sum(w * y.get(c, 0) for c, w in x.items()), 6), b) for b, y in unit.items() if b != a and any(w and y.get(c) for c, w in x.items())]
+        out[a] = [(b, -s) for s, b in sorted(near)[:n]]
+    return {a: v for a, v in out.items() if v}
+
+
+@pytest.mark.parametrize("cell", [7, 4096])
+def test_top_neighbours_are_those_of_all_pairs(spark, cell):
+    rng = random.Random(3)
+    m = [(r, f"c{c}", float(rng.randint(1, 9))) for r in range(150) for c in rng.sample(range(60), rng.randint(1, 8))]
+    m += [(r, "hot", 0.5) for r in range(150)] + [(900, "own", 1.0), (901, "hot", 0.0), (902, "hot", 2.0)]
+    got = {}
+    for r in similarity.top_neighbours(spark.createDataFrame(m, "r int, c string, w double"), 4, cell=cell).orderBy("a", "rank").collect():
+        got.setdefault(r["a"], []).append((r["b"], r["similarity"]))
+    want = plain_neighbours(m, 4)
+    assert got.keys() == want.keys()
+    for a, near in want.items():
+        assert [b for b, _ in got[a]] == [b for b, _ in near] or [s for _, s in got[a]] == pytest.approx([s for _, s in near], abs=1.1e-6)
+    assert similarity.top_neighbours(spark.createDataFrame([], "r int, c string, w double"), 4).count() == 0
+
+
+def test_a_column_that_all_hold_is_left_out_of_the_search(spark, monkeypatch):
+    m = [(r, f"c{r // 5}", 3.0 + r % 5) for r in range(200)] + [(r, "hot", 0.3) for r in range(200)]
+    seen = []
+    met = similarity._met
+    monkeypatch.setattr(similarity, "_met", lambda *a: seen.append(met(*a)) or seen[-1])
+    assert similarity.top_neighbours(spark.createDataFrame(m, "r int, c string, w double"), 3).count() == 600
+    assert seen[-1].count() <= 200 * 4
+
+
 def test_equal_keys_go_before_words(spark):
     left = spark.createDataFrame([(1, "Die Alte Chronica!"), (2, "alte chronica die"), (3, "ganz anders alte"), (4, "x y"), (5, None)], "k int, name string")
     right = spark.createDataFrame([(10, "alte die chronica"), (11, "die alte  chronica"), (12, "X-Y")], "e int, title string")
