@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import bisect
 import difflib
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType
 
 from ..functions import text as T
 from ..functions.staging import written
@@ -72,49 +70,6 @@ def key_or_words(left: DataFrame, key: str, left_text: str, right: DataFrame, en
     return waterfall(steps, key).select(key, "entity", "step", F.col("score").alias("confidence"))
 
 
-#: Rows on each side of a task of fuzzy_matches.
-BLOCK = 256
-
-
-def fuzzy_matches(left: DataFrame, key: str, name: str, catalogue: DataFrame, entity: str, title: str, *, least: float = 60, top: int = 5) -> DataFrame:
-    """Up to `top` catalogue rows for each key whose sorted words are at least that alike; names without words are like none.
-
-    Every pair counts, in tasks of BLOCK by BLOCK rows that keep their best. What difflib's upper bounds put
-    below `least` or a key's best so far is left out without loss.
-    """
-    words = lambda c: F.array_join(F.sort_array(T.token_set(F.col(c), (), 1)), " ")
-
-    def blocks(df: DataFrame, own: str, text: str, side: str) -> DataFrame:
-        rows = df.select(F.col(own).alias("id"), words(text).alias("words")).where("words != ''")
-        n = max(1, -(-rows.count() // BLOCK))
-        return rows.groupBy(F.pmod(F.xxhash64("id", "words"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("id", "words")).alias(side)).select(side)
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for names, titles in zip(batch["names"], batch["titles"], strict=True):
-                found: list[list[tuple]] = [[] for _ in names]
-                matcher = difflib.SequenceMatcher(None)
-                for t in titles:
-                    matcher.set_seq2(t["words"])
-                    for own, n in zip(found, names, strict=True):
-                        matcher.set_seq1(n["words"])
-                        bar = (max(least, -own[-1][0]) if len(own) == top else least) / 100 - 1e-6
-                        if matcher.real_quick_ratio() < bar or matcher.quick_ratio() < bar:
-                            continue
-                        score = round(100.0 * matcher.ratio(), 4)
-                        if score >= least:
-                            bisect.insort(own, (-score, t["id"] is not None, t["id"]))
-                            del own[top:]
-                rows = [(n["id"], e, -s) for n, own in zip(names, found, strict=True) for s, _, e in own]
-                yield pd.DataFrame(rows, columns=[key, "entity", "score"], dtype=object).astype({"score": float})
-
-    pairs = blocks(left, key, name, "names").crossJoin(blocks(catalogue, entity, title, "titles"))
-    schema = StructType([StructField(key, left.schema[key].dataType), StructField("entity", catalogue.schema[entity].dataType), StructField("score", DoubleType())])
-    scored = pairs.repartition(left.sparkSession.sparkContext.defaultParallelism * 4).mapInPandas(best, schema)
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "entity"))
-    return scored.withColumn("nth", nth).where(F.col("nth") <= top).select(key, "entity", "score", "nth")
-
-
 @F.pandas_udf(BooleanType())
 def within_one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
     """One insertion, deletion, substitution or swap of neighbours at most."""

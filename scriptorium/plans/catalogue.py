@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.staging import written
-from ..operators import catalog, resolve, setjoin
+from ..operators import catalog, fuzzy, resolve, setjoin
 from .registry import Tables, query
 
 WORKS = "WITH works AS (SELECT p_partkey AS id, p_brand AS author, p_name AS title, p_size AS year, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS oa, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS file_exists, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS owned, p_type AS title_key FROM part)\n"
@@ -172,7 +172,7 @@ def works_bound_by_key_or_words(t):
 
 @query()
 def fuzzy_catalogue_match(t):
-    return resolve.fuzzy_matches(t.supplier, "s_suppkey", "s_name", t.customer, "c_custkey", "c_name")
+    return fuzzy.best_matches(t.supplier, "s_suppkey", "s_name", t.customer, "c_custkey", "c_name")
 
 
 @query()

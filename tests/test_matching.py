@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import difflib
 import random
+import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import resolve, setjoin, similarity
+from scriptorium.operators import fuzzy, resolve, setjoin, similarity
+from scriptorium.plans import registry as catalogue
+from scriptorium.plans import catalogue as _catalogue  # noqa: F401  registers its queries
 
 
 def titles(seed: int, n: int) -> list[tuple[int, str]]:
@@ -103,3 +108,45 @@ def test_equal_keys_go_before_words(spark):
     got = {r["k"]: (r["entity"], r["step"], r["confidence"]) for r in resolve.key_or_words(left, "k", "name", right, "e", "title").collect()}
     assert got == {1: (11, 0, 1.0), 2: (10, 1, 1.0), 3: (10, 1, 0.2), 4: (12, 0, 1.0)}
     assert T.STOPWORDS
+
+
+def every_pair(left, right, least, top):
+    """Up to top (entity, score) for each key by difflib's ratio of all pairs."""
+    plain = lambda t: " ".join(sorted(re.findall(r"[a-z0-9]+", (t or "").lower())))
+    a, b = [(k, plain(n)) for k, n in left], [(e, plain(n)) for e, n in right]
+    out = {}
+    for k, x in a:
+        scored = [(-round(100 * difflib.SequenceMatcher(None, x, y).ratio(), 4), e) for e, y in b if x and y and min(len(x), len(y)) * 2 >= least / 100 * (len(x) + len(y))]
+        out |= {(k, i + 1): (e, -s) for i, (s, e) in enumerate(sorted(x for x in scored if x[0] <= -least)[:top])}
+    return out
+
+
+def test_fuzzy_matches_are_those_of_all_pairs(spark):
+    names = ["Meister Eckhart", "Eckart Maister", "Heinrich Seuse", "Supplier#000000001", "", None, "Tauler", "der der mann", "x"]
+    texts = ["Eckharts Meisterr", "Meister Eckhart", "Hainrich Suso", "Heinrich Seuse", "Customer#000000001", "Customer#000000011", "Taulers", "", None, "Ekkehart Meister", "xyz", "der mann", "mann der der", "Meister Eckhart"]
+    want = every_pair(list(enumerate(names)), list(enumerate(texts)), 60, 3)
+    left, right = spark.createDataFrame(list(enumerate(names)), "k long, name string"), spark.createDataFrame(list(enumerate(texts)), "e long, title string")
+    got = {(r["k"], r["nth"]): (r["entity"], r["score"]) for r in fuzzy.best_matches(left, "k", "name", right, "e", "title", top=3).collect()}
+    assert got == want and got[7, 1] == (12, 100.0) and got[7, 2][1] < 100
+    assert fuzzy.best_matches(left.limit(0), "k", "name", right, "e", "title").count() == 0
+
+
+def test_fuzzy_matches_of_a_thousand_by_a_thousand(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeioubcdfghklmnprstz") for _ in range(rng.randint(3, 8)))
+    right = [(e, " ".join(word() for _ in range(rng.randint(1, 4)))) for e in range(1000)]
+    changed = lambda t: "".join(c if rng.random() > 0.08 else rng.choice("aeiou ") for c in t)
+    left = [(k, changed(right[k][1]) if k % 4 else " ".join(word() for _ in range(3))) for k in range(1000)]
+    a, b = spark.createDataFrame(left, "k long, name string"), spark.createDataFrame(right, "e long, title string")
+    got = {(r["k"], r["nth"]): (r["entity"], r["score"]) for r in fuzzy.best_matches(a, "k", "name", b, "e", "title", top=2).collect()}
+    assert got == every_pair(left, right, 60, 2)
+    x, y = a.select("k", fuzzy.sorted_words(a["name"]).alias("x")).withColumnRenamed("k", "a"), b.select("e", fuzzy.sorted_words(b["title"]).alias("y")).withColumnRenamed("e", "b")
+    assert fuzzy.candidates(x, y, fuzzy._bars(x, y, 60, 2), 60).count() < 1_000_000 / 8
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="no test tables")
+def test_registered_fuzzy_query_equals_all_pairs(spark):
+    d = "/root/testdata/sf0.001"
+    rows = lambda t, k, n: [(r[k], r[n]) for r in spark.read.parquet(f"{d}/{t}.parquet").collect()]
+    got = {(r["s_suppkey"], r["nth"]): (r["entity"], r["score"]) for r in catalogue.QUERIES["fuzzy_catalogue_match"](spark, d).collect()}
+    assert got == every_pair(rows("supplier", "s_suppkey", "s_name"), rows("customer", "c_custkey", "c_name"), 60, 5) and got
