@@ -89,23 +89,25 @@ class PairEncoder:
         self.first, self.count = np.zeros((2, 0), np.int64), np.zeros((2, 0), np.int64)
         self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
 
-    def parts(self, data: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of parts, each of which begins with a blank, by A and by B; none by both where the bytes of either aren't the part's."""
-        texts = [x.decode() for x in data]
-        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b = [ids or [self.lone_blank] for ids in self.b.encode([t[1:] for t in texts], num_threads=1)]
-        joined = b"".join(data)
+    def parts(self, data: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of parts, each of which begins with a blank, in a row and how many each has, by A and by B; none by both where the bytes of either aren't the part's."""
+        texts, joined = [x.decode() for x in data], b"".join(data)
+        a = _flat([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)])
         ends = np.cumsum([len(d) for d in data])
-        for table, size, ids in ((self.a_bytes, self.a_size, a), (self.b_bytes, self.b_size, b)):
-            whole = np.fromiter(chain.from_iterable(ids), np.int64)
-            own = np.cumsum(size[whole])[np.cumsum([len(x) for x in ids]) - 1]
-            if (own == ends).all() and b"".join(map(table.__getitem__, whole.tolist())) == joined:
-                continue
-            for i, d in enumerate(data):
-                if b"".join(map(self.a_bytes.__getitem__, a[i])) != d or b"".join(map(self.b_bytes.__getitem__, b[i])) != d:
-                    a[i], b[i] = [], []
-            break
-        return a, b
+        b = _flat([ids or [self.lone_blank] for ids in self.b.encode([t[1:] for t in texts], num_threads=1)])
+        if all(self._spell(own, table, size, ends, joined) for own, table, size in ((a, self.a_bytes, self.a_size), (b, self.b_bytes, self.b_size))):
+            return [a, b]
+        good = np.ones(len(data), bool)
+        for (own, n), table in ((a, self.a_bytes), (b, self.b_bytes)):
+            at = np.cumsum(n)
+            good &= [b"".join(map(table.__getitem__, own[x:y])) == d for x, y, d in zip((at - n).tolist(), at.tolist(), data, strict=True)]
+        return [(own[np.repeat(good, n)], np.where(good, n, 0)) for own, n in (a, b)]
+
+    @staticmethod
+    def _spell(ids: tuple[np.ndarray, np.ndarray], table: list[bytes], size: np.ndarray, ends: np.ndarray, joined: bytes) -> bool:
+        """If the ids of each part have the part's bytes."""
+        own, n = ids
+        return bool((np.cumsum(size[own])[np.cumsum(n) - 1] == ends).all()) and b"".join(map(table.__getitem__, own.tolist())) == joined
 
     def encode(self, texts: pa.Array) -> Encoded:
         """Ids of all texts by both tokenizers, a blank put before each; texts null, empty or changed by a tokenizer have none."""
@@ -123,16 +125,15 @@ class PairEncoder:
         known = row >= 0
         count[:, known], first[:, known] = self.count[:, row[known]], self.first[:, row[known]]
         good[known] = self.count[0, row[known]] > 0
-        pools, lists = self.ids, [[], []]
+        pools = self.ids
         if len(new):
             raw = w.raw.tobytes()
             found = self.parts([raw[x:y] for x, y in zip(w.start[example[new]].tolist(), w.end[example[new]].tolist(), strict=True)])
-            good[new] = [bool(x) for x in found[0]]
-            lists = found
-            for side in (0, 1):
-                count[side, new] = [len(x) for x in lists[side]]
-                first[side, new] = len(self.ids[side]) + np.cumsum(count[side, new]) - count[side, new]
-            pools = [_extended(pool, own) for pool, own in zip(self.ids, lists, strict=True)]
+            good[new] = found[0][1] > 0
+            for side, (_, n) in enumerate(found):
+                count[side, new] = n
+                first[side, new] = len(self.ids[side]) + np.cumsum(n) - n
+            pools = [np.concatenate([pool, own.astype(np.int32)]) for pool, (own, _) in zip(self.ids, found, strict=True)]
         doc = w.doc()
         bad = np.bincount(doc[~good[of]], minlength=len(texts)) > 0
         keep = ~bad[doc]
@@ -143,9 +144,8 @@ class PairEncoder:
             total = np.cumsum(n)
             ids.append(pools[side][np.repeat(first[side, of] - (total - n), n) + np.arange(total[-1] if len(total) else 0)])
             docs.append(np.repeat(doc, n))
-        short = np.flatnonzero(size[new] <= self.LONGEST)
-        if len(short):
-            self._learn(hashes[new[short]], size[new[short]], [[own[i] for i in short.tolist()] for own in lists])
+        if len(new):
+            self._learn(hashes[new], size[new], found)
         return Encoded(len(texts), ids[0], ids[1], docs[0], docs[1])
 
     def _rows(self, hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -155,19 +155,21 @@ class PairEncoder:
         row = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
         return np.where((self.hash[row] == hashes) & (self.size[row] == size), row, -1)
 
-    def _learn(self, hashes: np.ndarray, size: np.ndarray, lists: list[list[list[int]]]) -> None:
+    def _learn(self, hashes: np.ndarray, size: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Remember parts of usual length."""
         if len(self.hash) + len(hashes) > self.KEPT:
             self._forget()
-        order = np.argsort(np.concatenate([self.hash, hashes]), kind="stable")
-        count = np.array([[len(x) for x in own] for own in lists], np.int64)
+        short = size <= self.LONGEST
+        count = np.stack([n[short] for _, n in found])
         first = np.cumsum(count, axis=1) - count + np.array([[len(x)] for x in self.ids])
-        self.ids = [_extended(pool, own) for pool, own in zip(self.ids, lists, strict=True)]
-        self.hash, self.size = np.concatenate([self.hash, hashes])[order], np.concatenate([self.size, size])[order]
+        self.ids = [np.concatenate([pool, own[np.repeat(short, n)].astype(np.int32)]) for pool, (own, n) in zip(self.ids, found, strict=True)]
+        order = np.argsort(np.concatenate([self.hash, hashes[short]]), kind="stable")
+        self.hash, self.size = np.concatenate([self.hash, hashes[short]])[order], np.concatenate([self.size, size[short]])[order]
         self.first, self.count = np.concatenate([self.first, first], axis=1)[:, order], np.concatenate([self.count, count], axis=1)[:, order]
 
 
-def _extended(pool: np.ndarray, lists: list[list[int]]) -> np.ndarray:
-    return np.concatenate([pool, np.fromiter(chain.from_iterable(lists), np.int32)])
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
 
 
 class Encoded(NamedTuple):
@@ -229,11 +231,11 @@ def align(e: Encoded, a_size: np.ndarray, b_size: np.ndarray) -> Aligned:
     return Aligned(a, b, group[: len(e.a)], group[len(e.a) :])
 
 
-_encoders: dict[tuple[str, str], tuple[PairEncoder, list[str]]] = {}
+_encoders: dict[tuple[str, str], tuple[PairEncoder, tuple[np.ndarray, np.ndarray]]] = {}
 
 
-def _encoder(byte_bpe: str, piece: str) -> tuple[PairEncoder, list[str]]:
-    """The encoder that a Python worker keeps, and ids as text with each of the marks that may follow: `,` `|` `;`."""
+def _encoder(byte_bpe: str, piece: str) -> tuple[PairEncoder, tuple[np.ndarray, np.ndarray]]:
+    """The encoder that a Python worker keeps, and its marked ids."""
     key = (byte_bpe, piece)
     if key not in _encoders:
         import os
@@ -241,20 +243,30 @@ def _encoder(byte_bpe: str, piece: str) -> tuple[PairEncoder, list[str]]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _encoders.clear()
         e = PairEncoder(byte_bpe, piece)
-        _encoders[key] = e, [f"{i}{mark}" for mark in ",|;" for i in range(e.vocab)]
+        _encoders[key] = e, marked_ids(e.vocab)
     return _encoders[key]
 
 
-def written_groups(e: Encoded, g: Aligned, marked: list[str]) -> list[str]:
-    """Each text's groups as `a1,a2|b1;a3|b2,b3`; '' for texts without tokens."""
+def marked_ids(vocab: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each id as decimal digits and one of the marks `,` `|` `;` behind: bytes in rows, and how many of a row count. Row: mark x vocab + id."""
+    texts = [f"{i}{mark}".encode() for mark in ",|;" for i in range(vocab)]
+    width = max(map(len, texts))
+    return np.frombuffer(b"".join(t.ljust(width) for t in texts), np.uint8).reshape(-1, width), np.array([len(t) for t in texts], np.int64)
+
+
+def written_groups(e: Encoded, g: Aligned, marked: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """Each text's groups as `a1,a2|b1;a3|b2,b3`; nothing for texts without tokens."""
     key = np.concatenate([2 * g.a_group, 2 * g.b_group + 1])
     order = np.argsort(key, kind="stable")
     key, ids = key[order], np.concatenate([e.a, e.b])[order]
     after = np.append(key[1:], -1)
     mark = np.where(after == key, 0, np.where((after == key + 1) & (key % 2 == 0), 1, 2))
-    parts = list(map(marked.__getitem__, (mark * (len(marked) // 3) + ids).tolist()))
-    ends = np.cumsum(np.bincount(e.a_doc, minlength=e.n) + np.bincount(e.b_doc, minlength=e.n)).tolist()
-    return ["".join(parts[x:y])[:-1] for x, y in zip([0, *ends], ends, strict=False)]
+    table, length = marked
+    row = mark * (len(length) // 3) + ids
+    data = table[row][np.arange(table.shape[1]) < length[row][:, None]].tobytes()
+    tokens = np.cumsum(np.bincount(e.a_doc, minlength=e.n) + np.bincount(e.b_doc, minlength=e.n))
+    ends = np.concatenate([[0], np.cumsum(length[row])])[tokens].tolist()
+    return [data[x : max(x, y - 1)] for x, y in zip([0, *ends], ends, strict=False)]
 
 
 def _lists(values: np.ndarray, owner: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
@@ -319,7 +331,7 @@ def _linked(docs: DataFrame, byte_bpe: str, piece: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "block": np.full(e.n, block), "doc_id": batch.column("doc_id"), "n_a": count(e.a_doc), "n_b": count(e.b_doc),
                 "n_groups": count(e.a_doc[np.unique(g.a_group, return_index=True)[1]]), "n_links": count(doc),
-                "groups_sha256": [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in groups],
+                "groups_sha256": [hashlib.sha256(x).hexdigest() if x else "" for x in groups],
                 "pairs": _lists(pair[begins], doc[begins], e.n, pa.int64()), "times": _lists(times, doc[begins], e.n, pa.int32()),
             })
 
