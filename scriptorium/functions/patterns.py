@@ -54,6 +54,22 @@ def usable(patterns: list[str], *, escape: bool = False) -> list[str]:
     return out
 
 
+def usable_in_java(spark, patterns: list[str], *, escape: bool = False) -> list[str]:
+    """Patterns that Spark's own regex functions take (Java's syntax); the others are left out, or taken literally."""
+    from pyspark.errors import IllegalArgumentException
+
+    compiler = spark.sparkContext._jvm.java.util.regex.Pattern
+    out = []
+    for p in patterns:
+        try:
+            compiler.compile(p)
+            out.append(p)
+        except IllegalArgumentException:
+            if escape:
+                out.append(compiler.quote(p))
+    return out
+
+
 def filename_author(name: Column) -> Column:
     """The surname of `Surname, First`, else the first capitalised words, else the first 40 characters."""
     base = F.translate(F.regexp_replace(name, r"\.[^.]+$", ""), "–", "-")

@@ -15,6 +15,8 @@ from ..sources.canons import name_in_parentheses
 
 #: Rows of a canon, which people write, up to which it is broadcast.
 CANON_ROWS = 100_000
+#: Bytes of a canon's patterns that every task may hold.
+CANON_BYTES = 32 << 20
 _MENTION = "tgt string, start int, end int, pattern string, context string"
 
 
@@ -28,37 +30,54 @@ def author_mentions(pages: DataFrame, targets: DataFrame, *keep: str) -> DataFra
 
     A page meets a target only if a folded surname stands in it. A target's patterns are tried in order and a
     span counts once; a span whose context one of the negatives matches doesn't count. Patterns that don't
-    compile are left out.
+    compile are left out. Targets are a list that people write, CANON_ROWS rows and CANON_BYTES at most (more are an error): every
+    task holds them, and each page goes to Python once, where one pass finds the targets it may name.
     """
-    folded = T.casefold(T.fold(F.col("text")))
-    held = pages.select(*keep, "text", folded.alias("_folded")).join(canon(targets.select("author_id", "surnames", "patterns", "negatives")), P.surname_on_page(F.col("_folded"), F.col("surnames")))
+    size = F.octet_length(F.to_json(F.struct("author_id", "surnames", "patterns", "negatives")))
+    known = targets.limit(CANON_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    if known["n"] > CANON_ROWS or known["bytes"] > CANON_BYTES:
+        raise ValueError(f"more than {CANON_ROWS} targets or {CANON_BYTES} bytes of patterns")
+    listed = [(r["author_id"], list(r["surnames"] or ()), list(r["patterns"] or ()), list(r["negatives"] or ())) for r in targets.select("author_id", "surnames", "patterns", "negatives").collect()]
+    shared = pages.sparkSession.sparkContext.broadcast(listed)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled: dict[tuple, list[re.Pattern]] = {}
-
-        def regexes(own) -> list[re.Pattern]:
-            key = tuple(own if own is not None else ())
-            if key not in compiled:
-                compiled[key] = [re.compile(p, re.IGNORECASE) for p in P.usable(list(key))]
-            return compiled[key]
-
+        import ahocorasick
+
+        own_targets = [(tgt, surnames, [re.compile(p, re.IGNORECASE) for p in P.usable(patterns)], [re.compile(p, re.IGNORECASE) for p in P.usable(negatives)]) for tgt, surnames, patterns, negatives in shared.value]
+        named: dict[str, list[int]] = {}
+        for i, (_, surnames, _, _) in enumerate(own_targets):
+            for s in surnames:
+                if s is not None:
+                    named.setdefault(s, []).append(i)
+        anywhere = named.pop("", [])
+        automaton = ahocorasick.Automaton()
+        for surname, own in named.items():
+            automaton.add_word(surname, own)
+        if named:
+            automaton.make_automaton()
         for pdf in frames:
             rows = []
-            for own, text, tgt, patterns, negatives in zip(pdf[list(keep)].itertuples(index=False), pdf["text"], pdf["author_id"], pdf["patterns"], pdf["negatives"], strict=True):
-                seen = set()
-                for p in regexes(patterns):
-                    for m in p.finditer(text or ""):
-                        if m.span() in seen:
-                            continue
-                        seen.add(m.span())
-                        lo = max(0, (m.start() + m.end()) // 2 - 70)
-                        context = " ".join(text[lo : lo + 140].split())
-                        if not any(n.search(context) for n in regexes(negatives)):
-                            rows.append((*own, tgt, m.start(), m.end(), p.pattern, context))
+            for own, text, folded in zip(pdf[list(keep)].itertuples(index=False), pdf["text"], pdf["_folded"], strict=True):
+                if not text:
+                    continue
+                held = set(anywhere)
+                for _, some in automaton.iter(folded) if named else ():
+                    held.update(some)
+                for tgt, _, patterns, negatives in map(own_targets.__getitem__, sorted(held)):
+                    seen = set()
+                    for p in patterns:
+                        for m in p.finditer(text):
+                            if m.span() in seen:
+                                continue
+                            seen.add(m.span())
+                            lo = max(0, (m.start() + m.end()) // 2 - 70)
+                            context = " ".join(text[lo : lo + 140].split())
+                            if not any(n.search(context) for n in negatives):
+                                rows.append((*own, tgt, m.start(), m.end(), p.pattern, context))
             yield pd.DataFrame(rows, columns=[*keep, "tgt", "start", "end", "pattern", "context"])
 
-    return held.select(*keep, "text", "author_id", "patterns", "negatives").mapInPandas(run, f"{schema}, {_MENTION}")
+    return pages.select(*keep, "text", T.casefold(T.fold(F.col("text"))).alias("_folded")).mapInPandas(run, f"{schema}, {_MENTION}")
 
 
 def _best_token_overlap(files: DataFrame, file: str, entities: DataFrame, name: Column, least: int = 1) -> DataFrame:

@@ -65,10 +65,18 @@ def family_regex(words: list[str]) -> str:
     return r"\b(?:" + "|".join(re.escape(w) for w in sorted(set(words), key=lambda w: (len(w), w), reverse=True)) + r")\b"
 
 
+# Letters that older German takes for one another.
+HISTORIC = {"s": "sſ", "S": "Ssſ", "u": "uv", "U": "UV", "v": "uv", "V": "UV", "i": "ijy", "I": "IJY", "j": "ijy", "J": "IJY", "y": "ijy", "Y": "IJY", "k": "kc"}
+
+
 def historic_literal(word: str) -> str:
     """A regex for a plain word with the spellings of older German."""
-    same = {c: group for group in ("sſ", "uv", "ijy", "kc") for c in group if c != "c"}
-    return "".join(f"[{same[c]}]" if c in same else re.escape(c) for c in word)
+    return "".join(f"[{HISTORIC[c]}]" if c in HISTORIC else re.escape(c) for c in word)
+
+
+def historic_name(name: str) -> str:
+    """A regex for a plain name in older German, as a whole word, with any blanks between its words."""
+    return rf"\b{r'\s+'.join(map(historic_literal, name.split()))}\b"
 
 
 def zero_filled_pivot(hits: DataFrame, row: str, category: str, categories: tuple[str, ...], count: str = "cnt") -> DataFrame:

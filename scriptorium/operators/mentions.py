@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.literals import Candidates
 
 SPANS = "ordinal int, start int, end int, matched string"
 
@@ -33,7 +34,7 @@ def find_spans(docs: DataFrame, patterns: list[str], *keep: str, text_col: str =
     """A row for each match of each pattern: ordinal of the pattern, code-point span, matched text.
 
     Patterns that don't compile are left out. With first_only, a span that an earlier pattern has found isn't
-    found again. Texts without any match are dropped by one joined pattern first.
+    found again. One pass over a text tells which patterns may match it; only these are tried.
     """
     compiled = []
     for i, p in enumerate(patterns):
@@ -42,17 +43,14 @@ def find_spans(docs: DataFrame, patterns: list[str], *keep: str, text_col: str =
         except re.error:
             continue
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    plain = not any(re.search(r"\\[1-9]|\(\?P[<=]|\(\?[aiLmsux]", p.pattern) for _, p in compiled)  # else joining would change what they mean
-    any_of = re.compile("|".join(f"(?:{p.pattern})" for _, p in compiled) if plain else "", re.IGNORECASE) if compiled else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        candidates = Candidates([p.pattern for _, p in compiled])
         for pdf in frames:
             rows = []
             for own, text in zip(pdf[list(keep)].itertuples(index=False), pdf[text_col], strict=True):
                 seen = set()
-                if not text or any_of is None or not any_of.search(text):
-                    continue
-                for i, p in compiled:
+                for i, p in map(compiled.__getitem__, candidates.of(text) if text else ()):
                     for m in p.finditer(text):
                         if not first_only or m.span() not in seen:
                             seen.add(m.span())
