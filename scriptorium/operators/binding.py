@@ -204,9 +204,9 @@ def injected(terms: Column, seed: Column) -> Column:
     return F.when(here, terms).otherwise(F.concat(F.array(seed), terms))
 
 
-def locale_order(c: Column) -> list[Column]:
-    """For sorting as German readers do: without marks and case first, then as written."""
-    return [T.casefold(T.fold(c)), c]
+def locale_order(c: Column, locale: str = "de", *ties: Column) -> list[Column]:
+    """A total order as readers of a language sort: by its collation (letters before marks before case), then by the characters, then by `ties`."""
+    return [F.collate(c, locale), F.collate(c, "UTF8_BINARY"), *ties]
 
 
 def session_meta(session: str, created: str, files: list[str], settings: dict) -> str:

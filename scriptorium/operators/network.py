@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
+from ..functions.staging import written
+
 
 def filtered(edges: DataFrame, *, least: float = 0, types: tuple[str, ...] | None = None, focus: DataFrame | None = None) -> DataFrame:
     out = edges.where(F.col("weight") >= least)
@@ -86,9 +89,11 @@ def thinned(edges: DataFrame, most: int = 300, per_node: int = 6) -> DataFrame:
 def barycentre_order(pairs: DataFrame, left: str, right: str, sweeps: int = 2) -> tuple[DataFrame, DataFrame]:
     """Places of both sides of a bipartite graph: each node at the mean place of its neighbours, swept back and forth.
 
-    Each sweep is one weighted mean by node; only the ranking of a side's nodes is a total order.
+    Each sweep is one weighted mean by node and one ranking by ranges; no task sees all nodes. Of nodes at the same
+    place the least comes first.
     """
-    place = lambda df, node, value: df.select(node, F.row_number().over(Window.orderBy(value, node)).alias("place"))
+    place = lambda df, node, value: written(ranked(df, [value, F.col(node)]).select(node, "place"), "places")
+    pairs = written(pairs.select(left, right).distinct(), "pairs")
     lefts = place(pairs.select(left).distinct(), left, F.col(left))
     rights = None
     for _ in range(sweeps):

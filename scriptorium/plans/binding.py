@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.ranks import ranked
 from ..operators import binding, sections
 from ..sources import canons
 from .registry import query
@@ -192,11 +193,10 @@ def seed_terms(t):
     return t.part.select("p_partkey", F.array_join(binding.injected(F.split("p_name", " "), F.lit("Widget")), " ").alias("terms"))
 
 
-@query("""SELECT s_suppkey, row_number() OVER (ORDER BY f, n) AS place FROM (SELECT s_suppkey, lower(strip_accents(n)) AS f, n FROM (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Ä' WHEN 1 THEN 'a' ELSE 'B' END || s_name AS n FROM supplier WHERE s_suppkey < 50)) ORDER BY place""")
+@query("""SELECT s_suppkey, row_number() OVER (ORDER BY n COLLATE de, n, s_suppkey) AS place FROM (SELECT s_suppkey, ['Ärzte', 'arzt', 'Arzt', 'Zürich', 'Straße', 'strasse', 'ø', 'öl', '10'][1 + s_suppkey % 9] || CASE WHEN s_suppkey % 2 = 0 THEN ' ' || s_name ELSE '' END AS n FROM supplier)""")
 def german_order(t):
-    """Fifty names, at most, as German readers sort them."""
-    k = F.col("s_suppkey") % 3
-    names = t.supplier.where("s_suppkey < 50").select("s_suppkey", F.concat(F.when(k == 0, "Ä").when(k == 1, "a").otherwise("B"), "s_name").alias("n"))
-    from pyspark.sql import Window
-
-    return names.select("s_suppkey", F.row_number().over(Window.orderBy(*binding.locale_order(F.col("n")))).cast("long").alias("place"))
+    """All names as German readers sort them."""
+    words = F.array(*map(F.lit, ("Ärzte", "arzt", "Arzt", "Zürich", "Straße", "strasse", "ø", "öl", "10")))
+    n = F.concat(F.element_at(words, (1 + F.col("s_suppkey") % 9).cast("int")), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit(" "), "s_name")).otherwise(""))
+    names = t.supplier.select("s_suppkey", n.alias("n"))
+    return ranked(names, binding.locale_order(F.col("n"), "de", F.col("s_suppkey"))).select("s_suppkey", "place")
