@@ -13,6 +13,19 @@ def reused(current: DataFrame, previous: DataFrame, paragraph: str, sentence: st
     return a.join(b.select(paragraph, sentence, "_nth", F.col(flag).alias("_flag")), [paragraph, sentence, "_nth"], "left").withColumn(flag, F.col("_flag")).withColumn("is_new", F.col("_flag").isNull()).drop("_flag", "_nth")
 
 
+def same_paragraphs(current: DataFrame, previous: DataFrame, doc: str, index: str, text: str) -> DataFrame:
+    """doc, index, previous_index: the paragraph of an earlier report that each paragraph goes on from.
+
+    The one with its index; where there is none, one with the same text: the n-th such paragraph takes the n-th
+    of the report. Paragraphs without either have no row. Both tables hold a (doc, index) once.
+    """
+    by_index = current.select(doc, index).join(previous.select(doc, index), [doc, index]).withColumn("previous_index", F.col(index))
+    nth = F.row_number().over(Window.partitionBy(doc, text).orderBy(index))
+    left = current.join(by_index.select(doc, index), [doc, index], "left_anti").withColumn("_nth", nth)
+    same = previous.select(doc, text, F.col(index).alias("previous_index"), nth.alias("_nth"))
+    return by_index.unionByName(left.join(same, [doc, text, "_nth"]).select(doc, index, "previous_index"))
+
+
 def markup(key: Column, note: Column) -> Column:
     """` [prefix @key, pp. pages]`: what precedes the first digit is the prefix, the rest the pages."""
     k, text = F.trim(key), F.trim(F.coalesce(note, F.lit("")))

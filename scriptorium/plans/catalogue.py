@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.staging import written
+from ..functions.staging import new_folder, written
 from ..operators import catalog, fuzzy, resolve, setjoin
+from ..sinks import versions
 from .registry import Tables, query
 
 WORKS = "WITH works AS (SELECT p_partkey AS id, p_brand AS author, p_name AS title, p_size AS year, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS oa, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS file_exists, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS owned, p_type AS title_key FROM part)\n"
@@ -86,6 +87,22 @@ def insert_ignore(t):
     return catalog.insert_or_ignore(w.where("id % 2 = 0"), w.where("id % 2 = 1"), "author", "title").groupBy("author").agg(F.count("*").alias("n"))
 
 
+@query(WORKS + """, old AS (SELECT * FROM works WHERE id % 3 = 0), n AS (SELECT * FROM works WHERE id % 3 = 1), k AS (SELECT author, title, max(id) AS id, max_by(year, id) AS year FROM n GROUP BY author, title),
+o AS (SELECT author, title, min(id) AS id, max_by(year, id) AS year FROM old GROUP BY author, title), u AS (SELECT coalesce(o.author, k.author) AS author, coalesce(o.title, k.title) AS title, coalesce(o.id, k.id) AS id, coalesce(k.year, o.year) AS year FROM o FULL JOIN k ON o.author = k.author AND o.title = k.title),
+i AS (SELECT author, title, min(id) AS id, max_by(year, id) AS year FROM works WHERE id % 3 = 2 GROUP BY author, title) SELECT author, title, id, year, 3 AS version FROM u UNION ALL SELECT author, title, id, year, 3 FROM i WHERE (author, title) NOT IN (SELECT (author, title) FROM u)""".replace("\n, old", ", old"))
+def works_written_back(t):
+    """A table of works in three versions: built, upserted twice by the same run, and completed by another; read back."""
+    w = works(t).select("id", "author", "title", "year")
+    some = lambda k: w.where(F.col("id") % 3 == k)
+    one = lambda rows: rows.groupBy("author", "title").agg(F.min("id").alias("id"), F.max_by("year", "id").alias("year")).select("id", "author", "title", "year")
+    folder = new_folder(t.spark, "works")
+    versions.rebuilt(t.spark, folder, one(some(0)))
+    for _ in range(2):
+        versions.upsert(t.spark, folder, some(1), ("author", "title"), run="second")
+    last = versions.insert_or_ignore(t.spark, folder, one(some(2)), "author", "title", run="third")
+    return versions.read(t.spark, folder).select("author", "title", "id", "year").withColumn("version", F.lit(last.number))
+
+
 @query("SELECT min(id) AS lo, max(id) AS hi, count(DISTINCT id) AS n FROM (SELECT 25 + row_number() OVER (ORDER BY s_suppkey) - 1 AS id FROM supplier)")
 def surrogate_ids(t):
     old = t.nation.select(F.col("n_nationkey").alias("id"))

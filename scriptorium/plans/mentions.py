@@ -261,6 +261,29 @@ def sentence_cache_new(t):
     return found.groupBy("conv_id").agg(F.count("*").alias("n_sentences"), F.count_if("is_new").alias("n_new"))
 
 
+_CUT = "SELECT conv_id, i, trim(s) AS sentence, o FROM (SELECT conv_id, i, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) AS o FROM {0}) WHERE trim(s) <> ''"
+_NTH = "row_number() OVER (PARTITION BY conv_id, i, sentence ORDER BY o) AS n"
+
+
+@query(f"""WITH cur AS (SELECT conv_id, turn AS i, text FROM conversations WHERE text IS NOT NULL), old AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN turn + 100 ELSE turn END AS i, CASE WHEN turn % 2 = 1 THEN 'Neu dazu. ' || text ELSE text END AS text FROM conversations WHERE text IS NOT NULL),
+bi AS (SELECT cur.conv_id, cur.i, old.i AS j FROM cur JOIN old USING (conv_id, i)), l AS (SELECT *, row_number() OVER (PARTITION BY conv_id, text ORDER BY i) AS n FROM cur WHERE (conv_id, i) NOT IN (SELECT (conv_id, i) FROM bi)),
+r AS (SELECT conv_id, text, i AS j, row_number() OVER (PARTITION BY conv_id, text ORDER BY i) AS n FROM old), m AS (SELECT * FROM bi UNION ALL SELECT l.conv_id, l.i, r.j FROM l JOIN r USING (conv_id, text, n)),
+cs AS (SELECT *, {_NTH} FROM ({_CUT.format('cur')})), os AS (SELECT conv_id, i AS j, sentence, {_NTH} FROM ({_CUT.format('old')}))
+SELECT cs.conv_id, count(*) AS n_sentences, count(os.n) AS n_reused, count(*) FILTER (WHERE os.n IS NOT NULL AND m.j <> m.i) AS n_moved FROM cs LEFT JOIN m ON m.conv_id = cs.conv_id AND m.i = cs.i LEFT JOIN os ON os.conv_id = m.conv_id AND os.j = m.j AND os.sentence = cs.sentence AND os.n = cs.n GROUP BY 1""")
+def sentence_cache_reuse(t):
+    """Sentences whose flags an earlier report of the same conversations has: in it a third of the conversations stood elsewhere, and every second turn had a sentence more."""
+    current = t.conversations.where("text is not null").select("conv_id", F.col("turn").alias("i"), "text")
+    moved, more = F.when(F.col("conv_id") % 3 == 0, F.col("i") + 100).otherwise(F.col("i")), F.when(F.col("i") % 2 == 1, F.concat(F.lit("Neu dazu. "), "text")).otherwise(F.col("text"))
+    previous = current.select("conv_id", moved.alias("i"), more.alias("text"))
+    cut = lambda rows: rows.select("conv_id", "i", F.posexplode(F.split("text", r"\. ")).alias("ordinal", "s")).select("conv_id", "i", "ordinal", F.trim("s").alias("sentence")).where("sentence != ''")
+    same = citations.same_paragraphs(current, previous, "conv_id", "i", "text")
+    paragraph = F.struct("conv_id", F.col("previous_index").alias("i"))
+    now = cut(current).join(same, ["conv_id", "i"], "left").withColumn("paragraph", F.when(F.col("previous_index").isNotNull(), paragraph))
+    before = cut(previous).select(F.struct("conv_id", "i").alias("paragraph"), "sentence", "ordinal", F.lit(True).alias("flag"))
+    found = citations.reused(now, before, "paragraph", "sentence", "flag")
+    return found.groupBy("conv_id").agg(F.count("*").alias("n_sentences"), F.count_if(~F.col("is_new")).alias("n_reused"), F.count_if(~F.col("is_new") & (F.col("i") != F.col("previous_index"))).alias("n_moved"))
+
+
 @query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS paragraph_text FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def conversation_paragraphs(t):
     return citations.paragraphs(t.conversations.where("role = 'assistant'"), "conv_id", "turn", "text")

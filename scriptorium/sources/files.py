@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sinks import versions
 from . import records as R
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -54,6 +55,24 @@ def page_key(path: Column, mtime: Column, page: Column) -> Column:
     return F.sha1(F.concat_ws("|", path, mtime.cast("long"), page))
 
 
+def cached_pages(spark: SparkSession, folder: str, files: DataFrame, extract) -> DataFrame:
+    """path, modificationTime, page, key, text of files (path, modificationTime, content), from the cache in a folder; what it lacks is extracted and added to it.
+
+    A file is in the cache if its path is, with the same time to the second. Nothing that is there is read again or written again; pages of
+    earlier times stay in the cache, and rebuilding it from current files drops them. Files that fail have no page and are tried again.
+    """
+    now = versions.version(folder)
+    own = files.withColumn("_time", F.col("modificationTime").cast("long"))
+    fresh = own if now is None else own.join(versions.read(spark, folder).select("path", F.col("modificationTime").cast("long").alias("_time")).distinct(), ["path", "_time"], "left_anti")
+    pages = extracted_pages(fresh, extract).join(fresh.select("path", "modificationTime"), "path")
+    rows = pages.select("path", "modificationTime", "page", page_key(F.col("path"), F.col("modificationTime"), F.col("page")).alias("key"), "text")
+    if fresh.limit(1).count():
+        versions.changed(spark, folder, lambda _: rows, further=True)
+    if versions.version(folder) is None:
+        return rows.limit(0)
+    return versions.read(spark, folder).withColumn("_time", F.col("modificationTime").cast("long")).join(own.select("path", "_time"), ["path", "_time"], "left_semi").drop("_time")
+
+
 def chosen_text(text: Column, ocr: Column, least: int = 120) -> Column:
     """The text layer if long enough, else the longer of it and the scan's."""
     return F.when(F.length(F.trim(text)) >= least, text).when(F.length(ocr) > F.length(text), ocr).otherwise(F.coalesce(F.nullif(text, F.lit("")), ocr))
