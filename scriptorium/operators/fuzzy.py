@@ -38,8 +38,8 @@ def marks(words: Column) -> Column:
     return F.flatten(F.transform(letters, lambda x: F.transform(F.sequence(F.lit(1), times(x)), lambda i: F.concat(x, i.cast("string")))))
 
 
-def ratios(pairs: DataFrame) -> DataFrame:
-    """pairs with score: 100 times the ratio of x to y, to four places."""
+def ratios(pairs: DataFrame, *, exact: bool = False) -> DataFrame:
+    """pairs with score: 100 times the ratio of x to y, to four places; the ratio itself if exact."""
 
     @F.pandas_udf(DoubleType())
     def ratio(xs: pd.Series, ys: pd.Series) -> pd.Series:
@@ -49,7 +49,7 @@ def ratios(pairs: DataFrame) -> DataFrame:
                 matcher.set_seq2(y)
                 last = y
             matcher.set_seq1(x)
-            out.append(round(100.0 * matcher.ratio(), 4))
+            out.append(matcher.ratio() if exact else round(100.0 * matcher.ratio(), 4))
         return pd.Series(out, dtype="float64")
 
     return pairs.withColumn("score", ratio("x", "y"))

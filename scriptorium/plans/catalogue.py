@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.staging import new_folder, written
-from ..operators import catalog, fuzzy, resolve, setjoin
+from ..operators import catalog, fuzzy, ordered, resolve, setjoin
 from ..sinks import versions
 from .registry import Tables, query
 
@@ -198,6 +198,20 @@ def greedy_assignment(t):
     return resolve.greedy_one_to_one(scores, "l_suppkey", "l_partkey")
 
 
+@query()
+def first_come_assignment(t):
+    """Suppliers in order of their keys, each with the part that it sold most of among those that none before has taken."""
+    sold = t.lineitem.groupBy("l_suppkey", "l_partkey").agg((-F.sum("l_quantity")).alias("p")).withColumn("o", F.col("l_suppkey"))
+    return ordered.first_come(sold, "l_suppkey", "l_partkey", "o", "p")
+
+
+@query()
+def near_duplicate_terms(t):
+    """Names of parts with their brands, in order of first use, without those too like one kept before."""
+    names = t.part.groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("term")).agg(F.min("p_partkey").alias("first_id"))
+    return ordered.leaders(names, "first_id", "term")
+
+
 @query("SELECT s_suppkey AS id, s_name AS name, coalesce(n_name, s_name) AS label FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey IN (1, 2)")
 def chronik_nodes_label(t):
     n = t.nation.where("n_regionkey in (1, 2)").select("n_nationkey", "n_name")
