@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
+
 KEYS = ("author_key", "title_key", "year_key")
 
 
@@ -82,15 +84,18 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     return old.unionByName(new.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti"))
 
 
-def with_new_ids(old: DataFrame, new: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
-    """Dense ids after the largest old one, by place in parts and prefix sums over the parts' sizes."""
-    parts = parts or 4 * int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    dealt = new.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = dealt.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.join(F.broadcast(bases), "_part").crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("base") + nth).select("id", *new.columns)
+def with_new_ids(old: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """Dense ids after the largest old one (after 0 if there is none), in the order given, which has to be total."""
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    placed = ranked(new, [F.col(c) for c in order], "_place").crossJoin(F.broadcast(top))
+    return placed.select((F.col("_top") + F.col("_place")).alias("id"), *new.columns)
+
+
+def get_or_create(old: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """old (id, name) with is_new false, and the different names that it lacks, in order, with new ids after its largest. Null names are none."""
+    fresh = names.where(F.col(name).isNotNull()).select(name).distinct().join(old.select(name), name, "left_anti")
+    made = with_new_ids(old, fresh, [name]).select("id", name, F.lit(True).alias("is_new"))
+    return old.select("id", name, F.lit(False).alias("is_new")).unionByName(made)
 
 
 def cascade_delete(ids: DataFrame, works: DataFrame, *children: DataFrame) -> tuple[DataFrame, ...]:

@@ -58,6 +58,41 @@ def jaccard_best(overlap: DataFrame, key: str) -> DataFrame:
     return overlap.withColumn("confidence", s).groupBy(key).agg(best.alias("b")).select(key, "b.entity", "b.confidence")
 
 
+#: Letters of a run by which texts are met that hold another.
+RUN = 8
+
+
+def holding(parts: DataFrame, part_id: str, part: str, wholes: DataFrame, whole_id: str, whole: str) -> DataFrame:
+    """part_id, whole_id of wholes that hold a part as it is; null and empty parts are held by none.
+
+    A part is looked for by its rarest run of RUN letters (a shorter one as a whole), so that only texts with that run are compared.
+    """
+    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))
+    a = written(parts.where(F.length(part) > 0).select(F.col(part_id).alias("_p"), F.col(part).alias("_part"), F.least(F.length(part), F.lit(RUN)).alias("_n")), "parts")
+    b = wholes.where(F.length(whole) > 0).select(F.col(whole_id).alias("_w"), F.col(whole).alias("_whole"))
+    # lengths from 1 to RUN, those that some part has
+    lengths = F.broadcast(a.select("_n").distinct())
+    each = written(b.join(lengths, F.length("_whole") >= F.col("_n")).select("_w", "_whole", F.explode(runs(F.col("_whole"), F.col("_n"))).alias("_run")), "runs")
+    often = each.groupBy("_run").agg(F.count("*").alias("_often"))
+    known = a.select("_p", "_part", F.explode(runs(F.col("_part"), F.col("_n"))).alias("_run")).join(often, "_run", "left")
+    rarest = known.groupBy("_p", "_part").agg(F.min_by("_run", F.struct(F.coalesce("_often", F.lit(0)), "_run")).alias("_run"))
+    met = written(rarest, "rarest").join(each.hint("merge"), "_run").where(F.col("_whole").contains(F.col("_part")))
+    return met.select(F.col("_p").alias(part_id), F.col("_w").alias(whole_id)).distinct()
+
+
+def foreign_items(files: DataFrame, items: DataFrame) -> DataFrame:
+    """id, entity, step, score: a foreign library's item (entity, path, sha, name) for each file (id, path, sha), the least entity of the first step that has one.
+
+    0: the same path in any case; 1: a path that holds the file's name; 2: the same hash; 3: the same name; 4: the same name without ending.
+    """
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    f = files.select("id", F.lower("path").alias("path"), "sha", name.alias("name"), F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"))
+    i = items.select("entity", F.lower("path").alias("ipath"), F.col("sha").alias("isha"), F.lower("name").alias("iname"))
+    by = lambda a, b: f.join(i.where(F.col(b).isNotNull()), F.col(a) == F.col(b)).select("id", "entity", F.lit(0.0).alias("score"))
+    held = holding(f.select("id", "name"), "id", "name", i, "entity", "ipath").withColumn("score", F.lit(0.0))
+    return waterfall([by("path", "ipath"), held, by("sha", "isha"), by("name", "iname"), by("stem", "iname")], "id")
+
+
 def key_or_words(left: DataFrame, key: str, left_text: str, right: DataFrame, entity: str, right_text: str, *, bars: tuple[float, ...] = setjoin.BARS) -> DataFrame:
     """key, entity, step, confidence: an equal canonical key is a match of 1.0 (step 0) whatever the words say, else the largest Jaccard similarity of words (step 1).
 

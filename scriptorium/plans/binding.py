@@ -167,12 +167,15 @@ def first_paragraph_of_length(t):
     return lines.where(F.length("line").between(40, 8000)).groupBy("doc_id").agg((F.min("i") + 1).alias("n"))
 
 
-@query(r"""WITH p AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') AS f FROM conversations), h AS (SELECT conv_id, min(turn) AS first FROM p WHERE regexp_matches(f, '(?i)^\s*of .*$') GROUP BY conv_id)
+@query(r"""WITH p AS (SELECT conv_id, turn, trim(regexp_replace(CASE WHEN turn % 3 = 1 THEN 'Quellen' || chr(10) || ' und  Literatur' WHEN turn % 3 = 2 THEN 'Literatur' || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END, '\s+', ' ', 'g')) AS f FROM conversations),
+h AS (SELECT conv_id, min(turn) AS first FROM p WHERE regexp_matches(f, '(?im)""" + "|".join(f"(?:{h})" for h in sections.HEADINGS) + r"""') GROUP BY conv_id)
 SELECT conv_id, turn, CASE WHEN turn >= first THEN 1 ELSE 0 END AS in_bib FROM p LEFT JOIN h USING (conv_id)""")
 def bib_pages_of_flat_text(t):
-    """From the first page whose text, on one line, opens with the heading."""
-    pages = t.conversations.select("conv_id", "turn", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ").alias("flat"))
-    return sections.to_the_end(pages, "conv_id", "turn", F.col("flat").rlike(r"(?i)^\s*of .*$")).select("conv_id", "turn", "in_bib")
+    """From the first page whose text, on one line, is a heading: the finder flattens pages first, so a heading above other text doesn't count."""
+    k, own = F.col("turn") % 3, F.coalesce("text", F.lit(""))
+    text = F.when(k == 1, "Quellen\n und  Literatur").when(k == 2, F.concat(F.lit("Literatur\n"), own)).otherwise(own)
+    pages = t.conversations.select("conv_id", "turn", F.trim(F.regexp_replace(text, r"\s+", " ")).alias("flat"))
+    return sections.to_the_end(pages, "conv_id", "turn", sections.heading(F.col("flat"))).select("conv_id", "turn", "in_bib")
 
 
 @query("SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN 0 WHEN bool_or(o_orderpriority = '1-URGENT') THEN 1 ELSE 2 END AS detector, CASE WHEN bool_or(o_orderstatus = 'P') THEN min(o_orderkey) FILTER (o_orderstatus = 'P') WHEN bool_or(o_orderpriority = '1-URGENT') THEN min(o_orderkey) FILTER (o_orderpriority = '1-URGENT') ELSE min(o_orderkey) END AS first, CASE WHEN bool_or(o_orderstatus = 'P') THEN max(o_orderkey) FILTER (o_orderstatus = 'P') WHEN bool_or(o_orderpriority = '1-URGENT') THEN max(o_orderkey) FILTER (o_orderpriority = '1-URGENT') ELSE max(o_orderkey) END AS last FROM orders GROUP BY o_custkey")

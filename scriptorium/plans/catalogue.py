@@ -103,17 +103,18 @@ def works_written_back(t):
     return versions.read(t.spark, folder).select("author", "title", "id", "year").withColumn("version", F.lit(last.number))
 
 
-@query("SELECT min(id) AS lo, max(id) AS hi, count(DISTINCT id) AS n FROM (SELECT 25 + row_number() OVER (ORDER BY s_suppkey) - 1 AS id FROM supplier)")
+@query("SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY s_suppkey) AS id, s_suppkey FROM supplier")
 def surrogate_ids(t):
     old = t.nation.select(F.col("n_nationkey").alias("id"))
-    return catalog.with_new_ids(old, t.supplier.select("s_suppkey"), ["s_suppkey"]).agg(F.min("id").cast("long").alias("lo"), F.max("id").cast("long").alias("hi"), F.count_distinct("id").alias("n"))
+    return catalog.with_new_ids(old, t.supplier.select("s_suppkey"), ["s_suppkey"])
 
 
-@query(WORKS + ", " + ACQ + "SELECT (SELECT count(*) FROM works WHERE id % 10 <> 0) AS works_left, (SELECT count(*) FROM acq WHERE work_id % 10 <> 0) AS acq_left")
+@query(WORKS + ", " + ACQ + "SELECT 'work' AS kind, id, CAST(NULL AS BIGINT) AS work_id FROM works WHERE id % 10 <> 0 UNION ALL SELECT 'acquisition', id, work_id FROM acq WHERE work_id % 10 <> 0")
 def cascade_delete(t):
+    """Every tenth work goes, and its acquisitions with it."""
     w, a = works(t), acquisitions(t)
     left, acq = catalog.cascade_delete(w.where("id % 10 = 0"), w, a)
-    return left.agg(F.count("*").alias("works_left")).crossJoin(acq.agg(F.count("*").alias("acq_left")))
+    return left.select(F.lit("work").alias("kind"), "id", F.lit(None).cast("long").alias("work_id")).union(acq.select(F.lit("acquisition"), "id", "work_id"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN n IS NULL THEN 0 ELSE 1 END AS file_exists, n AS file_size, CASE WHEN n IS NULL THEN NULL WHEN has_a THEN '.pdf' ELSE '.txt' END AS file_ext FROM part LEFT JOIN (SELECT l_partkey, coalesce(max(l_orderkey) FILTER (WHERE l_returnflag = 'A'), max(l_orderkey)) AS n, bool_or(l_returnflag = 'A') AS has_a FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1) ON p_partkey = l_partkey")

@@ -18,39 +18,40 @@ def file_stubs(t):
     return t.supplier.where(~stub.eqNullSafe(old)).select("s_suppkey", stub.alias("file_stub"))
 
 
-@query("""WITH f AS (SELECT s_suppkey AS id, s_name || '.pdf' AS name, s_acctbal > 0 AS has_text, s_suppkey % 4 = 0 AS err FROM supplier), z AS (SELECT 'supplier#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '.pdf' AS name, c_custkey FROM customer WHERE c_custkey % 2 = 0),
+@query("""WITH f AS (SELECT s_suppkey AS id, s_name || '.pdf' AS name, s_acctbal > 0 AS has_text, s_suppkey % 4 = 0 AS err FROM supplier), z AS (SELECT 'supplier#' || lpad(CAST(2 * c_custkey AS VARCHAR), 9, '0') || '.pdf' AS name, c_custkey FROM customer),
 m AS (SELECT f.*, (SELECT count(*) FROM z WHERE z.name = lower(f.name)) AS items FROM f)
 SELECT CASE WHEN err THEN 'error' WHEN NOT has_text THEN 'needs_ocr' WHEN items = 0 THEN 'not_in_library' ELSE 'in_library' END AS state, count(*) AS n FROM m GROUP BY 1""")
 def ocr_triage(t):
     f = t.supplier.select(F.lower(F.concat("s_name", F.lit(".pdf"))).alias("name"), (F.col("s_acctbal") > 0).alias("has_text"), (F.col("s_suppkey") % 4 == 0).alias("err"))
-    z = t.customer.where("c_custkey % 2 = 0").select(F.concat(F.lit("supplier#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.lit(".pdf")).alias("name"), "c_custkey")
+    z = t.customer.select(F.concat(F.lit("supplier#"), F.lpad((2 * F.col("c_custkey")).cast("string"), 9, "0"), F.lit(".pdf")).alias("name"), "c_custkey")
     items = z.groupBy("name").agg(F.sort_array(F.collect_list("c_custkey")).alias("items"))
     state = F.when(F.col("err"), "error").when(~F.col("has_text"), "needs_ocr").when(F.col("items").isNull(), "not_in_library").otherwise("in_library")
     return f.join(items, "name", "left").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT src, tgt, coalesce(c_name, CAST(src AS VARCHAR)) AS src_label, coalesce(s_name, CAST(tgt AS VARCHAR)) AS tgt_label FROM (SELECT DISTINCT o_custkey AS src, l_suppkey AS tgt FROM lineitem JOIN orders ON o_orderkey = l_orderkey) LEFT JOIN customer ON c_custkey = src AND c_custkey % 2 = 0 LEFT JOIN supplier ON s_suppkey = tgt")
+@query("SELECT src, tgt, CASE WHEN c_mktsegment <> 'FURNITURE' THEN c_name ELSE CAST(src AS VARCHAR) END AS src_label, coalesce(s_name, CAST(tgt AS VARCHAR)) AS tgt_label FROM (SELECT DISTINCT o_custkey AS src, l_suppkey AS tgt FROM lineitem JOIN orders ON o_orderkey = l_orderkey) LEFT JOIN customer ON c_custkey = src LEFT JOIN supplier ON s_suppkey = tgt")
 def decorated_edges(t):
     e = t.lineitem.select("l_orderkey", F.col("l_suppkey").alias("tgt")).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("src")), "l_orderkey").select("src", "tgt").distinct()
-    named = e.join(t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("src"), "c_name"), "src", "left").join(t.supplier.select(F.col("s_suppkey").alias("tgt"), "s_name"), "tgt", "left")
+    named = e.join(t.customer.select(F.col("c_custkey").alias("src"), F.when(F.col("c_mktsegment") != "FURNITURE", F.col("c_name")).alias("c_name")), "src", "left").join(t.supplier.select(F.col("s_suppkey").alias("tgt"), "s_name"), "tgt", "left")
     return named.select("src", "tgt", F.coalesce("c_name", F.col("src").cast("string")).alias("src_label"), F.coalesce("s_name", F.col("tgt").cast("string")).alias("tgt_label"))
 
 
-@query("""WITH d AS (SELECT s_suppkey AS id, s_name AS name FROM supplier), c AS (
-SELECT id, c_custkey AS entity, 0 AS step FROM d JOIN customer ON c_name = name UNION ALL
-SELECT id, c_custkey, 1 FROM d JOIN customer ON regexp_replace(c_name, '\\D', '', 'g') = regexp_replace(name, '\\D', '', 'g') AND c_custkey % 2 = 0 UNION ALL
-SELECT id, c_custkey, 2 FROM d JOIN customer ON right(c_name, 2) = right(name, 2))
+_ITEMS = """d AS (SELECT s_suppkey AS id, '/lib/' || s_name || '.pdf' AS path, s_name || '.pdf' AS name, s_name AS stem, sha1(s_name) AS sha FROM supplier),
+i AS (SELECT id AS entity, CASE id % 6 WHEN 0 THEN upper(path) WHEN 1 THEN '/old/' || name || '.bak' END AS ipath, CASE id % 6 WHEN 2 THEN sha END AS isha, CASE id % 6 WHEN 3 THEN upper(name) WHEN 4 THEN lower(stem) WHEN 0 THEN name END AS iname FROM d)"""
+
+
+@query(f"""WITH {_ITEMS}, c AS (SELECT d.id, entity, 0 AS step FROM d JOIN i ON lower(ipath) = lower(path) UNION ALL SELECT d.id, entity, 1 FROM d JOIN i ON contains(lower(ipath), lower(name)) UNION ALL
+SELECT d.id, entity, 2 FROM d JOIN i ON isha = sha UNION ALL SELECT d.id, entity, 3 FROM d JOIN i ON lower(iname) = lower(name) UNION ALL SELECT d.id, entity, 4 FROM d JOIN i ON lower(iname) = lower(stem))
 SELECT id, entity, step FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY step, entity) AS n FROM c) WHERE n = 1""")
 def foreign_waterfall(t):
-    """By the whole name, then its number, then its last digits: the first step that hits."""
-    d = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    c = t.customer.select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("other"))
-    number = lambda x: F.regexp_replace(x, r"\D", "")
-    by = lambda a, b, extra=None: d.withColumn("k", a).join((c if extra is None else c.where(extra)).withColumn("k", b), "k").select("id", "entity", F.lit(0.0).alias("score"))
-    last = c.groupBy(F.right("other", F.lit(2)).alias("k")).agg(F.min("entity").alias("entity"))
-    ends = d.withColumn("k", F.right("name", F.lit(2))).join(last, "k").select("id", "entity", F.lit(0.0).alias("score"))
-    steps = [by(F.col("name"), F.col("other")), by(number("name"), number("other"), "entity % 2 = 0"), ends]
-    return resolve.waterfall(steps, "id").select("id", "entity", "step")
+    """Files to a foreign library: by path, by a path that holds the file's name, by hash, by name, by name without ending; a sixth each, and a sixth is not there."""
+    d = t.supplier.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("/lib/"), "s_name", F.lit(".pdf")).alias("path"), F.sha1("s_name").alias("sha"))
+    k, name, stem = F.col("id") % 6, F.element_at(F.split("path", "/"), -1), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", "")
+    items = d.select(
+        F.col("id").alias("entity"), F.when(k == 0, F.upper("path")).when(k == 1, F.concat(F.lit("/old/"), name, F.lit(".bak"))).alias("path"),
+        F.when(k == 2, F.col("sha")).alias("sha"), F.when(k == 3, F.upper(name)).when(k == 4, F.lower(stem)).when(k == 0, name).alias("name"),
+    )
+    return resolve.foreign_items(d, items).select("id", "entity", "step")
 
 
 @query("SELECT o_custkey AS work_id, o_orderpriority AS action, max_by(o_orderstatus, o_orderkey) AS status, max(o_orderkey) AS id FROM orders GROUP BY ALL")
@@ -98,8 +99,10 @@ def citation_lines(t):
     return t.part.select("p_partkey", T.citation_line(F.col("p_brand"), F.lit(""), F.col("p_name"), F.lit(None).cast("string"), F.col("p_size").cast("string")).alias("line"), F.regexp_extract("p_name", "[^ #]+$", 0).alias("last"))
 
 
-@query("WITH e AS (SELECT l_suppkey AS k, l_returnflag AS f, l_quantity AS q, l_orderkey * 10 + l_linenumber AS id FROM lineitem) SELECT k AS doc, f AS new_author, count(*) AS n FROM e WHERE f <> 'A' GROUP BY ALL")
+@query("""WITH old AS (SELECT n_nationkey AS id, n_name AS name FROM nation), n AS (SELECT DISTINCT name FROM (SELECT c_mktsegment AS name FROM customer UNION ALL SELECT n_name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT p_type FROM part)),
+made AS (SELECT name, (SELECT max(id) FROM old) + row_number() OVER (ORDER BY name) AS id FROM n WHERE name NOT IN (SELECT name FROM old)) SELECT name, id, false AS is_new FROM old UNION ALL SELECT name, id, true FROM made""")
 def get_or_create_authors(t):
-    """Authors that a run names and the table lacks, with their mentions."""
-    named = t.lineitem.groupBy(F.col("l_suppkey").alias("doc"), F.col("l_returnflag").alias("new_author")).agg(F.count("*").alias("n"))
-    return named.join(t.spark.createDataFrame([("A",)], "new_author string"), "new_author", "left_anti").select("doc", "new_author", "n")
+    """Names that a run has, with the ids of those that the table has, and new ids after them for the others."""
+    old = t.nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    named = t.customer.select(F.col("c_mktsegment").alias("name")).union(t.nation.where("n_regionkey = 1").select("n_name")).union(t.part.select("p_type"))
+    return catalog.get_or_create(old, named, "name").select("name", "id", "is_new")

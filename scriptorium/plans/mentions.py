@@ -162,9 +162,14 @@ def bib_section_pages(t):
     return sections.to_the_end(t.conversations, "conv_id", "turn", F.col("text").rlike(r"(^|\n)\s*(En|De|The)[ ,.]")).select("conv_id", "turn", "in_bib")
 
 
-@query(r"WITH h AS (SELECT conv_id, min(turn) AS first FROM conversations WHERE regexp_matches(text, '(?im)" + "|".join(f"(?:{h})" for h in sections.HEADINGS) + r"') GROUP BY conv_id) SELECT conv_id, turn, CASE WHEN turn >= first THEN 1 ELSE 0 END AS in_bib FROM conversations LEFT JOIN h USING (conv_id)")
+#: Turns as pages, every third of which opens with a heading.
+_HEADED = "(SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'Quellen und Literatur' || chr(10) || text WHEN turn % 5 = 4 THEN text || chr(10) || ' REFERENCES ' ELSE text END AS text FROM conversations)"
+
+
+@query(f"WITH c AS {_HEADED}, h AS (SELECT conv_id, min(turn) AS first FROM c WHERE regexp_matches(text, '(?im)" + "|".join(f"(?:{h})" for h in sections.HEADINGS) + "') GROUP BY conv_id) SELECT conv_id, turn, CASE WHEN turn >= first THEN 1 ELSE 0 END AS in_bib FROM c LEFT JOIN h USING (conv_id)")
 def bibliography_headings(t):
-    pages = t.conversations.withColumn("is_heading", sections.heading(F.col("text")))
+    text = F.when(F.col("turn") % 3 == 2, F.concat(F.lit("Quellen und Literatur\n"), "text")).when(F.col("turn") % 5 == 4, F.concat("text", F.lit("\n REFERENCES "))).otherwise(F.col("text"))
+    pages = t.conversations.select("conv_id", "turn", text.alias("text")).withColumn("is_heading", sections.heading(F.col("text")))
     return sections.to_the_end(pages, "conv_id", "turn", F.col("is_heading")).select("conv_id", "turn", "in_bib")
 
 
@@ -178,20 +183,31 @@ def keyword_block_longest_run(t):
     return sections.longest_run(t.conversations.where(F.lower("text").rlike("ou|the")), "conv_id", "turn")
 
 
-@query("""WITH s AS (SELECT conv_id, turn, CAST(length(text) AS DOUBLE) AS score FROM conversations WHERE text IS NOT NULL), m AS (SELECT conv_id, median(score) AS cut FROM s GROUP BY conv_id),
-h AS (SELECT s.*, turn - row_number() OVER (PARTITION BY s.conv_id ORDER BY turn) AS g FROM s JOIN m ON s.conv_id = m.conv_id AND score >= cut),
-b AS (SELECT conv_id, min(turn) AS first, max(turn) AS last, count(*) AS length, round(avg(score), 6) AS mean_score FROM h GROUP BY conv_id, g)
+#: Turns as pages, some of which look like a bibliography.
+_CITED = "(SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN 'BIBLIOGRAPHY AND REFERENCES OF THE MOST WANTED AND OF THE MORE HIDDEN WORKS THAT WE USED HERE AND ELSEWHERE' || chr(10) || '[1] Kern (1987)' WHEN 2 THEN text || chr(10) || 'doi 10.1234/x' || chr(10) || 'Bock 1999' ELSE text END AS text FROM conversations)"
+_PAGE_SCORE = rf"""l AS (SELECT conv_id, turn, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ') <> '') AS lines FROM {_CITED}), h AS (SELECT *, array_to_string(lines[1:8], chr(10)) AS head FROM l),
+sc AS (SELECT conv_id, turn, round(CASE WHEN regexp_matches(head, '(?i)\b(bibliograph\w*|references?|reference\s+list|works\s+cited|literaturverzeichnis|quellen(?:verzeichnis| und literatur)?)\b') AND length(regexp_replace(head, '[^\p{{Lu}}]', '', 'g')) / greatest(length(regexp_replace(head, '[^\p{{L}}]', '', 'g')), 1) >= 0.45 THEN 2.0 ELSE 0.0 END
++ len(list_filter(lines, lambda x: regexp_matches(x, '10\.\d{{4,}}/|^\s*\[\d+\]|\((1[4-9]|20)\d{{2}}\)|\b(1[4-9]|20)\d{{2}}\b'))) / greatest(len(lines), 1), 6) AS score FROM h)"""
+
+
+def cited_pages(t: Tables):
+    k = F.col("turn") % 4
+    title = F.lit("BIBLIOGRAPHY AND REFERENCES OF THE MOST WANTED AND OF THE MORE HIDDEN WORKS THAT WE USED HERE AND ELSEWHERE\n[1] Kern (1987)")
+    text = F.when(k == 1, title).when(k == 2, F.concat("text", F.lit("\ndoi 10.1234/x\nBock 1999"))).otherwise(F.col("text"))
+    return t.conversations.select("conv_id", "turn", F.round(sections.page_score(text), 6).alias("score"))
+
+
+@query(f"""WITH {_PAGE_SCORE}, m AS (SELECT conv_id, median(score) AS cut FROM sc GROUP BY conv_id),
+g AS (SELECT sc.*, turn - row_number() OVER (PARTITION BY sc.conv_id ORDER BY turn) AS g FROM sc JOIN m ON sc.conv_id = m.conv_id AND score >= cut),
+b AS (SELECT conv_id, min(turn) AS first, max(turn) AS last, count(*) AS length, round(avg(score), 6) AS mean_score FROM g GROUP BY conv_id, g)
 SELECT conv_id, first, last, length, mean_score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY mean_score DESC, length DESC, first) AS n FROM b) WHERE n = 1""")
 def page_score_block(t):
-    scores = t.conversations.where("text is not null").withColumn("score", F.length("text").cast("double"))
-    return sections.scored_block(scores, "conv_id", "turn", "score")
+    return sections.scored_block(cited_pages(t), "conv_id", "turn", "score")
 
 
-@query(r"""WITH l AS (SELECT conv_id, turn, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ') <> '') AS lines FROM conversations), h AS (SELECT *, array_to_string(lines[1:8], chr(10)) AS head FROM l)
-SELECT conv_id, turn, round(CASE WHEN regexp_matches(head, '(?i)\b(bibliograph\w*|references?|reference\s+list|works\s+cited|literaturverzeichnis|quellen(?:verzeichnis| und literatur)?)\b') AND length(regexp_replace(head, '[^\p{Lu}]', '', 'g')) / greatest(length(regexp_replace(head, '[^\p{L}]', '', 'g')), 1) >= 0.45 THEN 2.0 ELSE 0.0 END
-+ len(list_filter(lines, lambda x: regexp_matches(x, '10\.\d{4,}/|^\s*\[\d+\]|\((1[4-9]|20)\d{2}\)|\b(1[4-9]|20)\d{2}\b'))) / greatest(len(lines), 1), 6) AS score FROM h""")
+@query(f"WITH {_PAGE_SCORE} SELECT conv_id, turn, score FROM sc")
 def page_scores(t):
-    return t.conversations.select("conv_id", "turn", F.round(sections.page_score(F.col("text")), 6).alias("score"))
+    return cited_pages(t)
 
 
 @query("SELECT conv_id, turn FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE turn <= ceil(n * 0.25) OR turn > n - ceil(n * 0.25)")
@@ -199,14 +215,15 @@ def head_and_tail_pages(t):
     return sections.head_and_tail(t.conversations, "conv_id", "turn", 0.25, 0.25).select("conv_id", "turn")
 
 
-_LINES = "SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents"
+#: Documents as scanned pages: a page number, a running head and a rule before the text.
+_LINES = "SELECT doc_id, unnest(string_split(CASE WHEN doc_id % 2 = 0 THEN doc_id || chr(10) || 'BASLER CHRONIKEN' || chr(10) ELSE ' XIV ' || chr(10) || '—--' || chr(10) END || coalesce(text, ''), chr(10))) AS line FROM documents"
 
 
-@query(f"SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(trim(line), '^[0-9]+$|^[IVXLCDM]{{1,8}}$')) AS n_furniture, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM ({_LINES}) GROUP BY doc_id")
+@query(f"SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(trim(line, ' '), '{'|'.join(cleaning.FURNITURE)}')) AS n_furniture, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM ({_LINES}) GROUP BY doc_id")
 def cleaner_line_statistics(t):
-    lines = t.documents.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    flag = cleaning.is_furniture(F.col("line"), (r"^[0-9]+$", r"^[IVXLCDM]{1,8}$"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(flag).alias("n_furniture"), F.sum(F.length("line")).alias("n_chars"))
+    head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.col("doc_id").cast("string"), F.lit("\nBASLER CHRONIKEN\n"))).otherwise(" XIV \n—--\n")
+    lines = t.documents.select("doc_id", F.explode(F.split(F.concat(head, F.coalesce("text", F.lit(""))), "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(cleaning.is_furniture(F.col("line"))).alias("n_furniture"), F.sum(F.length("line")).alias("n_chars"))
 
 
 @query()
@@ -234,18 +251,25 @@ def html_links(t):
 _VIEWER = {"system": "iiifSystemId", "endpoint": "iiifEndpointUri", "manifest": "iiifManifestUri", "presentation": "iiifPresentationBaseUrl", "pid": "docPid"}
 
 
-@query("SELECT page_id, " + ", ".join(rf"nullif(regexp_extract(html, 'window\.epdata\.{v}\s*=\s*''([^'']+)''', 1), '') AS {n}" for n, v in _VIEWER.items()) + r", CAST(len(list_distinct(regexp_extract_all(html, '''([^'']+?\.jpg)''', 1))) AS INTEGER) AS n_pages FROM pages")
+#: Pages as a viewer's: two thirds set the variables, a third lists its pictures, some twice.
+_VIEWED = "(SELECT page_id, CASE WHEN page_id % 3 <> 2 THEN '<script>window.epdata.iiifSystemId = ''S' || page_id || '''; window.epdata.docPid=''doc-' || page_id || '''; window.epdata.iiifManifestUri = ''' || url || '/manifest'';' || CASE WHEN page_id % 3 = 0 THEN 'pagesMinified = [[''a' || page_id || '.jpg'', 1],[''b.jpg'', 2],[''b.jpg'', 2]];' ELSE 'x=''c.jpg'';' END || '</script>' ELSE '' END || html AS html FROM pages)"
+
+
+@query("SELECT page_id, " + ", ".join(rf"nullif(regexp_extract(html, 'window\.epdata\.{v}\s*=\s*''([^'']+)''', 1), '') AS {n}" for n, v in _VIEWER.items()) + rf", CAST(CASE WHEN page_id % 3 = 0 THEN 2 WHEN page_id % 3 = 1 THEN len(list_distinct(regexp_extract_all(html, '''([^'']+?\.jpg)''', 1))) ELSE len(list_distinct(regexp_extract_all(html, '''([^'']+?\.jpg)''', 1))) END AS INTEGER) AS n_pages FROM {_VIEWED}")
 def html_page_variables(t):
-    v = files.page_variables(F.col("html"))
+    number, k = F.col("page_id").cast("string"), F.col("page_id") % 3
+    listed = F.when(k == 0, F.concat(F.lit("pagesMinified = [['a"), number, F.lit(".jpg', 1],['b.jpg', 2],['b.jpg', 2]];"))).otherwise("x='c.jpg';")
+    script = F.concat(F.lit("<script>window.epdata.iiifSystemId = 'S"), number, F.lit("'; window.epdata.docPid='doc-"), number, F.lit("'; window.epdata.iiifManifestUri = '"), F.col("url"), F.lit("/manifest';"), listed, F.lit("</script>"))
+    v = files.page_variables(F.concat(F.when(k != 2, script).otherwise(""), "html"))
     return t.pages.select("page_id", *[c.alias(n) for n, c in v.items() if n != "pages"], F.size(v["pages"]).alias("n_pages"))
 
 
 @query(r"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(trim(coalesce(text, ''), ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM conversations),
 e AS (SELECT conv_id, turn, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS ordinal FROM l)
-SELECT conv_id, turn, CAST(ordinal AS INTEGER) AS ordinal, sentence, sentence || CASE WHEN regexp_matches(sentence, '\d') AND contains(sentence, '!') THEN ' ⟦CITATION? + SENTIMENT⟧' WHEN regexp_matches(sentence, '\d') THEN ' ⟦CITATION?⟧' WHEN contains(sentence, '!') THEN ' ⟦SENTIMENT⟧' ELSE '' END AS marked FROM e""")
+SELECT conv_id, turn, CAST(ordinal AS INTEGER) AS ordinal, sentence, sentence || CASE WHEN length(sentence) > 60 AND contains(sentence, ',') THEN ' ⟦CITATION? + SENTIMENT⟧' WHEN length(sentence) > 60 THEN ' ⟦CITATION?⟧' WHEN contains(sentence, ',') THEN ' ⟦SENTIMENT⟧' ELSE '' END AS marked FROM e""")
 def sentence_split_tags(t):
     s = t.conversations.select("conv_id", "turn", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("ordinal", "sentence"))
-    tagged = T.mark_sentence(F.col("sentence"), F.col("sentence").rlike(r"\d"), F.col("sentence").rlike("!"))
+    tagged = T.mark_sentence(F.col("sentence"), F.length("sentence") > 60, F.col("sentence").contains(","))
     return s.withColumn("marked", tagged)
 
 
@@ -346,9 +370,10 @@ def rowset_intersect(t):
     return t.events.where("event_type = 'click'").select("user_id").intersect(t.events.where("value > 50").select("user_id"))
 
 
-@query("SELECT user_id FROM events WHERE value > 10 EXCEPT SELECT user_id FROM events WHERE event_type = 'click'")
+@query("SELECT CAST(floor(value) AS BIGINT) AS whole FROM events WHERE event_type = 'click' EXCEPT SELECT CAST(floor(value) AS BIGINT) FROM events WHERE event_type = 'purchase'")
 def rowset_difference(t):
-    return t.events.where("value > 10").select("user_id").subtract(t.events.where("event_type = 'click'").select("user_id"))
+    of = lambda k: t.events.where(F.col("event_type") == k).select(F.floor("value").alias("whole"))
+    return of("click").subtract(of("purchase"))
 
 
 @query(HITS + ", m AS (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, label) AS n FROM hits) SELECT doc_id, label AS main_label FROM m WHERE n = 1")
