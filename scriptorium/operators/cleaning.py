@@ -30,14 +30,22 @@ YEAR = r"\b(13|14)\d{2}\b"
 # Lines that are page furniture:
 FURNITURE = (r"^\s*\d+\s*$", r"^\s*[IVXLCDM]{1,8}\s*$", r"^\s*[—\-–]+\s*$", r"^\s*[A-ZÄÖÜ][A-ZÄÖÜ\s\.\-]{2,40}$")
 LETTER_FURNITURE = (r"^\s*[A-ZÄÖÜ]\s*$", r"^\s*A\s*[IVXLCDM]+(\s*\([^)]+\))?\s*$", r"^\s*<\d{8,}>\s*$")
-STAMPS = r"^\s*Bayer(ische|\.)(\s+Staatsbibliothek)?\b.*$|^\s*BIBLIOTHECA\b.*MONACENSIS\b.*$|^\s*Oeco[nm]\.\b.*\d+\s*$"
+STAMPS = (r"^\s*Bayer(ische|\.)(\s+Staatsbibliothek)?\b.*$", r"^\s*BIBLIOTHECA\b.*MONACENSIS\b.*$", r"^\s*Oeco[nm]\.\b.*\d+\s*$")
 BRACKETS = (r"\[[^\]\n]{1,200}\]", r"⟪[^⟫\n]{1,200}⟫", r"«[^»\n]{1,200}»")
-APPARATUS = (r"\([^)]*\bAnm\.[^)]*\)", r"\([^)]*\bVgl\.[^)]*\)", r"\([^)]*\bUrk[^)]*\)", r"\([^)]*\bS\.\s*\d+[^)]*\)", r"\([^)]*\bBd\.[^)]*\)", r"\([^)]*\bChron\.[^)]*\)", r"\([^)]*\d{3,4}[^)]*\)")
+# What a note in parentheses holds that belongs to the apparatus:
+APPARATUS = (r"\bAnm\.", r"\bVgl\.", r"\bUrk", r"\bS\.\s*\d+", r"\bBd\.", r"\bChron\.", r"\d{3,4}")
 FOOTNOTES = (r"\b\d+\)", r"\(\d+\)", r"[⁰¹²³⁴⁵⁶⁷⁸⁹]+", r"\^\d+", r"(?<=\w)\d{1,3}(?=[\s,.;:])")
 PAGE_BREAK = r"(?m)^\s*-{2,}\s*\d+\s*/\s*\d+\s*-{2,}\s*$"
 REGISTER = r"(?ms)^\s*Regi[sſ]ter\b.*?(?=^\s*-{2,}\s*\d+\s*/\s*\d+\s*-{2,}\s*$|\z)"
 
 
+# Leading page or line numbers, words cut at a line's end, `vnd` and `vnnd`, and what tidying replaces:
+LEADING_NUMBER = r"(?m)^[ \t]*\d{1,4}[ \t]+"
+CUT_WORD = r"-\s*\n(?=\p{Ll})"
+OLD_AND = r"\b[vV]n{1,2}d\b"
+TIDY = ((r"[ \t]{2,}", " "), (r"\s+\n", "\n"), (r"\n{3,}", "\n\n"), (r"\s+([,.;:!?])", "$1"), (r"\(\s+", "("), (r"\s+\)", ")"))
+
+
 def _at_a_word(*patterns: str) -> str:
     """One regex for patterns that all begin at a word boundary, which is so tested once for each place."""
     ways = [w for p in patterns for w in p.split("|")]
@@ -62,7 +70,7 @@ def is_editorial(text: Column) -> Column:
 
 
 def unhyphenated(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"-\s*\n(?=\p{Ll})", ""), "­", "")
+    return F.regexp_replace(F.regexp_replace(c, CUT_WORD, ""), "­", "")
 
 
 def joined_paragraphs(c: Column) -> Column:
@@ -72,7 +80,7 @@ def joined_paragraphs(c: Column) -> Column:
 
 
 def tidy(c: Column) -> Column:
-    for pattern, new in ((r"[ \t]{2,}", " "), (r"\s+\n", "\n"), (r"\n{3,}", "\n\n"), (r"\s+([,.;:!?])", "$1"), (r"\(\s+", "("), (r"\s+\)", ")")):
+    for pattern, new in TIDY:
         c = F.regexp_replace(c, pattern, new)
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -90,9 +98,9 @@ def chronist_score(p: Column) -> Column:
 def chronicle_paragraphs(text: Column) -> Column:
     """Paragraphs after all reductions, before the paragraph filter."""
     s = _replaced(text, {"ſ": "s", "ﬅ": "st", "ﬁ": "fi", "ﬂ": "fl"})
-    s = F.regexp_replace(s, r"(?m)^[ \t]*\d{1,4}[ \t]+", "")
+    s = F.regexp_replace(s, LEADING_NUMBER, "")
     s = _kept_lines(s, lambda line: is_furniture(line) | is_editorial(line))
-    s = unhyphenated(_without(s, *BRACKETS, *APPARATUS, *FOOTNOTES))
+    s = unhyphenated(_without(s, *BRACKETS, rf"\([^)]*(?:{'|'.join(APPARATUS)})[^)]*\)", *FOOTNOTES))
     return joined_paragraphs(s)
 
 
@@ -106,6 +114,6 @@ def clean_print(text: Column, modern_and: bool = True) -> Column:
     """An early print: no register, page breaks, stamps or furniture; lines joined; vnd as und."""
     s = _replaced(text, {"ſ": "s", "ﬅ": "st", "ﬁ": "fi", "ﬂ": "fl", "­": ""})
     s = F.regexp_replace(F.regexp_replace(s, REGISTER, ""), PAGE_BREAK, "")
-    s = _kept_lines(s, lambda line: line.rlike(f"(?i){STAMPS}") | is_furniture(line, (*FURNITURE, *LETTER_FURNITURE)))
-    s = F.array_join(joined_paragraphs(unhyphenated(F.regexp_replace(s, r"(?m)^[ \t]*\d{1,4}[ \t]+", ""))), "\n\n")
-    return tidy(F.regexp_replace(s, r"\b[vV]n{1,2}d\b", "und") if modern_and else s)
+    s = _kept_lines(s, lambda line: line.rlike("(?i)" + "|".join(STAMPS)) | is_furniture(line, (*FURNITURE, *LETTER_FURNITURE)))
+    s = F.array_join(joined_paragraphs(unhyphenated(F.regexp_replace(s, LEADING_NUMBER, ""))), "\n\n")
+    return tidy(F.regexp_replace(s, OLD_AND, "und") if modern_and else s)

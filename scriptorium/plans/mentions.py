@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.staging import spread
 from ..operators import citations, cleaning, keywords, mentions, report, sections
 from ..operators import edges as E
 from ..sources import files
@@ -228,12 +229,12 @@ def cleaner_line_statistics(t):
 
 @query()
 def clean_documents(t):
-    return t.documents.select("doc_id", cleaning.clean_edition(F.col("text")).alias("edition"), cleaning.clean_print(F.col("text")).alias("early_print"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", cleaning.clean_edition(F.col("text")).alias("edition"), cleaning.clean_print(F.col("text")).alias("early_print"))
 
 
 @query()
 def paragraphs_kept(t):
-    p = t.documents.select("doc_id", F.explode(cleaning.chronicle_paragraphs(F.coalesce("text", F.lit("")))).alias("p"))
+    p = spread(t.documents.select("doc_id", "text")).select("doc_id", F.explode(cleaning.chronicle_paragraphs(F.coalesce("text", F.lit("")))).alias("p"))
     editorial, score = cleaning.editorial_paragraph(F.col("p")), cleaning.chronist_score(F.col("p"))
     return p.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if(editorial).alias("editorial"), F.count_if(~editorial & (score >= 2)).alias("kept"), F.count_if(~editorial & (score < 2)).alias("low"))
 
