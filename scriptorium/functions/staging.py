@@ -12,7 +12,7 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a temporary folder if all runs on this machine, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         spark.conf.set("spark.checkpoint.dir", path)
