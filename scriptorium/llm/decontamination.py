@@ -16,13 +16,15 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, staged
 
 SHINGLE, THRESHOLD = 5, 0.8
 BLOCKS, WIDTH, RADIUS = 8, 8, 23
+#: Shingles in all windows that one row is expanded to.
+CUT = 1 << 14
 #: Bytes of a table of items, as unsafe rows, up to which it is broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -105,15 +107,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, threshold: float = T
         each = _with_shingles(split, "w", k).select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode_outer("h").alias("pos", "h"))  # outer, as the filter that an inner one infers would do all hashing again
         own = each.join(placed.where(F.col("k") == k), "h").select("doc_id", "text_hash", "n", "k", "m", "pos")
         hits = own if hits is None else hits.union(own)
-    # The windows of m words that hold the shingle at pos, in a text of n words; a shorter text is one window.
-    starts = F.expr("array_distinct(flatten(transform(at, x -> transform(sequence(greatest(0, x.pos - x.m + x.k), greatest(0, least(x.pos, x.n - x.m))), y -> struct(x.m AS m, y AS start)))))")
-    per_document = staged(hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("n", "k", "m", "pos")).alias("at")).select("doc_id", "text_hash", starts.alias("windows")), "windows")
+    # The windows of m words that hold the shingle at pos, in a text of n words, begin in a range; a shorter text is one window.
+    spans = hits.select("doc_id", "text_hash", "m", F.expr("greatest(0, pos - m + k)").alias("lo"), F.expr("greatest(0, least(pos, n - m))").alias("hi")).distinct()
+    in_order = Window.partitionBy("doc_id", "text_hash", "m").orderBy("lo", "hi")
+    apart = F.coalesce((F.col("lo") > F.max("hi").over(in_order.rowsBetween(Window.unboundedPreceding, -1)) + 1).cast("int"), F.lit(1))
+    ranges = spans.withColumn("apart", apart).withColumn("run", F.sum("apart").over(in_order)).groupBy("doc_id", "text_hash", "m", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # Ranges are cut so that the windows of each cut hold CUT shingles at most.
+    step = F.expr(f"greatest(1, {CUT} div m)")
+    cuts = ranges.withColumn("step", step).select("doc_id", "text_hash", "m", "hi", "step", F.explode(F.expr("sequence(lo, hi, step)")).alias("lo")).select("doc_id", "text_hash", F.struct("m", "lo", F.least("hi", F.col("lo") + F.col("step") - 1).alias("hi")).alias("cut"))
+    per_document = staged(cuts.groupBy("doc_id", "text_hash").agg(F.collect_list("cut").alias("cuts")), "windows")
     # A merge join at every size: the texts that hold windows may be as many as all.
     held = named.join(per_document.hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    keyed = held.select("doc_id", "text_hash", "windows", words(F.col("text")).alias("w")).withColumn("keys", F.expr(_weighted("w", str(SHINGLE), distinct=False)))
-    short = _weighted("slice(w, x.start + 1, x.m)", "x.m")
-    each_f = F.expr(f"explode(transform(windows, x -> struct(x.m AS m, x.start AS start, IF(x.m < {SHINGLE}, {short}, array_distinct(slice(keys, x.start + 1, greatest(0, x.m - {SHINGLE - 1})))) AS f))) AS x")
-    window = keyed.select("doc_id", "text_hash", each_f).select("doc_id", "text_hash", "x.*")
+    keyed = held.select("doc_id", "text_hash", "cuts", words(F.col("text")).alias("w")).withColumn("keys", F.expr(_weighted("w", str(SHINGLE), distinct=False)))
+    own_part = F.expr(f"explode(transform(cuts, x -> struct(x.m AS m, x.lo AS lo, x.hi AS hi, IF(x.m < {SHINGLE}, slice(w, x.lo + 1, x.hi - x.lo + x.m), cast(array() AS array<string>)) AS w, IF(x.m < {SHINGLE}, cast(array() AS array<bigint>), slice(keys, x.lo + 1, greatest(0, x.hi - x.lo + x.m - {SHINGLE - 1}))) AS keys))) AS x")
+    parts = keyed.select("doc_id", "text_hash", own_part).select("doc_id", "text_hash", "x.*")
+    short = _weighted("slice(w, o + 1, m)", "m")
+    each_f = F.expr(f"explode(transform(sequence(0, hi - lo), o -> struct(lo + o AS start, IF(m < {SHINGLE}, {short}, array_distinct(slice(keys, o + 1, greatest(0, m - {SHINGLE - 1})))) AS f))) AS x")
+    window = parts.select("doc_id", "text_hash", "m", each_f).select("doc_id", "text_hash", "m", "x.start", "x.f")
     window = staged(window.withColumn("fp", F.expr(_simhash("f"))), "fingerprints")
     near = known.select("item_id", "m", "item_fp", F.explode(_blocks("item_fp")).alias("b")).select("item_id", "m", "item_fp", "b.block", "b.bits", F.explode(_near_masks()).alias("mask"))
     index = _maybe_broadcast(staged(near.select("item_id", "m", "item_fp", "block", F.col("bits").bitwiseXOR(F.col("mask")).alias("bits")), "index"), "56")

@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import re
+import time
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -201,3 +202,16 @@ def test_clusters_awkward(spark):
     far = np.array([[1 << 27, -(1 << 27)], [0, 0]])
     best, distance = clustering.nearest(far, np.array([[0, 0], [1 << 27, 1 - (1 << 27)]]))
     assert best.tolist() == [1, 0] and distance.tolist() == [1, 0]
+
+
+def test_items_repeated_in_one_text_end_in_time(spark):
+    """Eight items that are beginnings of one passage, and a text that repeats the passage for 5,000 words."""
+    from scriptorium.llm import decontamination
+
+    passage = prose(77, 130).split()
+    bench = spark.createDataFrame([(i, " ".join(passage[: 60 + 10 * i])) for i in range(8)], "item_id long, text string")
+    text = " ".join((passage * 40)[:5_000])
+    began = time.time()
+    got = {r["item_id"]: (r["start"], r["similarity"], r["windows"]) for r in decontamination.contamination(table(spark, [(1, text, "en", "s", 1, 1, "x", None), (2, prose(5, 90), "en", "s", 1, 1, "x", None)]), bench).collect()}
+    assert got.keys() == set(range(8)) and all(r[:2] == (0, 1.0) and r[2] >= 38 for r in got.values())
+    assert time.time() - began < 150
