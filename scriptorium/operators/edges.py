@@ -45,11 +45,23 @@ def bipartite(pairs: DataFrame, doc_col: str, label_col: str, weight: Column) ->
     return labels.union(docs), edges
 
 
-def author_families(edges: DataFrame, weight: Column) -> DataFrame:
-    """u (cited) to v (citing) families of names, self-edges left out."""
+#: Letters of an example.
+EXAMPLE = 220
+
+
+def author_families(edges: DataFrame, weight: Column, *, example: Column | None = None, order: list | None = None) -> DataFrame:
+    """u (cited) to v (citing) families of names with the sum of weights, self-edges left out; with example, the first that isn't empty in the order given, cut to EXAMPLE letters.
+
+    A null weight is 0. Edges without any example have ''.
+    """
     family = lambda c: T.primary_token(T.slugify(F.col(c), None))
-    named = edges.select(family("tgt").alias("u"), family("src").alias("v"), weight.alias("w"))
-    return named.where("u != '' and v != '' and u != v").groupBy("u", "v").agg(F.sum("w").alias("weight"))
+    shown = [] if example is None else [F.struct(*order, F.nullif(example, F.lit("")).alias("_text")).alias("_example")]
+    named = edges.select(family("tgt").alias("u"), family("src").alias("v"), F.coalesce(weight, F.lit(0)).alias("w"), *shown)
+    totals = [F.sum("w").alias("weight")]
+    if shown:
+        first = F.coalesce(F.min(F.when(F.col("_example._text").isNotNull(), F.col("_example")))["_text"], F.lit(""))
+        totals.append(F.when(F.length(first) > EXAMPLE, F.concat(F.left(first, F.lit(EXAMPLE)), F.lit("…"))).otherwise(first).alias("example"))
+    return named.where("u != '' and v != '' and u != v").groupBy("u", "v").agg(*totals)
 
 
 def label_families(hits: DataFrame, doc_col: str, label_col: str, count: Column) -> DataFrame:

@@ -46,6 +46,18 @@ def top_cited(t):
     return network.top(named.groupBy("label").agg(F.sum("weighted").alias("weighted")), 10, F.desc("weighted"), "label")
 
 
+_EXAMPLE = "CASE WHEN l_linenumber % 2 = 0 THEN repeat('beleg ' || l_orderkey || ' ', CAST(l_suppkey % 50 AS INTEGER)) ELSE '' END"
+
+
+@query(f"""WITH e AS (SELECT lower(p_type) AS u, regexp_extract(p_name, '[^ ]+$') AS v, CAST(l_quantity AS BIGINT) AS w, l_orderkey * 10 + l_linenumber AS o, {_EXAMPLE} AS x FROM lineitem JOIN part ON p_partkey = l_partkey),
+g AS (SELECT u, v, sum(w)::BIGINT AS weight, coalesce(arg_min(x, o) FILTER (x <> ''), '') AS x FROM e WHERE u <> v GROUP BY u, v) SELECT u, v, weight, CASE WHEN length(x) > 220 THEN left(x, 220) || '…' ELSE x END AS example FROM g""")
+def author_family_edges(t):
+    """Families of cited and citing names with the first example that isn't empty: parts' types are cited by their names."""
+    own = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(F.concat_ws(" ", "p_brand", "p_type").alias("tgt"), F.col("p_name").alias("src"), "l_quantity", "l_orderkey", "l_linenumber", "l_suppkey")
+    text = F.when(F.col("l_linenumber") % 2 == 0, F.expr("repeat(concat('beleg ', l_orderkey, ' '), cast(l_suppkey % 50 as int))")).otherwise("")
+    return E.author_families(own, F.col("l_quantity").cast("long"), example=text, order=["l_orderkey", "l_linenumber"])
+
+
 @query("SELECT l_suppkey AS u, l_partkey AS v, count(*) AS weight, max_by(l_returnflag, l_orderkey * 10 + l_linenumber) AS raw_source FROM lineitem GROUP BY ALL")
 def edges_with_last_pattern(t):
     rows = t.lineitem.select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"), "l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import json
+import re
 from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a file for people may have.
 REPORT_ROWS = 50_000
+#: Columns of a table of similarities.
+TABLE_COLUMNS = 1_000
 
 
 def write_csv(df: DataFrame, path: str, *, one_file: bool = False) -> None:
@@ -57,9 +60,14 @@ def html_table(df: DataFrame) -> str:
 
 
 def filled_template(template: str, parts: dict[str, str]) -> str:
-    for name, part in parts.items():
-        template = template.replace("{{" + name + "}}", part)
-    return template
+    """The template with each {{name}} replaced by its part. Parts aren't searched for names themselves; names without a part are an error."""
+
+    def part(m: re.Match) -> str:
+        if m[1] not in parts:
+            raise ValueError(f"no part for {m[0]}")
+        return parts[m[1]]
+
+    return re.sub(r"\{\{(\w+)\}\}", part, template)
 
 
 def marked_once(text: str, start: int, end: int) -> str:
@@ -67,9 +75,23 @@ def marked_once(text: str, start: int, end: int) -> str:
 
 
 def similarity_table(pairs: DataFrame) -> DataFrame:
-    """The pairs as a square of rows and columns."""
+    """The pairs as a square of rows and columns, in order. More than TABLE_COLUMNS names are an error: write the pairs, or the nearest of each, instead."""
     both = pairs.select("a", "b", "similarity").union(pairs.select("b", "a", "similarity"))
-    return both.groupBy("a").pivot("b").agg(F.first("similarity")).na.fill(0.0)
+    names = [r["a"] for r in both.select("a").distinct().orderBy("a").limit(TABLE_COLUMNS + 1).collect()]
+    if len(names) > TABLE_COLUMNS:
+        raise ValueError(f"a table of more than {TABLE_COLUMNS} columns")
+    return both.groupBy("a").pivot("b", names).agg(F.first("similarity")).na.fill(0.0).orderBy("a")
+
+
+def write_mentions(hits: DataFrame, summary: DataFrame, folder: str) -> None:
+    """hits by document, page and place, and the summary by weight, each as one sorted CSV with semicolons; for results of the size that people read.
+
+    Columns that a table lacks are left out of its order; equal rows stand in the order of all columns.
+    """
+    sorts = (("mentions", hits, ("grp", "label", "doc_id", "page", "start"), ()), ("summary", summary, ("grp", "label"), ("weighted", "mentions")))
+    for name, df, up, down in sorts:
+        first = [F.desc(c) for c in down if c in df.columns] + [F.asc(c) for c in up if c in df.columns]
+        write_csv(df.orderBy(*first, *df.columns), f"{folder}/{name}", one_file=True)
 
 
 def markdown(paragraphs: DataFrame, order: str, text: str) -> str:

@@ -7,6 +7,7 @@ import zipfile
 
 import pytest
 
+from scriptorium.sinks import reports
 from scriptorium.sources import extract, files
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -69,3 +70,20 @@ def test_the_best_of_several_extractors(spark, tmp_path):
     assert got == {("one", 1): (GOOD, 0), ("two", 1): (GOOD, 1) if len(GOOD) > len(WEAK) else (WEAK, 0), ("three", 1): ("kürzer", 1), ("four", 1): (WEAK[:60], 1), ("four", 2): (GOOD, 1), ("six", 1): (GOOD, 0), ("six", 2): (WEAK[:100], 1)}
     assert {x.name for x in seen.iterdir() if x.name.startswith("1-")} == {"1-two", "1-three", "1-four", "1-five", "1-six"}
     assert extract.best_pages(rows.limit(0), [(number(0), 0.6)]).count() == 0
+
+
+def test_reports(spark, tmp_path):
+    pairs = spark.createDataFrame([("b", "a", 0.5), ("c", "a", 0.25)], "a string, b string, similarity double")
+    table = reports.similarity_table(pairs)
+    assert table.columns == ["a", "a", "b", "c"] and [tuple(r) for r in table.collect()] == [("a", 0.0, 0.5, 0.25), ("b", 0.5, 0.0, 0.0), ("c", 0.25, 0.0, 0.0)]
+    with pytest.raises(ValueError, match="columns"):
+        reports.similarity_table(spark.range(1200).selectExpr("cast(id as string) a", "'x' b", "0.5D similarity"))
+    assert reports.filled_template("<h1>{{title}}</h1>{{body}}", {"title": "{{body}}", "body": r"\1 & b"}) == r"<h1>{{body}}</h1>\1 & b"
+    with pytest.raises(ValueError, match="nothing"):
+        reports.filled_template("{{nothing}}", {})
+    hits = spark.createDataFrame([("work", "b", 2, 1), ("work", "a", 9, 1), ("series", "z", 1, 2)], "grp string, label string, doc_id int, page int")
+    summary = spark.createDataFrame([("work", "a", 1, 3.0), ("work", "b", 5, 7.0), ("series", "z", 9, 3.0)], "grp string, label string, mentions int, weighted double")
+    reports.write_mentions(hits, summary, str(tmp_path / "out"))
+    lines = lambda name: next((tmp_path / "out" / name).glob("*.csv")).read_text().splitlines()
+    assert lines("mentions") == ["grp;label;doc_id;page", "series;z;1;2", "work;a;9;1", "work;b;2;1"]
+    assert lines("summary") == ["grp;label;mentions;weighted", "work;b;5;7.0", "series;z;9;3.0", "work;a;1;3.0"]
