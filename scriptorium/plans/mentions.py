@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.staging import spread
+from ..functions.staging import new_folder, spread
 from ..operators import citations, cleaning, keywords, mentions, report, sections
 from ..operators import edges as E
 from ..sources import files
@@ -381,3 +381,13 @@ def rowset_difference(t):
 def main_label_per_document(t):
     own = Window.partitionBy("doc_id").orderBy(F.desc("cnt"), "label")
     return hits(t).withColumn("n", F.row_number().over(own)).where("n = 1").select("doc_id", F.col("label").alias("main_label"))
+
+
+@query(r"""SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, regexp_replace(CASE WHEN turn % 2 = 0 THEN '"' || text || '"; ' || chr(10) || '"Ende"' ELSE text END, '^\s+|\s+$', '', 'g') AS notizen FROM conversations WHERE text IS NOT NULL""")
+def csv_round_trip(t):
+    """Turns written as CSV with quotes, delimiters and line breaks in their fields, and read back in splits."""
+    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("„"), "text", F.lit('“; \n"Ende"'))).otherwise(F.col("text"))
+    folder = new_folder(t.spark, "csv")
+    plain = F.translate(text, "„“", '""')
+    t.conversations.where("text is not null").select("conv_id", "turn", plain.alias("Notizen")).write.csv(folder, sep=";", header=True, quoteAll=True, escape='"', lineSep="\n")
+    return files.sanitized_csv(t.spark, folder, split=1 << 20)
