@@ -50,7 +50,7 @@ _EXAMPLE = "CASE WHEN l_linenumber % 2 = 0 THEN repeat('beleg ' || l_orderkey ||
 
 
 @query(f"""WITH e AS (SELECT lower(p_type) AS u, regexp_extract(p_name, '[^ ]+$') AS v, CAST(l_quantity AS BIGINT) AS w, l_orderkey * 10 + l_linenumber AS o, {_EXAMPLE} AS x FROM lineitem JOIN part ON p_partkey = l_partkey),
-g AS (SELECT u, v, sum(w)::BIGINT AS weight, coalesce(arg_min(x, o) FILTER (x <> ''), '') AS x FROM e WHERE u <> v GROUP BY u, v) SELECT u, v, weight, CASE WHEN length(x) > 220 THEN left(x, 220) || '…' ELSE x END AS example FROM g""")
+g AS (SELECT u, v, sum(w)::BIGINT AS weight, coalesce(arg_min(x, lpad(CAST(o AS VARCHAR), 15, '0') || x) FILTER (x <> ''), '') AS x FROM e WHERE u <> v GROUP BY u, v) SELECT u, v, weight, CASE WHEN length(x) > 220 THEN left(x, 220) || '…' ELSE x END AS example FROM g""")
 def author_family_edges(t):
     """Families of cited and citing names with the first example that isn't empty: parts' types are cited by their names."""
     own = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(F.concat_ws(" ", "p_brand", "p_type").alias("tgt"), F.col("p_name").alias("src"), "l_quantity", "l_orderkey", "l_linenumber", "l_suppkey")
