@@ -42,7 +42,7 @@ BESIDE = frozenset("nav footer aside form menu dialog search fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 #: Words in class or id that name such parts. Those of the second list don't count inside an article.
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disclaimer disqus footer gdpr hidden login menu menus modal nav navbar navigation newsletter notice notices notification optin overlay pager pagination popup privacy promo promos promotion recommended related replies respond responses share sharing sidebar signup social sponsor sponsored sponsors subscribe subscription teaser toc toolbar topbar widget widgets".split()
+    "ad ads adsbygoogle adv advert adverts advertisement advertisements advertising adsense alert alerts announcement banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disclaimer discussion disqus footer gdpr hidden login menu leftnav mainnav menus modal nav navbar navigation newsletter notice notices notification optin overlay pager pagination popup privacy promo promos promotion recommended related replies respond responses share sharing sidebar sidenav signup sitenav social sponsor sponsored sponsors subscribe subnav subscription teaser toc toolbar topbar topnav widget widgets".split()
 )
 OUTER_NAMES = frozenset("header masthead head top bottom skip search tags meta".split())
 #: Words that turn such a name into something else, as in "no-sidebar".
@@ -233,7 +233,7 @@ class Page:
         for node in self.nodes:
             if id(node.parent) in seen:
                 seen.add(id(node))
-            elif node.tag in UNSEEN or (strict or wanted(node)) and (node.tag in BESIDE or node.named == "always"):
+            elif node.tag in UNSEEN or (strict or wanted(node)) and (node.tag in BESIDE or node.named == "always") or node.tag in ("nav", "footer", "aside") or _words(node.names) & OTHER_ARTICLES:
                 seen.add(id(node))
             elif wanted(node) and node.length:
                 found.append(node)
@@ -241,9 +241,14 @@ class Page:
         return found
 
     def _mains(self) -> list[Node]:
-        for wanted in (lambda x: x.tag == "article", lambda x: x.tag == "main", lambda x: x.main):
-            if found := self._outermost(wanted, True) or self._outermost(wanted, False):
-                return found
+        """An article element, else main, else one named so; one in a part that is named as beside it only if it holds most of the page."""
+        by_tag = (lambda x: x.tag == "article", lambda x: x.tag == "main")
+        for kinds in (by_tag, (lambda x: x.main,)):
+            for strict in (True, False):
+                for wanted in kinds:
+                    found = self._outermost(wanted, strict)
+                    if found and (strict or 2 * sum(x.length for x in found) >= self.root.length):
+                        return found
         return []
 
     def content(self) -> int:

@@ -160,6 +160,10 @@ def test_pages_read_as_browsers_do():
     assert text("<main><header><h1>T</h1></header><p>p<script>var a='</p>';</script>q</p><section id=comments><article class=comment>no</article></section></main><footer>f") == "T\npq"
     assert text("<div class='content no-sidebar'><form><article><p title='a > b'>x</p><p>y <scr") == "x\ny"
     assert text("<article><table><tr><td>a<td>b<tr><td>c</table><style>p{}</style><!-- <p>no --><textarea>no</textarea></article>") == "a\nb\nc"
+    assert text("<main><h1>T</h1><p>Own text.</p></main><div class='user-comments'><article><p>A long comment of a reader, longer than the text.</p></article></div>") == "T\nOwn text."
+    assert text("<div class='post-content'><p>Short</p></div><div class='comments'><article><p>A long comment of a reader, longer than the text.</p></article></div>") == "Short"
+    assert text("<body><h1>T</h1><p>Own text that is longer than what readers say below.</p><section id='commentSection'><article><p>A comment.</p></article></section>") == "T\nOwn text that is longer than what readers say below."
+    assert text("<article><h1>T</h1><div class='alert alert-info'>Notice</div><p class='ad1'>Buy</p><div class='adsbygoogle'>x</div><div role='complementary'>Side</div><div id='share-buttons'>s</div><p>End</p><form><p>Mail</p></form></article><ul class='topnav'><li>m</ul>") == "T\nEnd"
     assert text("") == text("<p") == text("<!-- open") == "" and text("<p title='it's>x") in ("", "x")
     deep = "<div>" * 20000 + "<p>x" * 20000 + "</p>" * 30000
     assert text(deep).count("x") == 20000
