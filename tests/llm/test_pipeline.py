@@ -69,4 +69,4 @@ def test_stages_return_the_columns_of_documents(spark, folder):
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries().keys()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
