@@ -102,6 +102,46 @@ def test_a_column_that_all_hold_is_left_out_of_the_search(spark, monkeypatch):
     assert seen[-1].count() <= 200 * 4
 
 
+def blocks(n: int, rows: int, columns: int, seed: int = 4) -> list[tuple[int, str, float]]:
+    """Entries of n groups of rows that share columns only with one another, each column with 8 of a group's rows, all of like weight."""
+    rng = random.Random(seed)
+    return [(g * rows + r, f"{g}-{c}", float(rng.randint(1, 3))) for g in range(n) for c in range(columns) for r in rng.sample(range(rows), 8)]
+
+
+def test_sums_by_pairs_shrink_before_the_shuffle(spark, monkeypatch):
+    m = blocks(12, 20, 60)
+    df = spark.createDataFrame(m, "r int, c string, w double").withColumn("df", F.lit(8))
+    monkeypatch.setattr(similarity, "TASK", 4096)
+    each = similarity._products(df, df, 512).where("x.r < y.r").select("x.r", F.col("y.r").alias("b"), F.spark_partition_id().alias("task"))
+    assert each.select("task").distinct().count() >= 8 and each.count() == 12 * 60 * 28
+    assert each.distinct().count() < 2.5 * each.select("r", "b").distinct().count()
+
+
+@pytest.mark.parametrize("cell, row", [(512, 4096), (5, 7)])
+def test_pairs_are_those_of_all_rows(spark, monkeypatch, cell, row):
+    monkeypatch.setattr(similarity, "ROW", row)
+    m = blocks(3, 12, 10) + [(r, "hot", 2.0) for r in range(36)]
+    rows = {}
+    for r, c, w in m:
+        rows.setdefault(r, {})[c] = w
+    size = {r: sum(w * w for w in v.values()) ** 0.5 for r, v in rows.items()}
+    want = {(a, b): (sum(w * y[c] for c, w in x.items() if c in y) / (size[a] * size[b]), len(x.keys() & y.keys())) for a, x in rows.items() for b, y in rows.items() if a < b and x.keys() & y.keys()}
+    got = {(r["a"], r["b"]): (r["similarity"], r["shared"]) for r in similarity.cosine_pairs(spark.createDataFrame(m, "r int, c string, w double"), cell=cell).collect()}
+    assert got.keys() == want.keys() and all(got[k] == (pytest.approx(s, abs=6e-7), n) for k, (s, n) in want.items())
+
+
+def test_rare_columns_leave_no_pairs_to_complete(spark, monkeypatch):
+    completed = []
+    dots = similarity._dots
+    monkeypatch.setattr(similarity, "_dots", lambda pairs, *a: completed.append(pairs.count()) or dots(pairs, *a))
+    m = blocks(4, 20, 60)
+    got = {}
+    for r in similarity.top_neighbours(spark.createDataFrame(m, "r int, c string, w double"), 3).collect():
+        got.setdefault(r["a"], {})[r["rank"]] = r["similarity"]
+    assert {a: [s for _, s in sorted(v.items())] for a, v in got.items()} == {a: pytest.approx([s for _, s in v], abs=1.1e-6) for a, v in plain_neighbours(m, 3).items()}
+    assert sum(completed) <= 3 * 80
+
+
 def test_equal_keys_go_before_words(spark):
     left = spark.createDataFrame([(1, "Die Alte Chronica!"), (2, "alte chronica die"), (3, "ganz anders alte"), (4, "x y"), (5, None)], "k int, name string")
     right = spark.createDataFrame([(10, "alte die chronica"), (11, "die alte  chronica"), (12, "X-Y")], "e int, title string")
