@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +13,8 @@ from ..functions import text as T
 from ..functions.literals import Candidates
 
 SPANS = "ordinal int, start int, end int, matched string"
+#: Texts whose matches one batch holds.
+TEXTS = 256
 
 
 def token_mentions(docs: DataFrame, canon: DataFrame, *keep: str, id_col: str = "doc_id") -> DataFrame:
@@ -42,23 +44,32 @@ def find_spans(docs: DataFrame, patterns: list[str], *keep: str, text_col: str =
             compiled.append((i, re.compile(p, re.IGNORECASE)))
         except re.error:
             continue
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
+
+    def found(texts: list[str | None], candidates: Candidates) -> pa.ListArray:
+        offsets, rows = [0], []
+        for text in texts:
+            seen = set()
+            for i, p in map(compiled.__getitem__, candidates.of(text) if text else ()):
+                for m in p.finditer(text):
+                    if not first_only or m.span() not in seen:
+                        seen.add(m.span())
+                        rows.append((i, m.start(), m.end(), m[0]))
+            offsets.append(len(rows))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        fields = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["ordinal", "start", "end", "matched"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         candidates = Candidates([p.pattern for _, p in compiled])
-        for pdf in frames:
-            rows = []
-            for own, text in zip(pdf[list(keep)].itertuples(index=False), pdf[text_col], strict=True):
-                seen = set()
-                for i, p in map(compiled.__getitem__, candidates.of(text) if text else ()):
-                    for m in p.finditer(text):
-                        if not first_only or m.span() not in seen:
-                            seen.add(m.span())
-                            rows.append((*own, i, m.start(), m.end(), m[0]))
-            yield pd.DataFrame(rows, columns=[*keep, "ordinal", "start", "end", "matched"])
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(i, TEXTS)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), found(part.column(text_col).to_pylist(), candidates)], names=[*keep, "_spans"])
 
+    # what is kept goes through Python once for each text, not once for each match
     names = list(dict.fromkeys([*keep, text_col]))
-    return docs.select(*names).mapInPandas(run, f"{schema}, {SPANS}")
+    return docs.select(*names).mapInArrow(run, f"{schema}_spans array<struct<{SPANS.replace(' ', ':').replace(',:', ', ')}>>").select(*keep, F.inline("_spans"))
 
 
 def without_negatives(hits: DataFrame, negatives: list[str], context_col: str = "context") -> DataFrame:

@@ -138,8 +138,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, word ORDER BY start) AS
 def kwic_samples_max4(t):
     docs = t.documents.where(F.lower("text").rlike(r"\b(?:nicht|que)\b")).select("doc_id", "text")
     spans = mentions.find_spans(docs, [r"\bnicht\b", r"\bque\b"], "doc_id", "text")
-    first = mentions.sampled(spans, ["doc_id", "ordinal"], ["start"], 4)
-    return first.select("doc_id", "ordinal", "start", "end", T.kwic(F.col("text"), F.col("start"), F.col("end"), 40).alias("kwic"))
+    short = spans.select("doc_id", "ordinal", "start", "end", T.kwic(F.col("text"), F.col("start"), F.col("end"), 40).alias("kwic"))
+    return mentions.sampled(short, ["doc_id", "ordinal"], ["start"], 4)
 
 
 @query(PARTS + r""", c AS (SELECT doc_id, start, "end", matched, trim(regexp_replace(substr(text, greatest(0, (start + "end") // 2 - 70) + 1, 140), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS context FROM s WHERE word = 'und')

@@ -67,6 +67,12 @@ def test_spans_are_those_of_python(spark):
     assert mentions.regex_mentions(docs, patterns).first()["cnt"] == 2
 
 
+def test_a_text_of_many_matches_goes_through_python_once(spark):
+    docs = spark.range(1).select("id", F.repeat(F.lit("und " + "x" * 40 + " "), 9000).alias("text"))
+    found = mentions.find_spans(docs, [r"\bund\b"], "id", "text").agg(F.count("*"), F.max("start"), F.min(F.length("text"))).first()
+    assert tuple(found) == (9000, 8999 * 45, 9000 * 45)
+
+
 def test_greedy_pairs_are_those_of_one_by_one(spark):
     rows = [(i, j, float((i * 7 + j * 13) % 11)) for i in range(6) for j in range(5)]
     want, left, right = set(), set(), set()
