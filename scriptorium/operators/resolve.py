@@ -25,9 +25,9 @@ def waterfall(candidates: list[DataFrame], key: str) -> DataFrame:
 
 
 def by_key(left: DataFrame, key: str, left_name: str, right: DataFrame, entity: str, right_name: str) -> DataFrame:
-    a = left.select(key, T.canonical_key(F.col(left_name)).alias("k")).where("k != ''")
-    b = right.select(F.col(entity).alias("entity"), T.canonical_key(F.col(right_name)).alias("k"))
-    return a.join(b, "k").select(key, "entity", F.lit(1.0).alias("score"))
+    a = left.select(key, T.canonical_key(F.col(left_name)).alias("_name")).where("_name != ''")
+    b = right.select(F.col(entity).alias("entity"), T.canonical_key(F.col(right_name)).alias("_name"))
+    return a.join(b, "_name").select(key, "entity", F.lit(1.0).alias("score"))
 
 
 def token_overlap(left: DataFrame, key: str, left_text: str, right: DataFrame, entity: str, right_text: str) -> DataFrame:
@@ -93,7 +93,11 @@ def foreign_items(files: DataFrame, items: DataFrame) -> DataFrame:
     return waterfall([by("path", "ipath"), held, by("sha", "isha"), by("name", "iname"), by("stem", "iname")], "id")
 
 
-def key_or_words(left: DataFrame, key: str, left_text: str, right: DataFrame, entity: str, right_text: str, *, bars: tuple[float, ...] = setjoin.BARS) -> DataFrame:
+#: Rounds of key_or_words: titles that lack an equal key mostly have a near one, which a high bar finds by few words.
+KEY_BARS = (0.7, 0.6, *setjoin.BARS)
+
+
+def key_or_words(left: DataFrame, key: str, left_text: str, right: DataFrame, entity: str, right_text: str, *, bars: tuple[float, ...] = KEY_BARS) -> DataFrame:
     """key, entity, step, confidence: an equal canonical key is a match of 1.0 (step 0) whatever the words say, else the largest Jaccard similarity of words (step 1).
 
     Ties go to the least entity. Only keys without an equal key are compared by words.

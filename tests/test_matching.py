@@ -150,6 +150,20 @@ def test_equal_keys_go_before_words(spark):
     assert T.STOPWORDS
 
 
+def test_near_titles_are_found_by_few_words(spark, monkeypatch):
+    rng = random.Random(6)
+    right = [(i, " ".join(rng.sample([f"w{j:02d}x" for j in range(60)], 6))) for i in range(200)]
+    a = spark.createDataFrame([(i, "neue ausgabe " + t) for i, t in right], "id int, name string")
+    b = spark.createDataFrame(right, "e int, title string")
+    met = setjoin.candidates
+    seen = []
+    monkeypatch.setattr(setjoin, "candidates", lambda *args: seen.append(met(*args).count()) or met(*args))
+    rows = sorted(map(tuple, resolve.key_or_words(a, "id", "name", b, "e", "title").collect()))
+    few, seen = sum(seen), []
+    assert rows == sorted(map(tuple, resolve.key_or_words(a, "id", "name", b, "e", "title", bars=setjoin.BARS).collect()))
+    assert all(r[1:] == (r[0], 1, 0.75) for r in rows) and len(rows) == 200 and 2 * few < sum(seen)
+
+
 def every_pair(left, right, least, top):
     """Up to top (entity, score) for each key by difflib's ratio of all pairs."""
     plain = lambda t: " ".join(sorted(re.findall(r"[a-z0-9]+", (t or "").lower())))
