@@ -198,6 +198,49 @@ def test_fuzzy_matches_of_a_thousand_by_a_thousand(spark):
     assert fuzzy.candidates(x, y, fuzzy._bars(x, y, 60, 2), 60).count() < 1_000_000 / 8
 
 
+def test_names_of_one_pattern_are_not_scored_by_all_pairs(spark, monkeypatch):
+    """Few rows are written for each name, whatever the titles; blocks, copies, ids with several texts and long names make no difference."""
+    long = "ein sehr langer name " * 4
+    left = [(k, f"Supplier#{k % 50:09d}") for k in range(60)] + [(3, "Supplier#000000777"), (90, long + "alt"), (91, None)]
+    right = [(e, f"Customer#{e % 600:09d}") for e in range(2400)] + [(5, "Customer#000000041"), (None, "Customer#000000007"), (9000, long + "neu"), (9001, "x" * 300)]
+    rows = []
+    kept = fuzzy.written
+    monkeypatch.setattr(fuzzy, "written", lambda df, name: rows.append(kept(df, name)) or rows[-1])
+    monkeypatch.setattr(fuzzy, "TITLES", 150)
+    a, b = spark.createDataFrame(left, "k long, name string"), spark.createDataFrame(right, "e long, title string")
+    got = {(r["k"], r["nth"]): (r["entity"], r["score"]) for r in fuzzy.best_matches(a, "k", "name", b, "e", "title").collect()}
+    of = {}
+    for (k, _), (e, s) in every_pair(list(enumerate(n for _, n in left)), list(enumerate(t for _, t in right)), 60, 3000).items():
+        near = of.setdefault(left[k][0], {})
+        near[right[e][0]] = max(s, near.get(right[e][0], 0))
+    place = lambda e: (e is not None, e or 0)
+    want = {(k, i + 1): r for k, near in of.items() for i, r in enumerate(sorted(near.items(), key=lambda r: (-r[1], place(r[0])))[:5])}
+    assert got == want
+    assert max(df.count() for df in rows if {"x", "y"} <= set(df.columns)) <= 3_000
+
+
+@pytest.mark.parametrize("step", [1 << 20, 7])
+def test_beginnings_are_left_only_below_the_bar(monkeypatch, step):
+    monkeypatch.setattr(fuzzy, "STEP", step)
+    rng = random.Random(8)
+    some = lambda n, most: sorted({"".join(rng.choice("abcé ") for _ in range(rng.randint(1, most))) for _ in range(n)})
+    names, titles = [*some(30, 12), "a" * fuzzy.LETTERS], some(200, 20)
+
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            last, row = row, [0]
+            for j, d in enumerate(y):
+                row.append(last[j] + 1 if c == d else max(row[j], last[j + 1]))
+        return row[-1]
+
+    bars = fuzzy.np.array([rng.choice([40.0, 60.0, 80.0]) for _ in names])
+    who, title, n = fuzzy._reaching(names, bars, *fuzzy._levels(titles))
+    got = {(i, t): c for i, t, c in zip(who.tolist(), title.tolist(), n.tolist(), strict=True)}
+    want = {(i, t): common(x, y) for i, x in enumerate(names) for t, y in enumerate(titles)}
+    assert got == {k: c for k, c in want.items() if c and 200 * c >= bars[k[0]] * (len(names[k[0]]) + len(titles[k[1]]))}
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="no test tables")
 def test_registered_fuzzy_query_equals_all_pairs(spark):
     d = "/root/testdata/sf0.001"
