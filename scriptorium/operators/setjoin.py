@@ -3,13 +3,18 @@
 Words are ordered from rare to frequent among the right sets. If two sets share at least o words, they share one of
 the first |x| - o + 1 of the one and one of the first |y| - o + 1 of the other: so frequent words, which most sets
 hold, hardly ever join. Rounds go from a high bar to none; a key whose best match reaches a round's bar is settled
-there, and only the others go on, at last by all their words.
+there, and only the others go on, at last by all their words: parts of the left sets meet blocks of the right ones,
+both of bounded size, and a task counts a set's words in common with a block, so that no pair is shuffled but the best.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.staging import written
@@ -18,6 +23,8 @@ from ..functions.staging import written
 BARS = (0.5, 0.2)
 #: What rounding to four places can hide.
 _ROUNDING = 1e-4
+#: Words and sets of a block of right sets, words of a part of left ones.
+WORDS, SETS, PART = 1 << 21, 1 << 14, 1 << 21
 
 
 def _placed(each: DataFrame, own: str, frequency: DataFrame) -> DataFrame:
@@ -55,13 +62,74 @@ def similarity(jaccard: bool) -> Column:
     return shared / (F.col("n_left") + F.col("n_right") - shared) if jaccard else shared / F.col("n_left")
 
 
+def _best(shared: np.ndarray, n_left: int, n_right: np.ndarray, jaccard: bool) -> np.ndarray:
+    """Places of the best by the number of shared words, with what rounding can hide; of equal ones the first two."""
+    hit = np.flatnonzero(shared)
+    if not len(hit):
+        return hit
+    value = shared[hit] / (n_left + n_right[hit] - shared[hit]) if jaccard else shared[hit]
+    near = value >= value.max() - (_ROUNDING if jaccard else 0)
+    hit, value = hit[near], value[near]
+    order = np.argsort(value, kind="stable")
+    third = np.zeros(len(order), dtype=bool)
+    third[2:] = value[order[2:]] == value[order[:-2]]
+    return np.sort(hit[order[~third]])
+
+
+def by_all_words(a: DataFrame, b: DataFrame, key: str, jaccard: bool) -> DataFrame:
+    """key, entity, shared, n_left, n_right: of each block of right sets (entity, t) the best for each left set (key, t); of equal ones the two of least entity.
+
+    The right side is sent to every part of the left one, so this is for a small right side, or for few left sets.
+    """
+    words = lambda rows: rows.agg(F.count("*"), F.coalesce(F.sum(F.size("t")), F.lit(0))).first()
+    (n_a, words_a), (n_b, words_b) = words(a), words(b)
+    blocks = max(1, -(-words_b // WORDS), -(-n_b // SETS))
+    parts = max(1, -(-words_a // PART), min(-(-4 * a.sparkSession.sparkContext.defaultParallelism // blocks), n_a))
+    some = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cell = (F.col("part") * blocks + F.col("block")).alias("cell")
+    left = a.select(key, "t", some(parts, key, "t").alias("part")).withColumn("block", each(blocks)).select(cell, key, "t").repartition(2 * parts * blocks, "cell")
+    right = b.select("entity", "t", some(blocks, "entity", "t").alias("block")).withColumn("part", each(parts)).select(cell, "entity", "t").repartition(2 * parts * blocks, "cell")
+
+    def count(x: pa.Table, y: pa.Table) -> pa.Table:
+        found_x, found_y, shared, n_left, n_right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [], [], []
+        if x.num_rows and y.num_rows:
+            y = y.take(pc.sort_indices(y["entity"], null_placement="at_start"))
+            size = pc.list_value_length(y["t"]).to_numpy().astype(np.int64)
+            coded = pc.list_flatten(y["t"]).combine_chunks().dictionary_encode()
+            word = coded.indices.to_numpy()
+            holders = np.repeat(np.arange(y.num_rows), size)[np.argsort(word, kind="stable")]
+            df = np.bincount(word, minlength=len(coded.dictionary))
+            start = np.cumsum(df) - df
+            known = pc.fill_null(pc.index_in(pc.list_flatten(x["t"]), value_set=coded.dictionary), -1).to_numpy()
+            ends = np.cumsum(pc.list_value_length(x["t"]).to_numpy().astype(np.int64))
+            for i, (end, n) in enumerate(zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)):
+                own = known[end - n : end]
+                own = own[own >= 0]
+                many = df[own]
+                met = holders[np.repeat(start[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                common = np.bincount(met, minlength=y.num_rows)
+                best = _best(common, n, size, jaccard)
+                found_x.append(np.full(len(best), i))
+                found_y.append(best)
+                shared.append(common[best])
+                n_left.append(np.full(len(best), n))
+                n_right.append(size[best])
+        numbers = [pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *c])) for c in (shared, n_left, n_right)]
+        return pa.Table.from_arrays([x[key].take(pa.array(np.concatenate(found_x))), y["entity"].take(pa.array(np.concatenate(found_y))), *numbers], names=[key, "entity", "shared", "n_left", "n_right"])
+
+    schema = StructType([a.schema[key], b.schema["entity"], *(StructField(c, LongType()) for c in ("shared", "n_left", "n_right"))])
+    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(count, schema)
+
+
 def best_pairs(left: DataFrame, key: str, left_text: str, right: DataFrame, entity: str, right_text: str, *, jaccard: bool = True, bars: tuple[float, ...] = BARS, stopwords: tuple[str, ...] = T.STOPWORDS, least: int = 3) -> DataFrame:
     """key, entity, shared, n_left, n_right: for each key all pairs that may be its best by Jaccard similarity or, else, by shared words.
 
-    Every key's best pair is among its rows with all pairs that tie with it, to four places of the similarity; other pairs may be. Words are
+    Every key's best pair is among its rows, and one that ties with it, to four places of the similarity, if there is any, the least entity always; other pairs may be. Words are
     different words of `least` letters or more. Keys whose words no right row holds have no row, as have null and empty texts. Repeated
     (key, text) rows count once; a key with several texts has each one's pairs. A word that very many rows on both sides hold comes last and
-    joins only in the last round, for the keys that nothing else settles; the joins are of written tables, which Spark can split.
+    counts only in the last round, for the keys that nothing else settles. Without bars that round is the only one, which suits left sets far
+    longer than the right ones, that no bar settles, and a small right side.
     """
     tokens = lambda c: T.token_set(F.col(c), stopwords, least)
 
@@ -70,7 +138,9 @@ def best_pairs(left: DataFrame, key: str, left_text: str, right: DataFrame, enti
         each = rows.select(F.col(own).alias("own"), F.sort_array(tokens(c)).alias("t")).where(F.size("t") > 0)
         return each.groupBy(F.struct("own", F.md5(F.array_join("t", " ")).alias("words")).alias(name)).agg(F.first("t").alias("t"))
 
-    a, b = sets(left, key, left_text, "_x"), sets(right, entity, right_text, "entity")
+    a, b = written(sets(left, key, left_text, "_x"), "left_sets"), written(sets(right, entity, right_text, "entity"), "right_sets")
+    if not bars:
+        return by_all_words(a.select(F.col("_x.own").alias(key), "t"), b.select(F.col("entity.own").alias("entity"), "t"), key, jaccard)
     each_b = written(b.select("entity", F.size("t").cast("long").alias("n"), F.explode("t").alias("word")), "words")
     frequency = written(each_b.groupBy("word").agg(F.count("*").alias("df")), "frequency")
     y = written(_placed(each_b, "entity", frequency), "right")
@@ -83,7 +153,6 @@ def best_pairs(left: DataFrame, key: str, left_text: str, right: DataFrame, enti
         now = near.join(settled, "_x", "left_semi")
         found = now if found is None else found.unionByName(now)
         x = written(x.join(settled.hint("merge"), "_x", "left_anti"), "left")
-    rest = x.select("_x", F.col("n").alias("n_left"), "word").join(y.select("entity", F.col("n").alias("n_right"), "word").hint("merge"), "word")
-    rest = rest.groupBy("_x", "entity", "n_left", "n_right").agg(F.count("*").alias("shared"))
-    out = rest if found is None else found.unionByName(rest)
-    return out.select(F.col("_x.own").alias(key), F.col("entity.own").alias("entity"), "shared", "n_left", "n_right")
+    open_ = a.join(x.select("_x").distinct(), "_x", "left_semi")
+    rest = by_all_words(open_.select(F.col("_x.own").alias(key), "t"), b.select(F.col("entity.own").alias("entity"), "t"), key, jaccard)
+    return found.select(F.col("_x.own").alias(key), F.col("entity.own").alias("entity"), "shared", "n_left", "n_right").unionByName(rest)

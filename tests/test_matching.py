@@ -55,6 +55,29 @@ def test_best_pairs_are_those_of_all_pairs(spark, bars):
     assert setjoin.best_pairs(a.limit(0), "k", "name", b, "e", "title", bars=bars).count() == 0
 
 
+@pytest.mark.parametrize("jaccard", [True, False])
+def test_only_the_best_leave_a_task(spark, monkeypatch, jaccard):
+    """Blocks and parts of any size give the same; of a thousand pairs with a common word few leave a task."""
+    left, right = titles(3, 100) + [(100 + i, "allgemein nirgends") for i in range(50)] + [(None, "w001x"), (200, None), (201, "unknown")], titles(4, 80) + [(None, "w001x w002x"), (900, None)]
+    a, b = spark.createDataFrame(left, "k int, name string"), spark.createDataFrame(right, "e int, title string")
+    best = {}
+    place = lambda e: (e is not None, e or 0)
+    for k, e, s, n, m in all_pairs(left, right):
+        best.setdefault(k, []).append((-round(s / (n + m - s), 4) if jaccard else -s, place(e), e))
+    for words, sets, part in ((1 << 21, 1 << 14, 1 << 21), (60, 7, 90)):
+        for name, n in (("WORDS", words), ("SETS", sets), ("PART", part)):
+            monkeypatch.setattr(setjoin, name, n)
+        found = setjoin.best_pairs(a, "k", "name", b, "e", "title", jaccard=jaccard, bars=()).cache()
+        got = resolve.jaccard_best(found, "k") if jaccard else resolve.best_overlap(found, "k")
+        assert {r[0]: (-r[2], r[1]) for r in got.collect()} == {k: (min(v)[0], min(v)[2]) for k, v in best.items()}
+        if not jaccard:
+            alone = {k for k, v in best.items() if [s for s, *_ in v].count(min(v)[0]) == 1}
+            assert {r["k"] for r in resolve.unique_winner(found, "k").collect()} == alone
+        if sets > len(right):
+            assert set(map(tuple, found.select("k", "entity", "shared", "n_left", "n_right").collect())) <= set(all_pairs(left, right))
+            assert found.count() <= 3 * len(left) < len(all_pairs(left, right)) / 8
+
+
 def test_a_word_that_most_hold_makes_no_candidates(spark):
     left, right = titles(1, 300), titles(2, 300)
     words = lambda rows: spark.createDataFrame([(i, w) for i, t in rows for w in set(t.split())], "id int, word string").withColumn("n", F.count("*").over(setjoin.Window.partitionBy("id")))
