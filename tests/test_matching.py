@@ -270,3 +270,13 @@ def test_registered_fuzzy_query_equals_all_pairs(spark):
     rows = lambda t, k, n: [(r[k], r[n]) for r in spark.read.parquet(f"{d}/{t}.parquet").collect()]
     got = {(r["s_suppkey"], r["nth"]): (r["entity"], r["score"]) for r in catalogue.QUERIES["fuzzy_catalogue_match"](spark, d).collect()}
     assert got == every_pair(rows("supplier", "s_suppkey", "s_name"), rows("customer", "c_custkey", "c_name"), 60, 5) and got
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="no test tables")
+@pytest.mark.parametrize("name", ["jaccard_best_match", "resolve_waterfall"])
+def test_documents_meet_items_in_one_round(spark, monkeypatch, name):
+    rows = []
+    kept = setjoin.written
+    monkeypatch.setattr(setjoin, "written", lambda df, name: rows.append(name) or kept(df, name))
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 190
+    assert rows == ["left_sets", "right_sets"]
