@@ -128,8 +128,8 @@ def best_pairs(left: DataFrame, key: str, left_text: str, right: DataFrame, enti
     Every key's best pair is among its rows, and one that ties with it, to four places of the similarity, if there is any, the least entity always; other pairs may be. Words are
     different words of `least` letters or more. Keys whose words no right row holds have no row, as have null and empty texts. Repeated
     (key, text) rows count once; a key with several texts has each one's pairs. A word that very many rows on both sides hold comes last and
-    counts only in the last round, for the keys that nothing else settles. Without bars that round is the only one, which suits left sets far
-    longer than the right ones, that no bar settles, and a small right side.
+    counts only in the last round, for the keys that nothing else settles. Without bars that round is the only one, which suits a small
+    right side and left sets far longer than the right ones.
     """
     tokens = lambda c: T.token_set(F.col(c), stopwords, least)
 

@@ -142,7 +142,7 @@ o AS (SELECT doc_id, entity, nl, nr, count(*) AS shared FROM (SELECT doc_id, len
 
 
 def pairs(t: Tables, jaccard: bool, documents=None):
-    """Documents are far longer than items, so that no bar settles them: they are compared by all their words at once."""
+    """Documents are far longer than the items, which are few: they are compared by all their words at once, which is exact without rounds."""
     return setjoin.best_pairs(t.documents if documents is None else documents, "doc_id", "text", t.benchmark, "item_id", "text", jaccard=jaccard, bars=(), stopwords=())
 
 
