@@ -55,8 +55,10 @@ def normalize_catalogue(c: Column) -> Column:
 
 
 def key_tokens(c: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
-    words = F.split(F.regexp_replace(normalize(c), "[^a-z0-9]+", " "), " ")
-    return F.filter(words, lambda w: (w != "") & ~w.isin(*stopwords) if stopwords else w != "")
+    """Words of letters and digits, folded, lower case. Texts of ASCII alone need no folding."""
+    plain = F.when(F.octet_length(c) == F.length(c), c).otherwise(fold(c))
+    words = F.array_remove(F.split(F.lower(plain), "[^a-z0-9]+"), "")
+    return F.filter(words, lambda w: ~w.isin(*stopwords)) if stopwords else words
 
 
 def canonical_key(c: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
@@ -64,7 +66,8 @@ def canonical_key(c: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
 
 
 def token_set(c: Column, stopwords: tuple[str, ...] = STOPWORDS, least: int = 3) -> Column:
-    return F.array_distinct(F.filter(key_tokens(c, stopwords), lambda w: F.length(w) >= least))
+    words = F.array_distinct(key_tokens(c, stopwords))
+    return F.filter(words, lambda w: F.length(w) >= least) if least > 1 else words
 
 
 def jaccard(a: Column, b: Column) -> Column:

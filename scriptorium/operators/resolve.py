@@ -109,6 +109,13 @@ def key_or_words(left: DataFrame, key: str, left_text: str, right: DataFrame, en
     return waterfall(steps, key).select(key, "entity", "step", F.col("score").alias("confidence"))
 
 
+def key_or_overlap(left: DataFrame, key: str, left_text: str, right: DataFrame, entity: str, right_text: str, *, stopwords: tuple[str, ...] = ()) -> DataFrame:
+    """key, entity, step, score: an equal canonical key is a match of 1.0 (step 0), else the largest number of shared words (step 1). Ties go to the least entity. For a small right side and long left texts."""
+    equal, pairs = setjoin.equal_and_best(left, key, left_text, right, entity, right_text, jaccard=False, stopwords=stopwords)
+    near = best_overlap(pairs, key).select(key, "entity", F.col("shared").cast("double").alias("score"))
+    return waterfall([equal.withColumn("score", F.lit(1.0)), near], key)
+
+
 @F.pandas_udf(BooleanType())
 def within_one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
     """One insertion, deletion, substitution or swap of neighbours at most."""

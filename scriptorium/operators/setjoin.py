@@ -9,6 +9,8 @@ both of bounded size, and a task counts a set's words in common with a block, so
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -76,50 +78,111 @@ def _best(shared: np.ndarray, n_left: int, n_right: np.ndarray, jaccard: bool) -
     return np.sort(hit[order[~third]])
 
 
+class _Block:
+    """A block of right sets (entity.own, t) and, for each of its words, the sets that hold it."""
+
+    def __init__(self, y: pa.Table):
+        self.entity = y["entity"].combine_chunks()
+        order = pc.sort_indices(pc.struct_field(self.entity, "own"), null_placement="at_start")
+        self.entity, t = self.entity.take(order), y["t"].combine_chunks().take(order)
+        self.size = pc.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pc.list_flatten(t).dictionary_encode()
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        self.words = coded.dictionary
+        self.holders = np.repeat(np.arange(len(t)), self.size)[np.argsort(word, kind="stable")]
+        self.df = np.bincount(word, minlength=len(self.words))
+        self.start = np.cumsum(self.df) - self.df
+
+    def best(self, x: pa.Table | pa.RecordBatch, key: str, jaccard: bool) -> pa.Table:
+        """key, entity, shared, n_left, n_right: the best sets of the block for each left set (key, t)."""
+        found_x, found_y, shared, n_left = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        known = pc.fill_null(pc.index_in(pc.list_flatten(x["t"]), value_set=self.words), -1).to_numpy()
+        ends = np.cumsum(pc.list_value_length(x["t"]).to_numpy(zero_copy_only=False).astype(np.int64))
+        for i, (end, n) in enumerate(zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)):
+            own = known[end - n : end]
+            own = own[own >= 0]
+            many = self.df[own]
+            met = self.holders[np.repeat(self.start[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            common = np.bincount(met, minlength=len(self.size))
+            best = _best(common, n, self.size, jaccard)
+            found_x.append(np.full(len(best), i))
+            found_y.append(best)
+            shared.append(common[best])
+            n_left.append(np.full(len(best), n))
+        left, right = np.concatenate(found_x), np.concatenate(found_y)
+        numbers = [pa.array(c.astype(np.int64)) for c in (np.concatenate(shared), np.concatenate(n_left), self.size[right])]
+        return pa.Table.from_arrays([x[key].take(pa.array(left)), self.entity.take(pa.array(right)), *numbers], names=[key, "entity", "shared", "n_left", "n_right"])
+
+
+def _ipc(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as f:
+        f.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
 def by_all_words(a: DataFrame, b: DataFrame, key: str, jaccard: bool) -> DataFrame:
     """key, entity, shared, n_left, n_right: of each block of right sets (entity, t) the best for each left set (key, t); of equal ones the two of least entity.
 
-    The right side is sent to every part of the left one, so this is for a small right side, or for few left sets.
+    entity is a struct whose field own is the id. A right side of one block is broadcast, and the left sets stay where they are. A larger one is
+    dealt out by blocks and meets every part of the left side: that is for few left sets, or for a right side of few blocks.
     """
     words = lambda rows: rows.agg(F.count("*"), F.coalesce(F.sum(F.size("t")), F.lit(0))).first()
-    (n_a, words_a), (n_b, words_b) = words(a), words(b)
+    n_b, words_b = words(b)
     blocks = max(1, -(-words_b // WORDS), -(-n_b // SETS))
+    schema = StructType([a.schema[key], b.schema["entity"], *(StructField(c, LongType()) for c in ("shared", "n_left", "n_right"))])
+    if blocks == 1:
+        sent = a.sparkSession.sparkContext.broadcast(_ipc(b.select("entity", "t").toArrow()))
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = None
+            for x in batches:
+                block = block or _Block(pa.ipc.open_stream(sent.value).read_all())
+                yield from block.best(x, key, jaccard).to_batches()
+
+        return a.select(key, "t").mapInArrow(meet, schema)
+    n_a, words_a = words(a)
     parts = max(1, -(-words_a // PART), min(-(-4 * a.sparkSession.sparkContext.defaultParallelism // blocks), n_a))
     some = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     cell = (F.col("part") * blocks + F.col("block")).alias("cell")
     left = a.select(key, "t", some(parts, key, "t").alias("part")).withColumn("block", each(blocks)).select(cell, key, "t").repartition(2 * parts * blocks, "cell")
     right = b.select("entity", "t", some(blocks, "entity", "t").alias("block")).withColumn("part", each(parts)).select(cell, "entity", "t").repartition(2 * parts * blocks, "cell")
+    count = lambda x, y: _Block(y).best(x.combine_chunks(), key, jaccard)
+    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(count, schema)
 
-    def count(x: pa.Table, y: pa.Table) -> pa.Table:
-        found_x, found_y, shared, n_left, n_right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [], [], []
-        if x.num_rows and y.num_rows:
-            y = y.take(pc.sort_indices(y["entity"], null_placement="at_start"))
-            size = pc.list_value_length(y["t"]).to_numpy().astype(np.int64)
-            coded = pc.list_flatten(y["t"]).combine_chunks().dictionary_encode()
-            word = coded.indices.to_numpy()
-            holders = np.repeat(np.arange(y.num_rows), size)[np.argsort(word, kind="stable")]
-            df = np.bincount(word, minlength=len(coded.dictionary))
-            start = np.cumsum(df) - df
-            known = pc.fill_null(pc.index_in(pc.list_flatten(x["t"]), value_set=coded.dictionary), -1).to_numpy()
-            ends = np.cumsum(pc.list_value_length(x["t"]).to_numpy().astype(np.int64))
-            for i, (end, n) in enumerate(zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)):
-                own = known[end - n : end]
-                own = own[own >= 0]
-                many = df[own]
-                met = holders[np.repeat(start[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-                common = np.bincount(met, minlength=y.num_rows)
-                best = _best(common, n, size, jaccard)
-                found_x.append(np.full(len(best), i))
-                found_y.append(best)
-                shared.append(common[best])
-                n_left.append(np.full(len(best), n))
-                n_right.append(size[best])
-        numbers = [pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *c])) for c in (shared, n_left, n_right)]
-        return pa.Table.from_arrays([x[key].take(pa.array(np.concatenate(found_x))), y["entity"].take(pa.array(np.concatenate(found_y))), *numbers], names=[key, "entity", "shared", "n_left", "n_right"])
 
-    schema = StructType([a.schema[key], b.schema["entity"], *(StructField(c, LongType()) for c in ("shared", "n_left", "n_right"))])
-    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(count, schema)
+def _worded(rows: DataFrame, own: str, c: str, stopwords: tuple[str, ...], least: int) -> DataFrame:
+    """own, text, t, words: the different words of `least` letters or more, sorted, and a hash of them. Rows without any stay: a condition on t would be checked first, on words split once more."""
+    t = F.sort_array(T.token_set(F.col("text"), stopwords, least)).alias("t")
+    return rows.select(F.col(own).alias("own"), F.col(c).alias("text")).select("own", "text", t).withColumn("words", F.md5(F.array_join("t", " ")))
+
+
+def _right_sets(right: DataFrame, entity: str, right_text: str, stopwords: tuple[str, ...], least: int) -> DataFrame:
+    """entity, t: one row for each different set of an id; an id with several texts is several sets."""
+    each = _worded(right, entity, right_text, stopwords, least).where(F.size("t") > 0)
+    return each.groupBy(F.struct("own", "words").alias("entity")).agg(F.first("t").alias("t"))
+
+
+def _one_round(a: DataFrame, b: DataFrame, key: str, jaccard: bool) -> DataFrame:
+    """best_pairs without bars, of written sets (_x, t), which may repeat, and (entity, t): repeated ones leave as few rows and meet only then."""
+    found = by_all_words(a.where(F.size("t") > 0), b, "_x", jaccard).distinct()
+    return found.select(F.col("_x.own").alias(key), F.col("entity.own").alias("entity"), "shared", "n_left", "n_right")
+
+
+def equal_and_best(left: DataFrame, key: str, left_text: str, right: DataFrame, entity: str, right_text: str, *, jaccard: bool = True, stopwords: tuple[str, ...] = T.STOPWORDS, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(key, entity) of rows whose text has a right one's canonical key, the least entity of that key; and best_pairs without bars of the other rows.
+
+    Texts are split once for both: only where the words are those of some right row is the key itself made and compared.
+    """
+    key_of = T.canonical_key(F.col("text"), stopwords)
+    names = _worded(right, entity, right_text, stopwords, least).groupBy(key_of.alias("name"), "words").agg(F.min(F.struct(F.col("own").alias("entity"))).alias("equal")).where("name != ''")
+    x = _worded(left, key, left_text, stopwords, least).join(names.select("words", F.lit(True).alias("met")).distinct(), "words", "left")
+    # no key begins with #: rows that need none are dealt out by their words
+    x = x.withColumn("name", F.when(F.col("met"), key_of).otherwise(F.concat(F.lit("#"), "words"))).join(names.drop("words"), "name", "left")
+    a = written(x.select(F.struct("own", "words").alias("_x"), F.when(F.col("equal").isNull(), F.col("t")).alias("t"), "equal"), "left_sets")
+    b = written(_right_sets(right, entity, right_text, stopwords, least), "right_sets")
+    return a.where("equal is not null").select(F.col("_x.own").alias(key), "equal.entity"), _one_round(a, b, key, jaccard)
 
 
 def best_pairs(left: DataFrame, key: str, left_text: str, right: DataFrame, entity: str, right_text: str, *, jaccard: bool = True, bars: tuple[float, ...] = BARS, stopwords: tuple[str, ...] = T.STOPWORDS, least: int = 3) -> DataFrame:
@@ -131,16 +194,11 @@ def best_pairs(left: DataFrame, key: str, left_text: str, right: DataFrame, enti
     counts only in the last round, for the keys that nothing else settles. Without bars that round is the only one, which suits a small
     right side and left sets far longer than the right ones.
     """
-    tokens = lambda c: T.token_set(F.col(c), stopwords, least)
-
-    def sets(rows: DataFrame, own: str, c: str, name: str) -> DataFrame:
-        """One row for each different set of an id: an id with several texts is several sets."""
-        each = rows.select(F.col(own).alias("own"), F.sort_array(tokens(c)).alias("t")).where(F.size("t") > 0)
-        return each.groupBy(F.struct("own", F.md5(F.array_join("t", " ")).alias("words")).alias(name)).agg(F.first("t").alias("t"))
-
-    a, b = written(sets(left, key, left_text, "_x"), "left_sets"), written(sets(right, entity, right_text, "entity"), "right_sets")
+    sets = _worded(left, key, left_text, stopwords, least).select(F.struct("own", "words").alias("_x"), "t")
+    a = written(sets.groupBy("_x").agg(F.first("t").alias("t")).where(F.size("t") > 0) if bars else sets, "left_sets")
+    b = written(_right_sets(right, entity, right_text, stopwords, least), "right_sets")
     if not bars:
-        return by_all_words(a.select(F.col("_x.own").alias(key), "t"), b.select(F.col("entity.own").alias("entity"), "t"), key, jaccard)
+        return _one_round(a, b, key, jaccard)
     each_b = written(b.select("entity", F.size("t").cast("long").alias("n"), F.explode("t").alias("word")), "words")
     frequency = written(each_b.groupBy("word").agg(F.count("*").alias("df")), "frequency")
     y = written(_placed(each_b, "entity", frequency), "right")
@@ -154,5 +212,5 @@ def best_pairs(left: DataFrame, key: str, left_text: str, right: DataFrame, enti
         found = now if found is None else found.unionByName(now)
         x = written(x.join(settled.hint("merge"), "_x", "left_anti"), "left")
     open_ = a.join(x.select("_x").distinct(), "_x", "left_semi")
-    rest = by_all_words(open_.select(F.col("_x.own").alias(key), "t"), b.select(F.col("entity.own").alias("entity"), "t"), key, jaccard)
-    return found.select(F.col("_x.own").alias(key), F.col("entity.own").alias("entity"), "shared", "n_left", "n_right").unionByName(rest)
+    found = found.select("_x", "entity", "shared", "n_left", "n_right").unionByName(by_all_words(open_, b, "_x", jaccard))
+    return found.select(F.col("_x.own").alias(key), F.col("entity.own").alias("entity"), "shared", "n_left", "n_right")

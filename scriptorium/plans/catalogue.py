@@ -141,9 +141,9 @@ o AS (SELECT doc_id, entity, nl, nr, count(*) AS shared FROM (SELECT doc_id, len
 """
 
 
-def pairs(t: Tables, jaccard: bool, documents=None):
+def pairs(t: Tables, jaccard: bool):
     """Documents are far longer than the items, which are few: they are compared by all their words at once, which is exact without rounds."""
-    return setjoin.best_pairs(t.documents if documents is None else documents, "doc_id", "text", t.benchmark, "item_id", "text", jaccard=jaccard, bars=(), stopwords=())
+    return setjoin.best_pairs(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", jaccard=jaccard, bars=(), stopwords=())
 
 
 @query(OVERLAP + "SELECT doc_id, entity, confidence FROM (SELECT doc_id, entity, round(shared / (nl + nr - shared), 4) AS confidence, row_number() OVER (PARTITION BY doc_id ORDER BY round(shared / (nl + nr - shared), 4) DESC, entity) AS n FROM o) WHERE n = 1")
@@ -165,10 +165,7 @@ SELECT doc_id, entity, step, score FROM (SELECT *, row_number() OVER (PARTITION
 def resolve_waterfall(t):
     """Documents, and the items themselves with a mark after them: an equal key first, else most shared words."""
     left = t.documents.select("doc_id", "text").union(t.benchmark.select(-1 - F.col("item_id"), F.concat("text", F.lit(" !"))))
-    exact = written(resolve.by_key(left, "doc_id", "text", t.benchmark, "item_id", "text"), "exact")
-    open_ = left.join(exact.select("doc_id").distinct(), "doc_id", "left_anti")
-    near = resolve.best_overlap(pairs(t, False, open_), "doc_id")
-    return resolve.waterfall([exact, near.select("doc_id", "entity", F.col("shared").cast("double").alias("score"))], "doc_id")
+    return resolve.key_or_overlap(left, "doc_id", "text", t.benchmark, "item_id", "text")
 
 
 _TITLE = r"array_to_string(list_filter(string_split_regex(lower(strip_accents(text)), '[^a-z0-9]+'), lambda x: x <> '')[1:8], ' ')"

@@ -280,3 +280,49 @@ def test_documents_meet_items_in_one_round(spark, monkeypatch, name):
     monkeypatch.setattr(setjoin, "written", lambda df, name: rows.append(name) or kept(df, name))
     assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 100
     assert rows == ["left_sets", "right_sets"]
+
+
+@pytest.mark.parametrize("sets, broadcast", [(1 << 14, "10m"), (7, "-1")])
+def test_equal_keys_or_most_words_are_those_of_all_pairs(spark, monkeypatch, sets, broadcast):
+    """Keys keep every word, as in the SQL of resolve_waterfall; blocks of any size and plain joins give the same."""
+    monkeypatch.setattr(setjoin, "SETS", sets)
+    right = titles(4, 80) + [(200, "Die Alte Chronik"), (201, "alte die chronik"), (202, "die alte"), (203, "X-Y"), (204, None), (205, "die, alte chronik!"), (206, ""), (207, "Äpfel ﬁnden")]
+    left = titles(3, 60) + [(300 + e, f"{t} !") for e, t in titles(4, 9)] + [
+        (400, "DIE ALTE CHRONIK"), (401, "die alte"), (402, "alte chronik die"), (403, "chronik die alte"), (404, "x y"), (405, "y x"), (406, None), (407, " !"),
+        (408, "die die alte chronik"), (409, "apfel ﬁnden"), (409, "w001x w002x"), (410, "w003x"), (410, "w003x"), (None, "die alte"), (None, "w004x allgemein"),
+    ]
+    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower().replace("ä", "a"))
+    want, place = {}, lambda k: (k is not None, k or 0)
+    for k, a in left:
+        for e, b in right:
+            if words(a) and words(a) == words(b):
+                want.setdefault(k, []).append((0, -1.0, e))
+            n = len({w for w in words(a) if len(w) > 2} & {w for w in words(b) if len(w) > 2})
+            if n:
+                want.setdefault(k, []).append((1, -float(n), e))
+    monkeypatch.setattr(setjoin, "PART", 90)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = resolve.key_or_overlap(spark.createDataFrame(left, "k int, name string"), "k", "name", spark.createDataFrame(right, "e int, title string"), "e", "title").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted(((r["k"], r["step"], -r["score"], r["entity"]) for r in got), key=lambda r: place(r[0])) == sorted(((k, *min(v)) for k, v in want.items()), key=lambda r: place(r[0]))
+    assert {k: min(v)[0] for k, v in want.items() if k and k >= 400} == {400: 0, 401: 0, 402: 1, 403: 1, 404: 0, 408: 1, 409: 0, 410: 1}
+
+
+@pytest.mark.parametrize("name", ["jaccard_best_match", "resolve_waterfall", "unique_token_winner"])
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="no test tables")
+def test_texts_are_split_once_and_stay_where_they_are(spark, monkeypatch, name):
+    """The sets of documents are written without a shuffle, from one splitting of each text (a second one only where a key has to be compared), and meet the items in their own tasks."""
+    plans = {}
+    kept = setjoin.written
+    monkeypatch.setattr(setjoin, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or kept(df, name))
+    df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapCoGroups" not in plan
+    if name == "resolve_waterfall":
+        left = plans["left_sets"].split("Aggregate")[0]  # documents and items; the key
+        assert left.count("translate(") == 3 and left.count("CASE WHEN met") == 1
+    else:
+        assert plans["left_sets"].count("translate(") == 1 and "Aggregate" not in plans["left_sets"]
