@@ -8,11 +8,12 @@ import re
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import fuzzy, resolve, setjoin, similarity
+from scriptorium.operators import fuzzy, resolve, rowblocks, setjoin, similarity
 from scriptorium.plans import registry as catalogue
 from scriptorium.plans import catalogue as _catalogue  # noqa: F401  registers its queries
 
@@ -153,6 +154,45 @@ def test_pairs_are_those_of_all_rows(spark, monkeypatch, cell, row):
     assert got.keys() == want.keys() and all(got[k] == (pytest.approx(s, abs=6e-7), n) for k, (s, n) in want.items())
 
 
+@pytest.mark.parametrize("entries, long, at_once", [(10**6, 10**6, 1 << 20), (40, 10**6, 50), (40, 33, 50)])
+def test_pairs_of_blocks_are_those_of_all_rows_and_none_is_shuffled(spark, monkeypatch, entries, long, at_once):
+    """Blocks of any size, rows too long for one, columns that are null or all rows hold: the same pairs, of which a plan without long rows exchanges none."""
+    for name, value in (("ENTRIES", entries), ("FEW", entries), ("LONG", long)):
+        monkeypatch.setattr(rowblocks, name, value)
+    rng = random.Random(8)
+    m = blocks(3, 12, 10) + [(r, "hot", 2.0) for r in range(36)] + [(r, None, 3.0) for r in range(20, 50)] + [(60, f"{g}-{c}", 1.0 + c) for g in range(3) for c in range(10)] + [(60, "hot", 1.0)] * 1 + [(60, f"own{c}", 1.0) for c in range(4)]
+    rng.shuffle(m)
+    rows = {}
+    for r, c, w in m:
+        rows.setdefault(r, {})[c] = w
+    size = {r: sum(w * w for w in v.values()) ** 0.5 for r, v in rows.items()}
+    met = {(a, b): [c for c in x if c is not None and c in y] for a, x in rows.items() for b, y in rows.items() if a < b}
+    want = {(a, b): (sum(rows[a][c] * rows[b][c] for c in cs) / (size[a] * size[b]), len(cs)) for (a, b), cs in met.items() if cs}
+    df = spark.createDataFrame([(f"{r:03d}", c, w) for r, c, w in m], "r string, c string, w double")
+    out = similarity.cosine_pairs(df, cell=at_once)
+    assert (long == 33) == ("Exchange" in out._jdf.queryExecution().executedPlan().toString())
+    got = {(int(r["a"]), int(r["b"])): (r["similarity"], r["shared"]) for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k] == (pytest.approx(s, abs=6e-7), n) for k, (s, n) in want.items())
+    few = [(r, c, w) for r, c, w in m if c not in (None, "hot")]
+    near = {}
+    for r in similarity.top_neighbours(spark.createDataFrame(few, "r int, c string, w double"), 3).orderBy("a", "rank").collect():
+        near.setdefault(r["a"], []).append((r["b"], r["similarity"]))
+    assert near == {a: [(b, pytest.approx(s, abs=1e-9)) for b, s in v] for a, v in plain_neighbours(few, 3).items()}
+
+
+def test_the_best_of_a_block_alone_leave_it(spark, monkeypatch):
+    monkeypatch.setattr(rowblocks, "FEW", 10**6)
+    m = spark.createDataFrame(blocks(4, 20, 60), "r int, c string, w double")
+    assert rowblocks.best(m, 3).count() == 80 * 3
+
+
+def test_places_are_those_of_spark(spark):
+    rng = random.Random(5)
+    values = [rng.random() for _ in range(2000)] + [rng.randint(0, 10**7) / 10**7 for _ in range(2000)] + [0.0078125, 1 / 128 + 1e-17, 0.0, 1.0, 0.9999995, 1.0000000000000002, 5e-7]
+    rounded = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6)).collect()]
+    assert rowblocks.millionths(np.array(values)).tolist() == [round(v * 1e6) for v in rounded]
+
+
 def test_rare_columns_leave_no_pairs_to_complete(spark, monkeypatch):
     completed = []
     dots = similarity._dots
