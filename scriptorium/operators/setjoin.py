@@ -2,8 +2,9 @@
 
 Words are ordered from rare to frequent among the right sets. If two sets share at least o words, they share one of
 the first |x| - o + 1 of the one and one of the first |y| - o + 1 of the other: so frequent words, which most sets
-hold, hardly ever join. Rounds go from a high bar to none; a key whose best match reaches a round's bar is settled
-there, and only the others go on, at last by all their words: parts of the left sets meet blocks of the right ones,
+hold, hardly ever join. Sets of few words take them along, so that the join itself counts the words in common and no
+pair below the bar is written or shuffled. Rounds go from a high bar to none; a key whose best match reaches a round's bar is
+settled there, and only the others go on, at last, or as soon as they are few, by all their words: parts of the left sets meet blocks of the right ones,
 both of bounded size, and a task counts a set's words in common with a block, so that no pair is shuffled but the best.
 """
 
@@ -27,6 +28,10 @@ BARS = (0.5, 0.2)
 _ROUNDING = 1e-4
 #: Words and sets of a block of right sets, words of a part of left ones.
 WORDS, SETS, PART = 1 << 21, 1 << 14, 1 << 21
+#: Words of a set that goes along with each word of its prefix.
+SHORT = 64
+#: Pairs of a left set that is still open and a right one, up to which all are counted in blocks rather than by another round.
+COUNTED = 1 << 34
 
 
 def _placed(each: DataFrame, own: str, frequency: DataFrame) -> DataFrame:
@@ -41,16 +46,31 @@ def _least(n: Column, bar: float) -> Column:
     return F.ceil(n * F.lit(bar) - 1e-9)
 
 
+def _prefixes(x: DataFrame, y: DataFrame, key: str, bar: float, jaccard: bool) -> tuple[DataFrame, DataFrame]:
+    """key, n_left, word and entity, n_right, word: the words by which pairs at the bar must meet."""
+    within = lambda rows: rows.where(F.col("place") <= F.col("n") - _least(F.col("n"), bar) + 1)
+    return within(x).select(key, F.col("n").alias("n_left"), "word"), (within(y) if jaccard else y).select("entity", F.col("n").alias("n_right"), "word")
+
+
+def _of_length(met: DataFrame, bar: float, jaccard: bool) -> DataFrame:
+    met = met.where(F.col("n_right") >= _least(F.col("n_left"), bar))
+    return met.where(F.col("n_left") >= _least(F.col("n_right"), bar)) if jaccard else met
+
+
 def candidates(x: DataFrame, y: DataFrame, key: str, bar: float, jaccard: bool) -> DataFrame:
     """key, entity, n_left, n_right of pairs whose prefixes meet and whose lengths allow the bar. No pair at or above the bar is missing."""
-    a = x.where(F.col("place") <= F.col("n") - _least(F.col("n"), bar) + 1).select(key, F.col("n").alias("n_left"), "word")
-    b = y.select("entity", F.col("n").alias("n_right"), "word", "place")
-    if jaccard:
-        b = b.where(F.col("place") <= F.col("n_right") - _least(F.col("n_right"), bar) + 1)
-    met = a.join(b.drop("place"), "word").where(F.col("n_right") >= _least(F.col("n_left"), bar))
-    if jaccard:
-        met = met.where(F.col("n_left") >= _least(F.col("n_right"), bar))
-    return met.select(key, "entity", "n_left", "n_right").distinct()
+    a, b = _prefixes(x, y, key, bar, jaccard)
+    return _of_length(a.join(b, "word"), bar, jaccard).select(key, "entity", "n_left", "n_right").distinct()
+
+
+def near_short(x: DataFrame, y: DataFrame, a: DataFrame, b: DataFrame, key: str, bar: float, jaccard: bool) -> DataFrame:
+    """key, entity, n_left, n_right, shared of all pairs at the bar of sets (key, t) and (entity, t) of up to SHORT words; the join counts, no other pair leaves it."""
+    left, right = _prefixes(x.where(F.col("n") <= SHORT), y.where(F.col("n") <= SHORT), key, bar, jaccard)
+    left = left.join(a.select(key, F.col("t").alias("t_left")).hint("merge"), key)
+    right = right.join(b.select("entity", F.col("t").alias("t_right")).hint("merge"), "entity")
+    met = _of_length(left.join(right, "word"), bar, jaccard)
+    counted = met.select(key, "entity", "n_left", "n_right", F.size(F.array_intersect("t_left", "t_right")).cast("long").alias("shared"))
+    return counted.where(similarity(jaccard) >= bar).distinct()
 
 
 def verified(pairs: DataFrame, x: DataFrame, y: DataFrame, key: str) -> DataFrame:
@@ -203,10 +223,17 @@ def best_pairs(left: DataFrame, key: str, left_text: str, right: DataFrame, enti
     frequency = written(each_b.groupBy("word").agg(F.count("*").alias("df")), "frequency")
     y = written(_placed(each_b, "entity", frequency), "right")
     x = written(_placed(a.select("_x", F.size("t").cast("long").alias("n"), F.explode("t").alias("word")), "_x", frequency), "left")
+    n_b = b.count()
+    long = a.select("t").unionAll(b.select("t")).where(F.size("t") > SHORT).limit(1).count()
     found = None
     for bar in bars:
-        near = verified(written(candidates(x, y, "_x", bar, jaccard), "candidates"), x, y, "_x")
-        near = written(near.where(similarity(jaccard) >= bar), "near")
+        if found is not None and x.select("_x").distinct().count() * n_b <= COUNTED:
+            break
+        near = near_short(x, y, a, b, "_x", bar, jaccard)
+        if long:
+            pairs = candidates(x, y, "_x", bar, jaccard).where((F.col("n_left") > SHORT) | (F.col("n_right") > SHORT))
+            near = near.unionByName(verified(written(pairs, "candidates"), x, y, "_x").where(similarity(jaccard) >= bar))
+        near = written(near, "near")
         settled = near.where(similarity(jaccard) >= bar + _ROUNDING).select("_x").distinct()
         now = near.join(settled, "_x", "left_semi")
         found = now if found is None else found.unionByName(now)

@@ -56,6 +56,24 @@ def test_best_pairs_are_those_of_all_pairs(spark, bars):
     assert setjoin.best_pairs(a.limit(0), "k", "name", b, "e", "title", bars=bars).count() == 0
 
 
+@pytest.mark.parametrize("short, counted", [(64, 0), (3, 0), (64, 1 << 34)])
+def test_pairs_of_short_sets_are_counted_where_they_meet(spark, monkeypatch, short, counted):
+    """All rounds, or blocks after the first, with and without sets too long to go along: the same best, and no table of candidates but of long sets."""
+    monkeypatch.setattr(setjoin, "SHORT", short)
+    monkeypatch.setattr(setjoin, "COUNTED", counted)
+    names, write = [], setjoin.written
+    monkeypatch.setattr(setjoin, "written", lambda df, name: names.append(name) or write(df, name))
+    left, right = titles(5, 80), titles(6, 60)
+    a, b = spark.createDataFrame(left, "k int, name string"), spark.createDataFrame(right, "e int, title string")
+    best = {}
+    for k, e, s, n, m in all_pairs(left, right):
+        best[k] = min(best.get(k, (0, 0)), (-round(s / (n + m - s), 4), e))
+    got = resolve.jaccard_best(setjoin.best_pairs(a, "k", "name", b, "e", "title"), "k")
+    assert {r[0]: (-r[2], r[1]) for r in got.collect()} == best
+    assert ("candidates" in names) == (short == 3)
+    assert names.count("near") == (1 if counted else 2)
+
+
 @pytest.mark.parametrize("jaccard", [True, False])
 def test_only_the_best_leave_a_task(spark, monkeypatch, jaccard):
     """Blocks and parts of any size give the same; of a thousand pairs with a common word few leave a task."""
