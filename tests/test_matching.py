@@ -198,6 +198,15 @@ def test_pairs_of_blocks_are_those_of_all_rows_and_none_is_shuffled(spark, monke
     assert near == {a: [(b, pytest.approx(s, abs=1e-9)) for b, s in v] for a, v in plain_neighbours(few, 3).items()}
 
 
+def test_entries_are_not_shuffled_by_row_for_their_sums(spark, monkeypatch):
+    m = spark.createDataFrame(blocks(2, 10, 6), "r int, c string, w double")
+    plan = similarity.tf_idf(m)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2
+    want = sorted(map(tuple, similarity.tf_idf(m).collect()))
+    monkeypatch.setattr(similarity, "BROADCAST", 3)
+    assert sorted(map(tuple, similarity.tf_idf(m).collect())) == want
+
+
 def test_the_best_of_a_block_alone_leave_it(spark, monkeypatch):
     monkeypatch.setattr(rowblocks, "FEW", 10**6)
     m = spark.createDataFrame(blocks(4, 20, 60), "r int, c string, w double")
